@@ -1,0 +1,29 @@
+"""Looking back over ordered rows without one task per key."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+#: Rows of a key are cut into blocks of so many values of the order column.
+BLOCK = 1024
+
+
+def carry_forward(df: DataFrame, keys: list[str], order: str, value: Column, name: str, block: int = BLOCK) -> DataFrame:
+    """``df`` with column ``name``: the last ``value`` that is not null of an earlier row with equal keys.
+
+    ``order`` is a whole number. A window runs within each block of ``block`` numbers; what
+    earlier blocks left is aggregated to one row a block and carried over these. No task
+    so holds more than a block's rows, or one row for each block of a key.
+    """
+    rows = df.withColumn("_block", F.floor(F.col(order) / block)).withColumn("_value", value)
+    within = W.partitionBy(*keys, "_block").orderBy(order).rangeBetween(W.unboundedPreceding, -1)
+    ends = rows.where("_value is not null").groupBy(*keys, "_block").agg(F.max_by("_value", order).alias("_end"))
+    # An end holds for the blocks up to the next end.
+    over = W.partitionBy(*keys).orderBy("_block")
+    ends = ends.select(*keys, F.col("_block").alias("_from"), F.coalesce(F.lead("_block").over(over), F.lit(2**62)).alias("_to"), "_end")
+    blocks = rows.select(*keys, "_block").distinct()
+    held = blocks.join(ends, keys).where("_from < _block and _block <= _to").select(*keys, "_block", "_end")
+    out = rows.withColumn("_near", F.last("_value", True).over(within)).join(held, [*keys, "_block"], "left")
+    return out.withColumn(name, F.coalesce("_near", "_end")).drop("_block", "_value", "_near", "_end")
