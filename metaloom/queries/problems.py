@@ -121,22 +121,22 @@ WITH RECURSIVE latest AS (
 ), node AS (
   SELECT DISTINCT lower(regexp_replace(id, '^\s+|\s+$', '', 'g')) AS id FROM name WHERE regexp_matches(id, '\S')
 ), up AS (
-  SELECT id AS node, id AS at, 0 AS dist, [id] AS way, FALSE AS looped FROM node
+  SELECT id AS node, id AS top, 0 AS dist, [id] AS way, FALSE AS looped FROM node
   UNION ALL
   SELECT up.node, link.parent, up.dist + 1, list_append(up.way, link.parent), list_contains(up.way, link.parent)
-  FROM up JOIN link ON link.child = up.at WHERE NOT up.looped
+  FROM up JOIN link ON link.child = up.top WHERE NOT up.looped
 ), loop_end AS (
-  SELECT node, at, list_min(list_slice(way, list_position(way, at), len(way))) AS least, at = node AS on_loop FROM up WHERE looped
+  SELECT node, top, list_min(list_slice(way, list_position(way, top), len(way))) AS least, top = node AS on_loop FROM up WHERE looped
 ), tree AS (
-  SELECT up.node, up.at, up.dist, up.way FROM up LEFT JOIN link ON link.child = up.at WHERE link.child IS NULL
+  SELECT up.node, up.top, up.dist, up.way FROM up LEFT JOIN link ON link.child = up.top WHERE link.child IS NULL
 )
 """
 
 SQL = {
     "p1_found": _REFS + "SELECT ref_table, period, row_id, ref_id FROM o",
     "p1_report": _REFS + "SELECT ref_table, period, reason, count(*) AS orphan_references, count(DISTINCT ref_id) AS orphan_ids, count(DISTINCT row_id) AS orphan_rows FROM o GROUP BY 1, 2, 3",
-    "p3_found": _TREE + "SELECT node AS unique_id, at AS root_id, CAST(dist AS INTEGER) AS depth FROM tree UNION ALL SELECT node, least, CAST(CASE WHEN on_loop THEN -1 ELSE -2 END AS INTEGER) FROM loop_end",
-    "p3_paths": _TREE + """SELECT node AS unique_id, at AS root_id, CAST(dist AS INTEGER) AS depth, array_to_string(list_reverse(way), ' > ') AS path FROM tree
+    "p3_found": _TREE + "SELECT node AS unique_id, top AS root_id, CAST(dist AS INTEGER) AS depth FROM tree UNION ALL SELECT node, least, CAST(CASE WHEN on_loop THEN -1 ELSE -2 END AS INTEGER) FROM loop_end",
+    "p3_paths": _TREE + """SELECT node AS unique_id, top AS root_id, CAST(dist AS INTEGER) AS depth, array_to_string(list_reverse(way), ' > ') AS path FROM tree
       UNION ALL SELECT node, least, CAST(CASE WHEN on_loop THEN -1 ELSE -2 END AS INTEGER), node FROM loop_end""",
-    "p3_descendants": _TREE + "SELECT up.at AS ancestor_id, up.node AS unique_id, CAST(up.dist AS INTEGER) AS distance FROM up JOIN tree USING (node) WHERE up.dist > 0",
+    "p3_descendants": _TREE + "SELECT up.top AS ancestor_id, up.node AS unique_id, CAST(up.dist AS INTEGER) AS distance FROM up JOIN tree USING (node) WHERE up.dist > 0",
 }
