@@ -5,10 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metaloom.llm import neighbours
+from metaloom.llm import canonical, neighbours
 from metaloom.session import table
 
 
+def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = {
+        "indicator_search": (table(spark, sf_dir, "indicator_search"), "indicator_name", False),
+        "search_eval_qrels": (table(spark, sf_dir, "search_eval_qrels"), "query", True),
+    }
+    return canonical.map_to_canonical(entries, table(spark, sf_dir, "indicator_inventory"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mapped(spark, sf_dir).select("entry_table", "entry_id", "indicator_id")
+
+
+def p2_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.unmatched(_mapped(spark, sf_dir))
+
+
 def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.neighbours(table(spark, sf_dir, "cached_embeddings"))
 
@@ -24,5 +40,5 @@ def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "entity_id", F.col("other").alias("other_vec_id"), "other_entity_id", "similarity")
 
 
-QUERIES = {"p4_found": p4_found, "p4_neighbours": p4_neighbours}
+QUERIES = {"p2_found": p2_found, "p2_unmatched": p2_unmatched, "p4_found": p4_found, "p4_neighbours": p4_neighbours}
 SQL: dict[str, str] = {}
