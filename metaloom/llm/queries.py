@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metaloom.llm import canonical, neighbours
+from metaloom.llm import canonical, mixing, neighbours, packing
 from metaloom.session import table
 
 
@@ -40,5 +40,32 @@ def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "entity_id", F.col("other").alias("other_vec_id"), "other_entity_id", "similarity")
 
 
-QUERIES = {"p2_found": p2_found, "p2_unmatched": p2_unmatched, "p4_found": p4_found, "p4_neighbours": p4_neighbours}
+def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "container_specs"))
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir)[0]
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(_packed(spark, sf_dir)[0], table(spark, sf_dir, "container_specs"))
+
+
+def p7_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir)[1]
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+QUERIES = {
+    "p7_containers": p7_containers, "p7_fill": p7_fill, "p7_buckets": p7_buckets, "p8_mix": p8_mix, "p8_shares": p8_shares,
+    "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p4_found": p4_found, "p4_neighbours": p4_neighbours,
+}
 SQL: dict[str, str] = {}
