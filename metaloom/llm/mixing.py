@@ -16,6 +16,8 @@ from metaloom.session import cut_lineage
 #: Documents that one task balances; those it leaves undecided go on to the next level.
 BLOCK_ROWS = 20_000
 EPS = 1e-9
+#: A document with more than this share of its block's tokens is decided before the others.
+LARGE = 0.001
 COPIES = "mix_name string, source string, doc_id long, tokens long, times long, chance double, copies long"
 
 
@@ -79,15 +81,36 @@ def land(chance: np.ndarray, balance: np.ndarray) -> np.ndarray:
     return out
 
 
-def _block(last: bool):
+def settle_large(chance: np.ndarray, load: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Decide the few documents that hold much of the block's tokens, before the others fly.
+
+    Left to the end, one of them could only land far off. They fly on token totals alone;
+    what their decision adds or takes is spread over the chances of all others.
+    """
+    tokens = load[0]
+    order = np.argsort(-tokens, kind="stable")
+    large = order[(tokens[order] > LARGE * tokens.sum()) & (np.cumsum(tokens[order]) < 0.3 * tokens.sum())]
+    if not len(large) or len(large) == len(chance):
+        return chance
+    out = chance.copy()
+    out[large] = land(flight(chance[large], load[:1, large], rng), load[:1, large])
+    rest = np.setdiff1d(np.arange(len(chance)), large)
+    shift = ((chance[large] - out[large]) @ tokens[large]) / tokens[rest].sum()
+    out[rest] = np.clip(chance[rest] + shift, 0, 1)
+    return out
+
+
+def _block(first: bool, last: bool):
     def balance(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id").reset_index(drop=True)
         rng = np.random.default_rng(int(pdf["doc_id"].iloc[0]) & 0x7FFFFFFF)
         load = np.vstack([pdf["tokens"].to_numpy(np.float64), np.ones(len(pdf))])
         # Large documents fly first, equal ones in random order, so that those left to land are small.
         order = np.lexsort((rng.random(len(pdf)), -load[0]))
-        chance = np.empty(len(pdf))
-        chance[order] = flight(pdf["chance"].to_numpy()[order], load[:, order], rng)
+        chance = pdf["chance"].to_numpy(np.float64)
+        if first:
+            chance = settle_large(chance, load, rng)
+        chance[order] = flight(chance[order], load[:, order], rng)
         if last:
             chance = land(chance, load)
         done = (chance <= EPS) | (chance >= 1 - EPS)
@@ -145,7 +168,7 @@ def mix(documents: DataFrame, mixes: DataFrame, vocabulary: str = VOCABULARY, bl
     while True:
         blocks = max(1, blocks)
         keyed = left.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(level)), F.lit(blocks)))
-        flown = cut_lineage(keyed.select("mix_name", "source", "block", "doc_id", "tokens", "times", "chance").groupBy("mix_name", "source", "block").applyInPandas(_block(blocks == 1), COPIES))
+        flown = cut_lineage(keyed.select("mix_name", "source", "block", "doc_id", "tokens", "times", "chance").groupBy("mix_name", "source", "block").applyInPandas(_block(level == 0, blocks == 1), COPIES))
         done = done.unionByName(flown.where("copies >= 0").select("mix_name", "source", "doc_id", "tokens", "copies"))
         if blocks == 1:
             break
