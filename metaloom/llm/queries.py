@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metaloom.llm import canonical, mixing, neighbours, packing
+from metaloom.llm import canonical, mixing, neighbours, packing, reading
 from metaloom.session import table
 
 
@@ -64,7 +64,25 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
+def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_labels"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _levels(spark, sf_dir).select("doc_id", "reading_level")
+
+
+def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _levels(spark, sf_dir)
+
+
+def p9_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = table(spark, sf_dir, "documents").withColumn("source", mixing.source_name("source"))
+    return reading.reading_profile(_levels(spark, sf_dir), named, "source")
+
+
 QUERIES = {
+    "p9_found": p9_found, "p9_levels": p9_levels, "p9_profile": p9_profile,
     "p7_containers": p7_containers, "p7_fill": p7_fill, "p7_buckets": p7_buckets, "p8_mix": p8_mix, "p8_shares": p8_shares,
     "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p4_found": p4_found, "p4_neighbours": p4_neighbours,
 }
