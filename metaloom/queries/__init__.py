@@ -8,7 +8,7 @@ from types import ModuleType
 
 def modules() -> list[ModuleType]:
     """The modules with QUERIES and SQL; that of the optional subpackage only if it is there."""
-    names = [f"metaloom.queries.{n}" for n in ("problems", "relational", "metadata")]
+    names = [f"metaloom.queries.{n}" for n in ("problems", "relational", "metadata", "retrieval")]
     found = [importlib.import_module(n) for n in names]
     try:
         found.append(importlib.import_module("metaloom." + "llm.queries"))
