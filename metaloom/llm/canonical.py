@@ -208,10 +208,10 @@ class Matcher:
                 offer(w + "s", PLURAL, w)
                 for v in one_slip(w) if len(w) > 3 else ():
                     offer(v, SLIP, w)
-            for t in self.frequent:  # the abbreviations in use
-                near = self.readings(t)
+            for short in self.frequent:  # the abbreviations in use
+                near = self.readings(short)
                 if near and near[0][1] == SHORT:
-                    offer(t, SHORT, t)
+                    offer(short, SHORT, short)
             self.pieces = ahocorasick.Automaton()
             for s, (cost, w) in spellings.items():
                 self.pieces.add_word(s, (len(s), cost, w))
