@@ -44,12 +44,14 @@ def postings(docs: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
     return rows.select("field", "id", "length", F.explode("words").alias("term")).groupBy("field", "term", "id", "length").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, key: str, fields: dict[str, Column], queries: DataFrame, boosts: dict[str, float] | None = None) -> DataFrame:
+def bm25(docs: DataFrame, key: str, fields: dict[str, Column], queries: DataFrame, boosts: dict[str, float] | None = None, most_df: float = 1.0) -> DataFrame:
     """(qid, id, score): textbook BM25 of each query's distinct words (qid, term), summed over fields with their boosts.
 
     Only the postings of the queries' words are aggregated; document numbers and mean
     lengths come from one pass without words. A word in every document keeps a positive
-    weight: idf = ln(1 + (n - df + 0.5) / (df + 0.5)).
+    weight: idf = ln(1 + (n - df + 0.5) / (df + 0.5)). Words in more than the share ``most_df`` of a
+    field's documents tell little apart; leaving them out keeps many queries at once from
+    being paired with most documents each.
     """
     terms = queries.select("qid", "term").distinct()
     wanted = terms.select("term").distinct()
@@ -66,7 +68,7 @@ def bm25(docs: DataFrame, key: str, fields: dict[str, Column], queries: DataFram
     boost = F.lit(1.0)
     for name, value in (boosts or {}).items():
         boost = F.when(F.col("field") == name, value).otherwise(boost)
-    weighted = df.join(stats, "field").select("field", "term", (boost * idf).alias("w"), "mean")
+    weighted = df.join(stats, "field").where(F.col("df") <= most_df * F.col("n")).select("field", "term", (boost * idf).alias("w"), "mean")
     scored = hits.join(weighted, ["field", "term"]).join(terms, "term")
     return scored.groupBy("qid", "id").agg(F.round(F.sum(F.col("w") * norm), 6).alias("score"))
 

@@ -55,7 +55,7 @@ def check(sql: str) -> str:
             continue
         bare = text.strip('"`').lower()
         if kind == "word" and text in WRITES and before != "." and after != "." and not (after == "(" and text in ALSO_FUNCTIONS):
-            starts = i == 0 or before in ("(", ")", "as") or (text in ("insert", "update", "delete", "merge") and after in ("into", "from", "set"))
+            starts = i == 0 or before in ("(", ")") or (text in ("insert", "update", "delete", "merge") and after in ("into", "from", "set"))
             if starts:
                 raise GuardError(f"{text.upper()} is not allowed")
         if kind == "word" and text == "into" and before != "insert":
