@@ -19,11 +19,8 @@ def carry_forward(df: DataFrame, keys: list[str], order: str, value: Column, nam
     """
     rows = df.withColumn("_block", F.floor(F.col(order) / block)).withColumn("_value", value)
     within = W.partitionBy(*keys, "_block").orderBy(order).rangeBetween(W.unboundedPreceding, -1)
-    ends = rows.where("_value is not null").groupBy(*keys, "_block").agg(F.max_by("_value", order).alias("_end"))
-    # An end holds for the blocks up to the next end.
-    over = W.partitionBy(*keys).orderBy("_block")
-    ends = ends.select(*keys, F.col("_block").alias("_from"), F.coalesce(F.lead("_block").over(over), F.lit(2**62)).alias("_to"), "_end")
-    blocks = rows.select(*keys, "_block").distinct()
-    held = blocks.join(ends, keys).where("_from < _block and _block <= _to").select(*keys, "_block", "_end")
+    ends = rows.groupBy(*keys, "_block").agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(order))).alias("_last"))
+    over = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    held = ends.select(*keys, "_block", F.last("_last", True).over(over).alias("_end")).where("_end is not null")
     out = rows.withColumn("_near", F.last("_value", True).over(within)).join(held, [*keys, "_block"], "left")
     return out.withColumn(name, F.coalesce("_near", "_end")).drop("_block", "_value", "_near", "_end")

@@ -7,12 +7,5 @@ from types import ModuleType
 
 
 def modules() -> list[ModuleType]:
-    """The modules with QUERIES and SQL; that of the optional subpackage only if it is there."""
-    names = [f"metaloom.queries.{n}" for n in ("problems", "relational", "metadata", "retrieval", "quality")]
-    found = [importlib.import_module(n) for n in names]
-    try:
-        found.append(importlib.import_module("metaloom." + "llm.queries"))
-    except ModuleNotFoundError as e:
-        if not (e.name or "").startswith("metaloom.llm"):
-            raise
-    return found
+    """The modules with QUERIES and SQL."""
+    return [importlib.import_module(f"metaloom.queries.{n}") for n in ("problems", "relational", "metadata", "retrieval", "quality")]

@@ -132,7 +132,31 @@ WITH RECURSIVE latest AS (
 )
 """
 
+def _items(source: str, value: str) -> str:
+    """Texts and numbers of a list, or of a lone value, with their place."""
+    listed = f"CASE WHEN json_type(({value})) = 'ARRAY' THEN from_json({value}, '[\"JSON\"]') WHEN ({value}) IS NOT NULL THEN [{value}] END"
+    return f"(SELECT * FROM (SELECT *, unnest(l) AS item, generate_subscripts(l, 1) - 1 AS place FROM (SELECT *, {listed} AS l FROM {source})) WHERE json_type(item) IN ('VARCHAR', 'UBIGINT', 'BIGINT', 'DOUBLE'))"
+
+
+_BLOCKS = """WITH j AS (SELECT DISTINCT block_id, CAST(payload_json AS JSON) AS p FROM nova_blocks WHERE json_valid(payload_json)),
+k AS (SELECT block_id, CASE WHEN json_type(p, '$.meta.nova') = 'OBJECT' THEN p->'$.meta.nova' ELSE p->'$.config.meta.nova' END AS b FROM j),
+ml AS (SELECT block_id, from_json(b->'$.measures', '["JSON"]') AS l FROM k WHERE json_type(b, '$.measures') = 'ARRAY'),
+m AS (SELECT block_id, a, e FROM (SELECT block_id, unnest(l) AS e, generate_subscripts(l, 1) - 1 AS a FROM ml) WHERE json_type(e) = 'OBJECT' AND json_type(e, '$.name') = 'VARCHAR'),
+tl AS (SELECT block_id, list_concat(CASE WHEN coalesce(json_type(b, '$.metric'), 'NULL') <> 'NULL' THEN [b->'$.metric'] ELSE [] END, CASE WHEN json_type(b, '$.metrics') = 'ARRAY' THEN from_json(b->'$.metrics', '["JSON"]') ELSE [] END) AS l FROM k),
+t AS (SELECT block_id, a, e FROM (SELECT block_id, unnest(l) AS e, generate_subscripts(l, 1) - 1 AS a FROM tl) WHERE json_type(e) = 'OBJECT' AND json_type(e, '$.name') = 'VARCHAR'),
+fl AS (SELECT block_id, a, from_json(e->'$.recommended_filters', '["JSON"]') AS l FROM t WHERE json_type(e, '$.recommended_filters') = 'ARRAY'),
+f AS (SELECT block_id, a, c, e FROM (SELECT block_id, a, unnest(l) AS e, generate_subscripts(l, 1) - 1 AS c FROM fl) WHERE json_type(e) = 'OBJECT' AND json_type(e, '$.field') = 'VARCHAR'),
+g AS (SELECT block_id, a, e FROM t WHERE json_type(e, '$.grain') = 'OBJECT'),
+r AS (SELECT block_id, 'measure' AS child_kind, a AS pos_a, -1 AS pos_b, -1 AS pos_c FROM m UNION ALL SELECT block_id, 'metric', a, -1, -1 FROM t UNION ALL SELECT block_id, 'filter', a, c, -1 FROM f
+"""
+_BLOCKS += "".join(f" UNION ALL SELECT block_id, '{kind}', a, {b}, {c} FROM {_items(src, value)}" for kind, src, value, b, c in (
+    ("measure_synonym", "m", "e->'$.synonyms'", "place", "-1"), ("metric_synonym", "t", "e->'$.synonyms'", "place", "-1"), ("grain_key", "g", "e->'$.grain.primary_key'", "place", "-1"),
+    ("grain_dimension", "g", "e->'$.grain.dimensions'", "place", "-1"), ("filter_value", "f", "e->'$.values'", "c", "place"),
+))
+_BLOCKS += ")"
+
 SQL = {
+    "p5_found": _BLOCKS + " SELECT block_id, child_kind, CAST(pos_a AS INTEGER) AS pos_a, CAST(pos_b AS INTEGER) AS pos_b, CAST(pos_c AS INTEGER) AS pos_c FROM r",
     "p1_found": _REFS + "SELECT ref_table, period, row_id, ref_id FROM o",
     "p1_report": _REFS + "SELECT ref_table, period, reason, count(*) AS orphan_references, count(DISTINCT ref_id) AS orphan_ids, count(DISTINCT row_id) AS orphan_rows FROM o GROUP BY 1, 2, 3",
     "p3_found": _TREE + "SELECT node AS unique_id, top AS root_id, CAST(dist AS INTEGER) AS depth FROM tree UNION ALL SELECT node, least, CAST(CASE WHEN on_loop THEN -1 ELSE -2 END AS INTEGER) FROM loop_end",
