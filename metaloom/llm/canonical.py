@@ -21,6 +21,8 @@ FILLERS = frozenset(
 )
 #: Words of a name that may be left out or put in.
 CONNECTORS = frozenset("of per from the a in until".split())
+#: Short forms that are no run of the word's own letters.
+ALIASES = {"no": "number", "nr": "number"}
 #: Single words up to this length are taken for acronyms, which allow no slips.
 ACRONYM = 6
 #: A word is frequent if this share of the values has it, so that at most words-per-value / share are.
@@ -87,7 +89,7 @@ def one_slip(word: str) -> set[str]:
 
 def allowed(word: str) -> int:
     """Slips that a typed word may be away from a canonical one."""
-    return 2 if len(word) >= 6 else 1
+    return 2 if len(word) >= 5 else 1
 
 
 def abbreviates(short: str, word: str) -> bool:
@@ -171,6 +173,8 @@ class Matcher:
         if trust and t in self.seen:
             return self.seen[t]
         found: dict[str, float] = {}
+        if ALIASES.get(t) in self.plain:
+            found[ALIASES[t]] = SHORT
         if len(t) >= 3:
             for base, extra in ((t, 0.0), *([(t[:-1], PLURAL)] if t.endswith("s") and len(t) > 3 else [])):
                 if base in self.plain:
@@ -193,6 +197,12 @@ class Matcher:
             self.seen[t] = out
         return out
 
+    def idle(self, t: str) -> bool:
+        """Whether a word left over says nothing: a decoration, a connecting word or a slip of one, or a number."""
+        if t in FILLERS or t in CONNECTORS or t.isdigit():
+            return True
+        return t not in self.foreign and any(len(c) >= 4 and slips(t, c, 1) <= 1 for c in CONNECTORS)
+
     def split(self, t: str) -> list[str] | None:
         """A word written without gaps as its parts, slips allowed, by the cheapest cover from the automaton of all parts' spellings."""
         if self.pieces is None:
@@ -206,6 +216,7 @@ class Matcher:
                 offer(w, 0.0 if len(w) > 1 else 0.6, w)
             for w in self.plain:
                 offer(w + "s", PLURAL, w)
+            for w in [*self.plain, *CONNECTORS]:
                 for v in one_slip(w) if len(w) > 3 else ():
                     offer(v, SLIP, w)
             for short in self.frequent:  # the abbreviations in use
@@ -334,7 +345,7 @@ class Matcher:
                 if len(used) < len(need) or total > min(MAX_COST, max(1.0, COST_PER_LETTER * letters)):
                     continue
                 lo, hi = min(used) - 1, max(used) + 1
-                left = [i for i in range(len(t)) if i not in used and t[i] not in FILLERS and t[i] not in CONNECTORS and not t[i].isdigit()]
+                left = [i for i in range(len(t)) if i not in used and not self.idle(t[i])]
                 if any(not around or lo <= i <= hi for i in left):
                     continue
                 got = (who, len(need), total)

@@ -8,7 +8,7 @@ from metaloom.llm.canonical import Matcher, allowed, deletions, map_to_canonical
 
 NAMES = [
     (1, "supplier_invoice_lead_time", ["days until done of supplier invoice", None, " "]), (2, "Refund Rate", ["rere", "refund percentage"]), (3, "partner payout unit cost", ["PPUC"]),
-    (4, "basket volume", []), (5, "supplier invoice gross margin", ["zabufafi index"]), (6, "refund lost revenue", None),
+    (4, "basket volume", []), (5, "supplier invoice gross margin", ["zabufafi index"]), (6, "refund lost revenue", None), (7, "basket size", ["number of basket"]),
 ]
 
 
@@ -17,7 +17,7 @@ def matcher(frequent=None):
 
 
 @pytest.mark.parametrize(("typed", "want"), [
-    ("Supplier Invoice LEAD time", 1), ("supplierInvoiceLeadTime", 1), ("supplierinvoiceleadtime", 1), ("suplier-invioce lead time", 1), ("suppl inv lead time", 1), ("lead time of supplier invoice", 1), ("dayss until done of suplier invoice", 1),
+    ("Supplier Invoice LEAD time", 1), ("supplierInvoiceLeadTime", 1), ("supplierinvoiceleadtime", 1), ("suplier-invioce lead time", 1), ("suppl inv lead time", 1), ("lead time of supplier invoice", 1), ("dayss until done of suplier invoice", 1), ("days untli done of supplier invoice", 1), ("daysutnildoneofsupplierinvoice", 1), ("suplpier inovice laed time", 1), ("no of basket", 7), ("bassekt volume", 4),
     ("ｒｅｆｕｎｄ ｒａｔｅ", 2), ("ré​fund rate.", 2), ("R.E.R.E", 2), ("refund pct", 2), ("our refund rate (final)", 2), ("ppuc kpi", 3), ("unit cost: partner payout", 3), ("prtnerpayoutunitcost", 3), ("zabufai index", 5),
     ("partner payout fixed cost", 0), ("refund gained revenue", 0), ("basket volume discount", 0), ("basketvolumediscount", 0), ("refund", 0), ("xx", 0), ("???", 0), ("rerx", 0), ("supplier invoice net margin", 0), ("tide height", 0),
 ])
