@@ -37,11 +37,18 @@ def bm25_boosted(spark, sf_dir):
 
 
 def bm25_bulk(spark, sf_dir):
-    """Every graded question against all entities' names and descriptions: each question's ten best."""
+    """Every graded question against all entities' names and descriptions: each question's ten best.
+
+    Questions of the same words are ranked once.
+    """
     e = inventory.current(table(spark, sf_dir, "entities"))
-    q = table(spark, sf_dir, "search_eval_qrels").where("query is not null").select(F.col("entry_id").alias("qid"), F.explode(F.array_distinct(tokens(F.regexp_replace("query", "_", " ")))).alias("term"))
+    asked = table(spark, sf_dir, "search_eval_qrels").where("query is not null").select(
+        F.col("entry_id").alias("entry"), F.array_sort(F.array_distinct(tokens(F.regexp_replace("query", "_", " ")))).alias("words")
+    ).distinct()
+    once = asked.groupBy("words").agg(F.min("entry").alias("qid"))
     fields = {"name": F.regexp_replace("entity_name", "_", " "), "description": F.col("description")}
-    return search.top(search.bm25(e, "unique_id", fields, q, search.FIELD_BOOSTS, 0.05), 10).select("qid", F.col("id").alias("unique_id"), F.round("score", 3).alias("score"))
+    hits = search.top(search.bm25(e, "unique_id", fields, once.select("qid", F.explode("words").alias("term")), search.FIELD_BOOSTS, 0.05), 10)
+    return asked.join(once, "words").join(hits, "qid").select(F.col("entry").alias("qid"), F.col("id").alias("unique_id"), F.round("score", 3).alias("score"))
 
 
 def postings_stats(spark, sf_dir):
