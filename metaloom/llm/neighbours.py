@@ -147,9 +147,10 @@ def search_cell(ids: np.ndarray, x: np.ndarray, home: np.ndarray, k: int) -> tup
 
 
 def usable(vectors: DataFrame, dim: int) -> DataFrame:
-    """(model_name, vec_id, v) of the rows with an id and a vector of the right length."""
+    """(model_name, vec_id, v) of the rows with an id and a vector of the right length, finite and not all zero."""
+    finite = F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))  # NaN is above infinity
     return vectors.select(F.coalesce("model_name", F.lit("")).alias("model_name"), F.col("vec_id").cast("long").alias("vec_id"), F.col("dense_embedding").cast("array<float>").alias("v")).where(
-        (F.size("v") == dim) & F.col("vec_id").isNotNull()
+        (F.size("v") == dim) & F.col("vec_id").isNotNull() & finite & F.exists("v", lambda x: x != 0)
     )
 
 

@@ -67,5 +67,13 @@ def test_many_copies_take_the_smallest_ids(spark):
     assert all(len(v) == 5 for v in got.values()) and len(got) == 49
 
 
+def test_many_unusable_copies_have_no_neighbours(spark):
+    x = clusters(10, 3)
+    kinds = [[0.0] * 64, [-0.0] * 64, [float("nan")] * 64, [float("inf")] * 64, [None] + [1.0] * 63]
+    bad = [(1000 * (j + 1) + i, "m", v) for j, v in enumerate(kinds) for i in range(9)]
+    got = neighbours(frame(spark, [(i, "m", v) for i, v in enumerate(x)] + bad)).collect()
+    assert {r.vec_id for r in got} == set(range(10)) and {r.other for r in got} <= set(range(10)) and len(got) == 50
+
+
 def test_empty(spark):
     assert neighbours(frame(spark, [])).count() == 0
