@@ -42,12 +42,12 @@ def links(parent_map: DataFrame, child_map: DataFrame) -> DataFrame:
     return every.where("child is not null").groupBy("child").agg(F.min("grp").alias("grp"), F.min("parent").alias("parent"), F.max("grp").alias("last_grp"))
 
 
-def peel(child: np.ndarray, parent: np.ndarray, with_path: bool) -> pd.DataFrame:
+def peel(child: np.ndarray, parent: np.ndarray, with_line: bool) -> pd.DataFrame:
     """Hierarchy of one group of links; every node is once in ``child``, parent is None at a root.
 
     Leaves are peeled from below, each adding its subtree's size to its parent's. What is
-    left has only loops. In reverse peel order every node then takes root, depth and path
-    from its parent.
+    left has only loops. In reverse peel order every node then takes root, depth and line
+    (see :func:`hierarchies`) from its parent.
     """
     index = pd.Index(child)
     up = np.where(pd.isna(parent), -1, index.get_indexer(pd.Series(parent, dtype=object).fillna("")))
@@ -65,7 +65,7 @@ def peel(child: np.ndarray, parent: np.ndarray, with_path: bool) -> pd.DataFrame
         front = np.unique(above[own])
         front = front[(waiting[front] == 0) & ~peeled[front]]
     depth, root = np.zeros(n, dtype=np.int32), np.arange(n)
-    path: list = [None] * n
+    line: list = [None] * n
     for start in np.flatnonzero(~peeled):
         if depth[start] == ON_LOOP:
             continue
@@ -75,30 +75,35 @@ def peel(child: np.ndarray, parent: np.ndarray, with_path: bool) -> pd.DataFrame
         least = min(loop, key=lambda i: child[i])
         below = int(size[loop].sum())
         for i in loop:
-            depth[i], root[i], size[i], path[i] = ON_LOOP, least, below, [child[i]]
+            depth[i], root[i], size[i] = ON_LOOP, least, below
+        if with_line:
+            names = [child[i] for i in reversed(loop)]  # from above to below
+            for at, i in enumerate(reversed(loop)):
+                line[i] = [*names[at + 1 :], *names[: at + 1]]
     for front in reversed(order):
         above = up[front]
         own = above >= 0
         low, high = front[own], above[own]
         depth[low] = np.where(depth[high] >= 0, depth[high] + 1, BELOW_LOOP)
         root[low] = root[high]
-        if with_path:
+        if with_line:
             for i in front:
-                path[i] = [*path[up[i]], child[i]] if depth[i] > 0 else [child[i]]
+                line[i] = [*line[up[i]], child[i]] if up[i] >= 0 else [child[i]]
     out = pd.DataFrame({"unique_id": child, "root_id": child[root], "depth": depth, "descendants": size - 1})
-    if with_path:
-        out["path"] = path
+    if with_line:
+        out["line"] = line
     return out
 
 
-def rounds(edges: DataFrame, with_path: bool) -> DataFrame:
+def rounds(edges: DataFrame, with_line: bool) -> DataFrame:
     """The same result for groups that are too large for a task, in rounds of joins over the whole cluster.
 
     Each round joins every open pointer with its target's pointer, so that distances double
     and the tallest tree takes log2(height) rounds. Nodes that no round brings to a root lie
-    on or below a loop; doubling goes on until the pointers of these all end on loops.
+    on or below a loop; doubling goes on until the pointers of these all end on loops. For
+    their lines each loop is cut above its smallest id, which makes trees of them.
     """
-    ups = F.array("parent") if with_path else F.lit(None).cast("array<string>")
+    ups = F.array("parent") if with_line else F.lit(None).cast("array<string>")
     state = cut_lineage(edges.select(
         F.col("child").alias("node"), F.coalesce("parent", "child").alias("anc"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("dist"),
         F.least("child", "parent").alias("low"), F.col("parent").isNull().alias("done"), F.when(F.col("parent").isNotNull(), ups).otherwise(F.array().cast("array<string>")).alias("ups"),
@@ -108,31 +113,48 @@ def rounds(edges: DataFrame, with_path: bool) -> DataFrame:
         a, b = state.alias("a"), state.alias("b")
         step = a.where("not a.done").join(b, F.col("a.anc") == F.col("b.node")).select(
             "a.node", "b.anc", (F.col("a.dist") + F.col("b.dist")).alias("dist"), F.least("a.low", "b.low").alias("low"), "b.done",
-            # Only ways to a root become paths, so those of residual nodes need not grow.
-            (F.concat("a.ups", "b.ups") if not spun and with_path else F.col("a.ups")).alias("ups"),
+            # Only ways to a root become lines, so those of residual nodes need not grow.
+            (F.concat("a.ups", "b.ups") if not spun and with_line else F.col("a.ups")).alias("ups"),
         )
         state = cut_lineage(state.where("done").unionByName(step))
         now = state.where(~F.col("done")).count()
         length, spun, left = length * 2, spun or now == left, now
-    tree = state.where("done").select(F.col("node").alias("unique_id"), F.col("anc").alias("root_id"), F.col("dist").cast("int").alias("depth"), F.reverse(F.concat(F.array("node"), "ups")).alias("path"))
+    tree = state.where("done").select(F.col("node").alias("unique_id"), F.col("anc").alias("root_id"), F.col("dist").cast("int").alias("depth"), F.reverse(F.concat(F.array("node"), "ups")).alias("line"))
     rest = state.where("not done")
     ends = rest.select(F.col("anc").alias("at")).distinct()
     loops = rest.join(ends, F.col("node") == F.col("at")).select("at", F.col("low").alias("least"))
-    on = loops.select(F.col("at").alias("unique_id"), F.col("least").alias("root_id"), F.lit(ON_LOOP).alias("depth"), F.array("at").alias("path"))
+    on = loops.select(F.col("at").alias("unique_id"), F.col("least").alias("root_id"), F.lit(ON_LOOP).alias("depth"))
     ends = loops.select(F.col("at").alias("loop_node"))
     below = rest.join(ends, F.col("node") == F.col("loop_node"), "left_anti").join(loops, F.col("anc") == F.col("at")).select(
-        F.col("node").alias("unique_id"), F.col("least").alias("root_id"), F.lit(BELOW_LOOP).alias("depth"), F.array("node").alias("path")
+        F.col("node").alias("unique_id"), F.col("least").alias("root_id"), F.lit(BELOW_LOOP).alias("depth")
     )
-    out = tree.unionByName(on).unionByName(below)
-    return out if with_path else out.drop("path")
+    looped = on.unionByName(below)
+    if not with_line:
+        return tree.drop("line").unionByName(looped)
+    if left:
+        looped = cut_lineage(looped)
+        parent = F.when(F.col("child") != F.col("root_id"), F.col("parent")).alias("parent")
+        cut = rounds(edges.join(looped, F.col("child") == F.col("unique_id")).select("child", parent), True).select("unique_id", "line")
+        looped = cut_lineage(looped.join(cut, "unique_id"))
+        rings = looped.where(F.col("depth") == ON_LOOP).groupBy("root_id").agg(F.max_by("line", F.size("line")).alias("ring"))
+        entered = F.size(F.array_intersect("line", "ring"))
+        line = F.concat(F.slice("ring", entered + 1, F.size("ring")), "line")
+        looped = looped.join(rings, "root_id").select("unique_id", "root_id", "depth", line.alias("line"))
+        tree = tree.unionByName(looped)
+    sizes = closure(tree).groupBy("ancestor_id").agg(F.count("*").alias("descendants"))
+    return tree.join(sizes, F.col("unique_id") == F.col("ancestor_id"), "left").select(*tree.columns, F.coalesce("descendants", F.lit(0)).alias("descendants"))
 
 
 def hierarchies(parent_map: DataFrame, child_map: DataFrame, with_path: bool = False, max_group_links: int = MAX_GROUP_LINKS) -> DataFrame:
-    """(unique_id, root_id, depth[, path]) of each node, i.e. each id that either table names.
+    """(unique_id, root_id, depth[, path, line, descendants]) of each node, i.e. each id that either table names.
 
     A node without parent is its own root at depth 0. A node on a loop has depth -1, one that
     hangs below a loop -2; the root of both is the loop's smallest id. path leads from the
     root down to the node; on or below a loop, where no root is above, it is the node alone.
+    line has all the node's ancestors, the farthest first, and then the node: its path; on a
+    loop once around it from the node's child on the loop; below one the line of the loop node it
+    hangs from, and the way down. descendants is the number of nodes whose lines have the
+    node above them.
 
     Method: links are grouped by project, each group is peeled from its leaves and, in
     reverse order, labelled (:func:`peel`). Groups above ``max_group_links``, and all groups
@@ -140,10 +162,15 @@ def hierarchies(parent_map: DataFrame, child_map: DataFrame, with_path: bool = F
     give no rows; nulls, blanks, repeated rows and elements: see :func:`links`.
     """
     every = cut_lineage(links(parent_map, child_map))
-    fields = "unique_id string, root_id string, depth int" + ", path array<string>" * with_path
+    fields = "unique_id string, root_id string, depth int" + ", line array<string>, descendants long" * with_path
     keep = [f.split()[0] for f in fields.split(", ")]
+
+    def finish(df: DataFrame) -> DataFrame:
+        path = F.when(F.col("depth") >= 0, F.col("line")).otherwise(F.array("unique_id")) if with_path else None
+        return df.select(*keep[:3], *([path.alias("path"), *keep[3:]] if with_path else []))
+
     if every.where("grp <> last_grp").limit(1).count():
-        return rounds(every, with_path).select(*keep)
+        return finish(rounds(every, with_path))
     large = every.groupBy("grp").count().where(F.col("count") > max_group_links).select("grp")
     some = large.limit(1).count()
 
@@ -152,10 +179,14 @@ def hierarchies(parent_map: DataFrame, child_map: DataFrame, with_path: bool = F
 
     small = every.join(large, "grp", "left_anti") if some else every
     out = small.select("grp", "child", "parent").groupBy("grp").applyInPandas(one, fields)
-    return out.unionByName(rounds(every.join(large, "grp", "left_semi"), with_path).select(*keep)) if some else out
+    return finish(out.unionByName(rounds(every.join(large, "grp", "left_semi"), with_path).select(*keep)) if some else out)
 
 
 def closure(nodes: DataFrame) -> DataFrame:
-    """(ancestor_id, unique_id, distance): each node with all its descendants, from the paths of :func:`hierarchies`."""
-    up = nodes.select("unique_id", F.posexplode("path").alias("pos", "ancestor_id"), F.size("path").alias("n"))
+    """(ancestor_id, unique_id, distance): each node with all its descendants, from the lines of :func:`hierarchies`.
+
+    The nodes of a loop are each other's descendants, and what hangs below a loop descends
+    from all of them; no node is its own. distance is the number of links down.
+    """
+    up = nodes.select("unique_id", F.posexplode("line").alias("pos", "ancestor_id"), F.size("line").alias("n"))
     return up.select("ancestor_id", "unique_id", (F.col("n") - 1 - F.col("pos")).alias("distance")).where("distance > 0")

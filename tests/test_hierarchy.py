@@ -53,6 +53,24 @@ def test_random_forest_paths_and_closure(spark, limit):
     assert pairs == {(a, f"n{i}", len(path(i)) - 1 - k) for i in parent for k, a in enumerate(path(i)[:-1])}
 
 
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_descendants_on_and_below_loops(spark, limit):
+    parent = {"b": "d", "c": "b", "d": "c", "self": "self", "s1": "self", "t": "c", "u": "t", "v": "u", "w": "t", "a": None, "a1": "a", "a2": "a1"}
+    got = hierarchies(*frames(spark, [("p", n, [p] if p else [], 1) for n, p in parent.items()], []), with_path=True, max_group_links=limit)
+    want = set()
+    for n in parent:
+        at, far = parent[n], 1
+        while at is not None and at != n and (at, n) not in {w[:2] for w in want}:
+            want.add((at, n, far))
+            at, far = parent[at], far + 1
+    assert len(want) == 26
+    pairs = [(r.ancestor_id, r.unique_id, r.distance) for r in closure(got).collect()]
+    assert len(pairs) == len(want) and set(pairs) == want
+    rows = got.collect()
+    assert {r.unique_id: r.descendants for r in rows} == {n: sum(a == n for a, _, _ in want) for n in parent}
+    assert all(r.path == [r.unique_id] for r in rows if r.depth < 0)
+
+
 def test_links_across_projects(spark):
     assert rows(hierarchies(*frames(spark, [("p", "b", ["a"], 1), ("q", "c", ["b"], 1)], []))) == [("a", "a", 0), ("b", "a", 1), ("c", "a", 2)]
 
