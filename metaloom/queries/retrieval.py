@@ -47,7 +47,7 @@ def bm25_bulk(spark, sf_dir):
     ).distinct()
     once = asked.groupBy("words").agg(F.min("entry").alias("qid"))
     fields = {"name": F.regexp_replace("entity_name", "_", " "), "description": F.col("description")}
-    hits = search.top(search.bm25(e, "unique_id", fields, once.select("qid", F.explode("words").alias("term")), search.FIELD_BOOSTS, 0.05), 10)
+    hits = search.top(search.bm25(e, "unique_id", fields, once.select("qid", F.explode("words").alias("term")), search.FIELD_BOOSTS), 10)
     return asked.join(once, "words").join(hits, "qid").select(F.col("entry").alias("qid"), F.col("id").alias("unique_id"), F.round("score", 3).alias("score"))
 
 

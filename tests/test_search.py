@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from metaloom.functions import scores
 from metaloom.operators import lineage, search
+from metaloom.queries import retrieval
 
 
 def test_bm25_by_hand(spark):
@@ -100,3 +101,15 @@ def test_column_matches(spark):
     assert {(r.source_column, r.target_column, r.match_type, r.score) for r in lineage.column_matches(pairs).collect()} == {
         ("id", "ID", "exact_match", 1.0), ("id", "user_id", "suffix_match", 0.24), ("a", "b", "sql_alias", 0.81), ("user_id", "userid", "levenshtein_match", round(0.6 * 6 / 7, 6)),
     }
+
+
+def test_bulk_ranking_keeps_words_that_most_entities_hold(spark, tmp_path):
+    columns = "unique_id string, resource_type string, entity_name string, package_name string, database_name string, schema_name string, materialization string, description string, tags array<string>, created_at timestamp_ntz, deleted_at timestamp_ntz"
+    entities = [(f"model.p.e{i:02}", "model", f"invoice_e{i:02}" + "_total" * (i == 7), "p", None, None, None, None, None, None, None) for i in range(30)]
+    spark.createDataFrame(entities, columns).write.parquet(str(tmp_path / "entities.parquet"))
+    spark.createDataFrame([(1, "Invoice"), (2, "invoice total"), (3, "voucher")], "entry_id long, query string").write.parquet(str(tmp_path / "search_eval_qrels.parquet"))
+    got = {}
+    for r in retrieval.bm25_bulk(spark, str(tmp_path)).collect():
+        got.setdefault(r.qid, {})[r.unique_id] = r.score
+    assert {q: len(hits) for q, hits in got.items()} == {1: 10, 2: 10}
+    assert max(got[2], key=got[2].get) == "model.p.e07" and min(got[2].values()) > 0
