@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from metaloom.functions.jsonvalue import parse, plain
 from metaloom.functions.scores import pii_like
 from metaloom.operators import hierarchy, inventory, lineage
 from metaloom.queries import problems
@@ -102,11 +104,24 @@ def dag_cycles(spark, sf_dir):
 
 
 def _payload_columns(spark, sf_dir):
-    """Declared columns of valid payloads: (unique_id, column_name, data_type)."""
-    text = r'"(\w+)_[0-9a-f]{2}"\s*:\s*\{\s*"data_type"\s*:\s*"(\w+)"'
-    return table(spark, sf_dir, "nova_blocks").where("payload_json is not null and unique_id is not null").select(
-        F.lower(F.trim("unique_id")).alias("unique_id"), F.explode(F.arrays_zip(F.regexp_extract_all("payload_json", F.lit(text), 1).alias("n"), F.regexp_extract_all("payload_json", F.lit(text), 2).alias("t"))).alias("x")
-    ).select("unique_id", F.col("x.n").alias("column_name"), F.col("x.t").alias("data_type")).distinct()
+    """Declared columns of valid payloads: (unique_id, column_name, data_type), names as written."""
+
+    def read(batches):
+        for batch in batches:
+            out = []
+            for uid, text in batch.itertuples(index=False, name=None):
+                try:
+                    payload = parse(text)
+                except ValueError:
+                    continue
+                held = payload.get("columns") if isinstance(payload, dict) else None
+                for name, c in held.items() if isinstance(held, dict) else ():
+                    if isinstance(c, dict):
+                        out.append((uid, plain(name), plain(c.get("data_type"))))
+            yield pd.DataFrame(out, columns=["unique_id", "column_name", "data_type"], dtype=object)
+
+    held = table(spark, sf_dir, "nova_blocks").where("payload_json is not null and unique_id is not null")
+    return held.select(F.lower(F.trim("unique_id")).alias("unique_id"), "payload_json").mapInPandas(read, "unique_id string, column_name string, data_type string").distinct()
 
 
 def column_lineage(spark, sf_dir):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 from metaloom.operators import inventory
+from metaloom.queries import metadata
 from metaloom.sources import manifest
 
 
@@ -73,3 +74,13 @@ def test_inventory_edge_cases(spark):
     assert inventory.matching(e, "Model", None, None, "d.s").count() == 1 and inventory.matching(e, None, None, None, "S").count() == 2
     assert inventory.lookup(e, "A").count() == 1 and inventory.lookup(e, "n").count() == 2 and inventory.lookup(e, "N").count() == 0
     assert inventory.page(e, ["unique_id"], 1, 1).first().unique_id == "b"
+
+
+def test_declared_columns_of_payloads_keep_whole_names(spark, tmp_path):
+    payloads = [
+        '{"columns": {"closed_at_6b": {"data_type": "date"}, "closed_at_1f": {"data_type": "date"}, "plain": {"meta": {}, "data_type": "int"}, "with space": {"data_type": "numeric(10,2)"}, "untyped": {}, "odd": 3}}',
+        '{"columns": {"lost_aa": {"data_type": "int"}}', '{"other": {"nested_aa": {"data_type": "int"}}}', "[1]", None,
+    ]
+    spark.createDataFrame([(" M.a", p) for p in payloads], "unique_id string, payload_json string").write.parquet(str(tmp_path / "nova_blocks.parquet"))
+    got = [tuple(r) for r in metadata._payload_columns(spark, str(tmp_path)).collect()]
+    assert len(got) == 5 and set(got) == {("m.a", "closed_at_6b", "date"), ("m.a", "closed_at_1f", "date"), ("m.a", "plain", "int"), ("m.a", "with space", "numeric(10,2)"), ("m.a", "untyped", None)}
