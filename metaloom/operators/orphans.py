@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from metaloom.functions.text import norm_id, norm_ids
-from metaloom.plans.skew import hot_keys, parts_of
+from metaloom.plans.skew import PART_ROWS, hot_keys, with_parts
 
 START, END, REF = 0, 1, 2
 
@@ -28,13 +28,13 @@ def references(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     return out
 
 
-def orphan_references(tables: dict[str, tuple[DataFrame, str]], entities: DataFrame, least_hot_rows: int = 20_000) -> DataFrame:
+def orphan_references(tables: dict[str, tuple[DataFrame, str]], entities: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """(ref_table, period, row_id, ref_id, reason): the references whose entity does not exist when they are recorded.
 
     Method: references and the validity intervals of the parent keys are partitioned and
     sorted by (key, time) together, and one pass over the merged stream keeps the number of
-    intervals that are open. A key that holds more than a fixed share of the references is
-    split into parts; its intervals, and only those, are repeated for each part.
+    intervals that are open. A key that more than ``part_rows`` references name is split into
+    parts of at most about so many; its intervals, and only those, are repeated for each part.
 
     An entity exists at t if one of its rows has created_at <= t and deleted_at null or > t.
     reason: ``deleted`` if some row was created by then, else ``late`` if one is created
@@ -46,16 +46,17 @@ def orphan_references(tables: dict[str, tuple[DataFrame, str]], entities: DataFr
     entities, make every reference ``missing``. Further columns are ignored.
     """
     refs = references(tables)
-    hot = hot_keys(refs, "ref_id", least_rows=least_hot_rows)
+    hot = hot_keys(refs, "ref_id", part_rows)
     key = F.col("id")
-    stream = refs.select(
+    stream = with_parts(refs, "ref_id", hot).select(
         F.col("ref_id").alias("id"),
-        F.pmod(F.xxhash64("row_id"), parts_of(F.col("ref_id"), hot)).cast("int").alias("part"),
+        F.pmod(F.xxhash64("row_id"), F.col("parts")).cast("int").alias("part"),
         F.col("at"), F.lit(REF).alias("kind"), "ref_table", "row_id",
     )
     valid = entities.select(norm_id("unique_id").alias("id"), F.col("created_at"), F.col("deleted_at")).where(
         key.isNotNull() & F.col("created_at").isNotNull() & (F.col("deleted_at").isNull() | (F.col("deleted_at") > F.col("created_at")))
-    ).withColumn("part", F.explode(F.sequence(F.lit(0), parts_of(key, hot) - 1)))
+    )
+    valid = with_parts(valid, "id", hot).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     bounds = valid.select(
         "id", "part",
         F.explode(F.filter(

@@ -2,30 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A key that holds more than this share of the rows is hot, so at most 1 / HOT_SHARE keys are.
-HOT_SHARE = 0.005
-#: Groups below this size are never split.
-LEAST_ROWS = 20_000
+#: Rows of one part of a key: what a task sorts at once, whatever the size of the whole.
+PART_ROWS = 500_000
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, least_rows: int = LEAST_ROWS) -> dict[str, int]:
-    """Number of parts for each hot value of ``key``.
+def hot_keys(df: DataFrame, key: str, part_rows: int = PART_ROWS) -> dict[str, int]:
+    """Number of parts for each value of ``key`` that more than ``part_rows`` rows hold.
 
-    Counts are aggregated before the shuffle. The result has at most 1 / share entries
-    whatever the size of ``df``, since no more values can hold that share each.
+    One pass; counts are aggregated before the shuffle. The result has at most
+    rows / part_rows entries, since no more values can hold that many rows each.
     """
-    counts = df.groupBy(key).count()
-    rows = counts.agg(F.sum("count")).first()[0] or 0
-    limit = max(least_rows, rows * share, 1)
-    return {r[0]: int(-(-r[1] // limit)) for r in counts.where((F.col("count") > limit) & F.col(key).isNotNull()).collect()}
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > part_rows)
+    return {r[0]: int(-(-r[1] // part_rows)) for r in counts.collect()}
 
 
-def parts_of(key: Column, hot: dict[str, int]) -> Column:
-    """The number of parts of a row's key; 1 for all but hot ones."""
+def with_parts(df: DataFrame, key: str, hot: dict[str, int], name: str = "parts") -> DataFrame:
+    """``df`` with the number of parts of each row's key; 1 for all but hot ones.
+
+    The hot keys are at hand, so their number is known: they are broadcast up to a million
+    (some ten MB), and joined as any other table beyond.
+    """
     if not hot:
-        return F.lit(1)
-    pairs = [F.lit(x) for item in hot.items() for x in item]
-    return F.coalesce(F.element_at(F.create_map(*pairs), key), F.lit(1))
+        return df.withColumn(name, F.lit(1))
+    known = df.sparkSession.createDataFrame(list(hot.items()), f"`_key` {df.schema[key].dataType.simpleString()}, `_n` int")
+    if len(hot) <= 1_000_000:
+        known = F.broadcast(known)
+    return df.join(known, F.col(key) == F.col("_key"), "left").withColumn(name, F.coalesce("_n", F.lit(1))).drop("_key", "_n")

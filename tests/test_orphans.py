@@ -58,7 +58,7 @@ def test_random_and_hot_keys_against_brute_force(spark):
             if not any(a <= t and (b is None or b > t) for a, b in own):
                 want.add((i, x, "deleted" if any(a <= t for a, b in own) else "late" if own else "missing"))
     for least in (20_000, 10):  # the second splits the hot key
-        assert found(orphan_references(*frames(spark, refs, ents), least_hot_rows=least)) == sorted(want)
+        assert found(orphan_references(*frames(spark, refs, ents), part_rows=least)) == sorted(want)
 
 
 def test_report(spark):
