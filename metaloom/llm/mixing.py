@@ -16,6 +16,8 @@ from metaloom.session import cut_lineage
 #: Documents that one task balances; those it leaves undecided go on to the next level.
 BLOCK_ROWS = 20_000
 EPS = 1e-9
+#: Tasks of one level; more groups than these share tasks.
+MOST_TASKS = 20_000
 #: A document with more than this share of its block's tokens is decided before the others.
 LARGE = 0.001
 COPIES = "mix_name string, source string, doc_id long, tokens long, times long, chance double, copies long"
@@ -26,45 +28,63 @@ def source_name(col: Column | str) -> Column:
     return F.regexp_replace(norm_id(col), r"[\s-]+", "_")
 
 
-def null_vector(a: np.ndarray) -> np.ndarray | None:
-    """A vector u with a @ u = 0, for a with more columns than its rank; None if there is none."""
-    _, s, v = np.linalg.svd(a)
-    rank = int((s > 1e-10 * max(s.max(initial=0), 1e-300)).sum())
-    return v[-1] if rank < a.shape[1] else None
+def null_vector(rows: list[list[float]], active: list[int]) -> list[float] | None:
+    """A vector u other than 0 that is orthogonal to the active columns of one or two rows; None if there is none.
+
+    Closed forms: of three columns and two rows the cross product of the rows; of two columns
+    and one row both swapped, one negated. Parallel rows count as one.
+    """
+    a = [rows[0][i] for i in active]
+    if len(active) < 2:
+        return None
+    if len(rows) == 2:
+        b = [rows[1][i] for i in active]
+        scale = 1e-12 * max(map(abs, a)) * max(map(abs, b))
+        if len(active) == 3:
+            u = [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+            if max(map(abs, u)) > scale:
+                return u
+        elif abs(a[0] * b[1] - a[1] * b[0]) > scale:
+            return None
+        if not any(a):
+            a = b
+    u = [a[1], -a[0]] if a[0] or a[1] else [1.0, -1.0]
+    return u + [0.0] * (len(active) - 2)
 
 
 def flight(chance: np.ndarray, balance: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Flight phase of the cube method: chances moved to 0 or 1 until at most as many as constraints are left between.
 
-    ``balance`` has a column for each unit: what it adds to each constraint. The active set is
-    one unit more than there are constraints; it moves along the null space of its columns,
-    in one of both directions at random so that expectations stay, until a chance is 0 or 1.
+    ``balance`` has one or two rows, a column for each unit: what it adds to each constraint.
+    The active set is one unit more than there are constraints; it moves along the null space
+    of its columns, in one of both directions at random so that expectations stay, until a
+    chance is 0 or 1.
     """
-    chance = chance.astype(np.float64).copy()
-    open_ = np.flatnonzero((chance > EPS) & (chance < 1 - EPS))
-    want = balance.shape[0] + 1
-    active = list(open_[:want])
-    next_ = len(active)
-    while len(active) > 1:
-        u = null_vector(balance[:, active]) if len(active) >= want or next_ >= len(open_) else None
-        if u is None:
-            if next_ >= len(open_):
-                break
-            active.append(open_[next_])
-            next_ += 1
-            continue
-        p = chance[active]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            up = np.min(np.where(u > EPS, (1 - p) / u, np.where(u < -EPS, -p / u, np.inf)))
-            down = np.min(np.where(u > EPS, p / u, np.where(u < -EPS, (p - 1) / u, np.inf)))
-        p = p + up * u if rng.random() * (up + down) < down else p - down * u
-        p = np.where(p < EPS, 0.0, np.where(p > 1 - EPS, 1.0, p))
-        chance[active] = p
-        active = [i for i in active if EPS < chance[i] < 1 - EPS]
-        while len(active) < want and next_ < len(open_):
-            active.append(open_[next_])
+    p, rows = chance.astype(np.float64).tolist(), balance.tolist()
+    waiting = [i for i, x in enumerate(p) if EPS < x < 1 - EPS]
+    coins = rng.random(len(waiting) + 1).tolist()
+    want, active, next_, toss = len(rows) + 1, [], 0, 0
+    while True:
+        while len(active) < want and next_ < len(waiting):
+            active.append(waiting[next_])
             next_ += 1
-    return chance
+        u = null_vector(rows, active)
+        if u is None:
+            return np.array(p)
+        most = max(map(abs, u))
+        up = down = float("inf")
+        for i, x in zip(active, u, strict=True):
+            x /= most
+            if x > EPS:
+                up, down = min(up, (1 - p[i]) / x), min(down, p[i] / x)
+            elif x < -EPS:
+                up, down = min(up, -p[i] / x), min(down, (p[i] - 1) / x)
+        step = up if coins[toss] * (up + down) < down else -down
+        toss += 1
+        for i, x in zip(active, u, strict=True):
+            moved = p[i] + step * x / most
+            p[i] = 0.0 if moved < EPS else 1.0 if moved > 1 - EPS else moved
+        active = [i for i in active if EPS < p[i] < 1 - EPS]
 
 
 def land(chance: np.ndarray, balance: np.ndarray) -> np.ndarray:
@@ -85,7 +105,9 @@ def settle_large(chance: np.ndarray, load: np.ndarray, rng: np.random.Generator)
     """Decide the few documents that hold much of the block's tokens, before the others fly.
 
     Left to the end, one of them could only land far off. They fly on token totals alone;
-    what their decision adds or takes is spread over the chances of all others.
+    what their decision adds or takes is spread over the chances of all others, those that
+    reach 0 or 1 handing on the rest, so that no token of the total is lost. Where the
+    others cannot make up for it, the large ones fly with them.
     """
     tokens = load[0]
     order = np.argsort(-tokens, kind="stable")
@@ -95,8 +117,15 @@ def settle_large(chance: np.ndarray, load: np.ndarray, rng: np.random.Generator)
     out = chance.copy()
     out[large] = land(flight(chance[large], load[:1, large], rng), load[:1, large])
     rest = np.setdiff1d(np.arange(len(chance)), large)
-    shift = ((chance[large] - out[large]) @ tokens[large]) / tokens[rest].sum()
-    out[rest] = np.clip(chance[rest] + shift, 0, 1)
+    p, t = chance[rest], tokens[rest]
+    goal = chance @ tokens - out[large] @ tokens[large]
+    if not 0 <= goal <= t.sum():
+        return chance
+    low, high = -1.0, 1.0
+    for _ in range(100):  # the total of tokens rises with the shift
+        shift = (low + high) / 2
+        low, high = (shift, high) if np.clip(p + shift, 0, 1) @ t < goal else (low, shift)
+    out[rest] = np.clip(p + high, 0, 1)
     return out
 
 
@@ -162,13 +191,16 @@ def mix(documents: DataFrame, mixes: DataFrame, vocabulary: str = VOCABULARY, bl
     todo = sized.join(goal.where("weight > 0").select("mix_name", "source", "weight"), "source").select(
         "mix_name", "source", "doc_id", "tokens", F.when(near, F.round("weight")).otherwise(F.floor("weight")).cast("long").alias("times"), F.when(near, 0.0).otherwise(chance).alias("chance")
     )
-    most = goal.agg(F.max("source_documents")).first()[0] or 0
+    most, groups = goal.agg(F.max("source_documents"), F.count(F.when(F.col("weight") > 0, 1))).first()
+    most = most or 0
     done = todo.where("chance = 0").select("mix_name", "source", "doc_id", "tokens", F.col("times").alias("copies"))
     left, blocks, level = todo.where("chance > 0"), -(-most // block_rows), 0
     while True:
         blocks = max(1, blocks)
         keyed = left.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(level)), F.lit(blocks)))
-        flown = cut_lineage(keyed.select("mix_name", "source", "block", "doc_id", "tokens", "times", "chance").groupBy("mix_name", "source", "block").applyInPandas(_block(level == 0, blocks == 1), COPIES))
+        # As many tasks as groups, which adaptive execution would merge into one as they are few bytes.
+        spread = keyed.select("mix_name", "source", "block", "doc_id", "tokens", "times", "chance").repartition(max(1, min(2 * groups * blocks, MOST_TASKS)), "mix_name", "source", "block")
+        flown = cut_lineage(spread.groupBy("mix_name", "source", "block").applyInPandas(_block(level == 0, blocks == 1), COPIES))
         done = done.unionByName(flown.where("copies >= 0").select("mix_name", "source", "doc_id", "tokens", "copies"))
         if blocks == 1:
             break

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from metaloom.llm.mixing import flight, land, mix
+from metaloom.llm.mixing import flight, land, mix, settle_large
 
 
 def test_flight_keeps_totals_and_leaves_few():
@@ -47,3 +47,19 @@ def test_empty(spark):
     targets = spark.createDataFrame([("m", "a", 1.0, 1)], "mix_name string, source string, target_share double, max_repeats int")
     assert mix(docs, targets)[0].count() == 0
     assert mix(spark.createDataFrame([(1, "t", "a")], docs.schema), targets.limit(0))[0].count() == 0
+
+
+def test_large_documents_lose_no_tokens():
+    for seed in range(30):
+        rng = np.random.default_rng(seed)
+        tokens = np.concatenate([rng.integers(1, 40, 200), rng.integers(300, 900, 3)]).astype(float)
+        chance = np.clip(rng.normal(0.9, 0.2, 203), 0.01, 0.99)  # near 1, where a plain shift would be cut off
+        out = settle_large(chance, np.vstack([tokens, np.ones(203)]), rng)
+        assert abs(out @ tokens - chance @ tokens) < 1e-6 * tokens.sum() and out.min() >= 0 and out.max() <= 1
+
+
+def test_equal_sizes_and_zero_sizes_fly():
+    rng = np.random.default_rng(0)
+    for t in (np.full(50, 7.0), np.zeros(50)):
+        out = flight(np.full(50, 0.3), np.vstack([t, np.ones(50)]), rng)
+        assert ((out > 1e-9) & (out < 1 - 1e-9)).sum() <= 1 and abs(out.sum() - 15) < 1e-6
