@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -12,23 +13,26 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words that decorate a name or ask for it, but name no quantity.
-FILLERS = frozenset(
-    "a an the our of in to for by and or per from with at on is are was has did do does how why what which who where when since "
-    "show me we need keep owns define definition please compare between both last this next quarter month year week monthly weekly "
-    "daily yearly today yesterday march region channel shop shops board deck table model view figure kpi trending jump tested broken "
-    "down draft final version v1 v2 v3 eur usd metric".split()
+from metaloom.session import cut_lineage
+
+#: Plain English words that connect or ask; they name no quantity in any field.
+FUNCTION_WORDS = frozenset(
+    "a an the our my your their of in to for by and or per from with at on is are was has have did do does how why what which who where when since until me we us i it "
+    "this that these those both between".split()
 )
 #: Words of a name that may be left out or put in.
 CONNECTORS = frozenset("of per from the a in until".split())
-#: Short forms that are no run of the word's own letters.
+#: Common short forms that are no run of the word's own letters.
 ALIASES = {"no": "number", "nr": "number"}
-#: Single words up to this length are taken for acronyms, which allow no slips.
-ACRONYM = 6
-#: A word is frequent if this share of the values has it, so that at most words-per-value / share are.
+#: A word is frequent if this share of the distinct values has it, so that at most words-per-value / share are.
 FREQUENT = 0.0005
-#: A word that differs from a canonical one in one letter is a word of its own if it is this frequent beside it.
-OWN_WORD = 0.03
+#: A word beside whole names is decoration if so many values, and so many different words of names, stand beside it,
+#: and no one word more often than in this share: a compound ("volume discount") keeps to its word.
+SPREAD_VALUES, SPREAD_WORDS, SPREAD_SHARE = 3, 3, 0.5
+#: Decorations are gathered if at least this share of the distinct values has them, so at most words-per-value / share are.
+RARE = 1e-5
+#: A word one letter from a canonical one is its own if more values have it than this, and this many times what a slip would have.
+OWN_VALUES, OWN_TIMES = 4.0, 8.0
 #: Most slips in a name, and per letter of it.
 MAX_COST, COST_PER_LETTER = 3.0, 0.2
 #: Names in one automaton; a longer list is searched in blocks.
@@ -100,14 +104,39 @@ def abbreviates(short: str, word: str) -> bool:
     return all(c in rest for c in short)
 
 
+def acronyms(names: list[tuple[int, tuple[str, ...]]]) -> set[str]:
+    """One-word names that begin with the initials, or are beginnings of the words, of another name of the same indicator. They allow no slips."""
+    longer: dict[int, list[list[str]]] = {}
+    for who, name in names:
+        if len(name) > 1:
+            longer.setdefault(who, []).extend([list(name), [w for w in name if w not in CONNECTORS]])
+    out = set()
+    for who, name in names:
+        if len(name) == 1 and any(name[0].startswith("".join(w[0] for w in other)) or begins(name[0], other) for other in longer.get(who, ()) if len(other) > 1):
+            out.add(name[0])
+    return out
+
+
+def begins(short: str, parts: list[str]) -> bool:
+    """Whether ``short`` is made of beginnings of all the words, in order."""
+    ends = {0}
+    for w in parts:
+        ends = {e + n for e in ends for n in range(1, len(w) + 1) if short.startswith(w[:n], e)}
+    return len(short) in ends
+
+
 @dataclass
 class Matcher:
     """Finds the one canonical name that a value holds."""
 
     names: list[tuple[int, tuple[str, ...]]]
     frequent: dict[str, int] = field(default_factory=dict)
+    #: Words learned from all values: decorations, and words one letter from a canonical one that are none of its slips.
+    decorations: frozenset = frozenset()
+    own: frozenset = frozenset()
 
     def __post_init__(self):
+        self.fillers = FUNCTION_WORDS | self.decorations
         self.exact: dict[str, int] = {}
         for who, name in sorted(self.names):
             self.exact.setdefault(" ".join(name), who)
@@ -121,12 +150,13 @@ class Matcher:
         self.of_word: dict[str, list[frozenset]] = {}
         for name, who in self.exact.items():
             need = frozenset(w for w in name.split() if w not in CONNECTORS) or frozenset(name.split())
-            if need not in self.sets:
-                for w in need:
-                    self.of_word.setdefault(w, []).append(need)
             letters = len("".join(need))
             self.sets[need] = min(self.sets.get(need, (who, letters)), (who, letters))
-        self.acronyms = {name for name in self.exact if " " not in name and len(name) <= ACRONYM}
+        # A set is looked up under the word that the fewest names have.
+        held = Counter(w for need in self.sets for w in need)
+        for need in self.sets:
+            self.of_word.setdefault(min(need, key=lambda w: (held[w], w)), []).append(need)
+        self.acronyms = acronyms(self.names)
         plain = {w for n in self.exact if n not in self.acronyms for w in n.split()}
         self.vocabulary = plain | self.acronyms
         self.plain = plain - CONNECTORS
@@ -136,7 +166,7 @@ class Matcher:
             self.by_letter.setdefault(w[0], []).append(w)
             for d in deletions(w, allowed(w)):
                 self.by_deletion.setdefault(d, []).append(w)
-        self.foreign = {t for t in self.frequent if self.own_word(t)}
+        self.foreign = {t for t in self.frequent if self.unlike(t)} | self.own
         self.foreign_by: dict[str, list[str]] = {}
         for f in sorted(self.foreign):
             self.foreign_by.setdefault(f[0], []).append(f)
@@ -144,23 +174,23 @@ class Matcher:
         self.pieces = None
         self.results: dict[str, tuple[int, int, float]] = {}
 
-    def own_word(self, t: str) -> bool:
-        """Whether a frequent word is none of the canonical ones nor a slip of such."""
-        if t in self.vocabulary or t in FILLERS or len(t) < 3 or self.joined(t):
-            return False
+    def unlike(self, t: str) -> bool:
+        """Whether a frequent word is no canonical one, nor near any, nor made of such."""
+        return t not in self.vocabulary and t not in self.fillers and len(t) >= 3 and not self.joined(t) and not self.readings(t, trust=False)
+
+    def swapped_letter(self, t: str) -> list[str]:
+        """Canonical words that one other letter makes the word, if no other slip explains it."""
+        if t in self.vocabulary or t in self.fillers or len(t) < 3 or self.joined(t):
+            return []
         near = self.readings(t, trust=False)
-        if not near:
-            return True
-        return all(
-            cost == SLIP and len(w) == len(t) and sum(a != b for a, b in zip(w, t, strict=True)) == 1 and self.frequent[t] > OWN_WORD * self.frequent.get(w, 0)
-            for w, cost in near
-        )
+        ok = all(cost == SLIP and len(w) == len(t) and sum(a != b for a, b in zip(w, t, strict=True)) == 1 for w, cost in near)
+        return [w for w, _ in near] if ok else []
 
     def joined(self, t: str) -> bool:
         """Whether canonical words and decorations, written without gaps, make up the word."""
         ends = {0}
         for e in range(1, len(t) + 1):
-            if any(t[b:e] in self.vocabulary or t[b:e] in FILLERS for b in ends if e - b > 1 and e - b < len(t)):
+            if any(t[b:e] in self.vocabulary or t[b:e] in self.fillers for b in ends if e - b > 1 and e - b < len(t)):
                 ends.add(e)
         return len(t) in ends
 
@@ -168,7 +198,7 @@ class Matcher:
         """Canonical words that a typed word may stand for, with costs."""
         if t in self.vocabulary:
             return [(t, 0.0)]
-        if t in FILLERS or (trust and t in self.foreign):
+        if t in self.fillers or (trust and t in self.foreign):
             return []
         if trust and t in self.seen:
             return self.seen[t]
@@ -199,7 +229,7 @@ class Matcher:
 
     def idle(self, t: str) -> bool:
         """Whether a word left over says nothing: a decoration, a connecting word or a slip of one, or a number."""
-        if t in FILLERS or t in CONNECTORS or t.isdigit():
+        if t in self.fillers or t in CONNECTORS or t.isdigit():
             return True
         return t not in self.foreign and any(len(c) >= 4 and slips(t, c, 1) <= 1 for c in CONNECTORS)
 
@@ -212,7 +242,7 @@ class Matcher:
                 if s and (s not in spellings or (cost, w) < spellings[s]):
                     spellings[s] = (cost, w)
 
-            for w in [*self.plain, *CONNECTORS, *FILLERS, *self.foreign]:
+            for w in [*self.plain, *CONNECTORS, *self.fillers, *self.foreign]:
                 offer(w, 0.0 if len(w) > 1 else 0.6, w)
             for w in self.plain:
                 offer(w + "s", PLURAL, w)
@@ -270,10 +300,10 @@ class Matcher:
                 parts.append(s)
         return parts
 
-    def mention(self, t: list[str]) -> tuple[int, int, float] | None:
-        """The longest exact mention, if the words beside it decorate."""
+    def mentions_in(self, t: list[str]) -> list[tuple[int, str, list[str], list[str]]]:
+        """Exact mentions, the longest first, none overlapping a longer: indicator, name, words before and after."""
         if not self.exact:
-            return None
+            return []
         text, found = f" {' '.join(t)} ", []
         for end, (who, name) in self.mentions.iter(text):
             found.append((len(name), -(end - len(name) - 1), who, name))
@@ -283,14 +313,24 @@ class Matcher:
             start = -neg
             if all(start + size <= a or start >= b for a, b in taken):
                 taken.append((start, start + size))
-                kept.append((who, name, start))
-        for who, name, start in kept:
-            lo = text[:start].split()
-            hi = text[start + len(name) + 1 :].split()
-            if (not lo or lo[-1] in FILLERS) and (not hi or hi[0] in FILLERS):
+                kept.append((who, name, text[:start].split(), text[start + len(name) + 1 :].split()))
+        return kept
+
+    def mention(self, t: list[str]) -> tuple[int, int, float] | None:
+        """The longest exact mention, if the words beside it decorate."""
+        for who, name, lo, hi in self.mentions_in(t):
+            if (not lo or lo[-1] in self.fillers) and (not hi or hi[0] in self.fillers):
                 return who, len(name.split()), 0.0
         return None
 
+    def beside(self, t: list[str]) -> Iterator[tuple[str, str]]:
+        """Words beside the longest exact mention, each with the name's word on that side."""
+        for _, name, lo, hi in self.mentions_in(t)[:1]:
+            parts = name.split()
+            for w in {*lo, *hi}:
+                if w not in self.vocabulary and not w.isdigit():
+                    yield w, parts[-1] if w in hi else parts[0]
+
     def resolve(self, value: str | None, around: bool) -> tuple[int, int, float]:
         """(indicator, words, cost) of a typed value, 0 for none. ``around``: other words may stand around the name."""
         t = words(value)
@@ -305,7 +345,7 @@ class Matcher:
 
     def _resolve(self, t: list[str], around: bool) -> tuple[int, int, float]:
         hit = self.mention(t)
-        if hit and (around or all(w in FILLERS or w in self.vocabulary for w in t)):
+        if hit and (around or all(w in self.fillers or w in self.vocabulary for w in t)):
             # Words left over of the vocabulary may make another, longer name.
             better = self.token_set(t, around)
             return max(hit, better, key=lambda h: (h[1], -h[2]))
@@ -313,7 +353,10 @@ class Matcher:
         if not hit[0]:
             parts: list[str] = []
             for w in t:
-                cut = self.split(w) if len(w) >= 7 and w not in self.vocabulary and w not in FILLERS else None
+                cut = self.split(w) if len(w) >= 4 and w not in self.vocabulary and w not in self.fillers else None
+                # Few letters make words by chance, so short ones are cut between whole words only.
+                if cut and len(w) < 7 and not all(len(x) > 1 and (x in self.vocabulary or x in self.fillers) for x in cut):
+                    cut = None
                 parts += cut or [w]
             if parts != t:
                 hit = self.token_set(parts, around)
@@ -372,12 +415,16 @@ def map_to_canonical(entries: dict[str, tuple[DataFrame, str, bool]], inventory:
     similarity: every word of the name must occur, in any order, allowing for slips,
     plurals and abbreviations; values written without gaps are first cut by an automaton over
     all spellings one slip away. A word beside the name that is no decoration makes it
-    another quantity. Words that all values together show to be words of their own (frequent,
-    though one letter from a canonical one) are no slips: counts are taken over all
-    values in a first pass, of which only words in a fixed share of all values are gathered.
+    another quantity.
+
+    What is decoration is learned from the distinct values (:func:`learned`), as is which words
+    one letter from a canonical one are words of their own: neither depends on how often a
+    value or an indicator occurs. One-word names that abbreviate a longer name of
+    the indicator allow no slips (:func:`acronyms`).
 
-    The list is broadcast in blocks of at most ``block_names`` names, each against all
-    values; no value is compared with the names one by one. An empty list maps all to 0.
+    Each distinct value is resolved once and joined back. The list is broadcast in blocks of
+    at most ``block_names`` names, each against all values; no value is compared with the
+    names one by one. An empty list maps all to 0.
     """
     typed = None
     for name, (df, column, around) in entries.items():
@@ -386,39 +433,118 @@ def map_to_canonical(entries: dict[str, tuple[DataFrame, str, bool]], inventory:
     spark = typed.sparkSession
     # A value is blank if only white space of any kind is in it.
     typed = typed.where(F.col("typed").rlike(r"(?U)\S"))
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out: dict[str, int] = {}
-            for value in batch["typed"]:
-                for w in words(value):
-                    out[w] = out.get(w, 0) + 1
-            yield pd.DataFrame({"word": list(out), "n": list(out.values())})
-
-    counted = typed.select("typed").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    floor = max(2.0, FREQUENT * (typed.count() or 0))
-    frequent = {r[0]: r[1] for r in counted.where(F.col("n") >= floor).collect()}
+    values = cut_lineage(typed.select("typed", "around").distinct())
 
     names = canonical_names(inventory)
     blocks = max(1, -(-names.count() // block_names))
-    merged = None
+    lists = []
     for b in range(blocks):
         own = names.where(F.pmod(F.xxhash64("indicator_id"), F.lit(blocks)) == b).collect()
-        shared = spark.sparkContext.broadcast(([(r[0], tuple(w)) for r in own if (w := words(r[1]))], frequent))
+        lists.append(spark.sparkContext.broadcast([(r[0], tuple(w)) for r in own if (w := words(r[1]))]))
+    frequent, decorations = learned(values, lists)
+    merged = None
+    for shared in lists:
+        known = spark.sparkContext.broadcast((frequent, decorations, own_words(values, shared, decorations)))
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(*shared.value)
+        def run(batches: Iterator[pd.DataFrame], shared=shared, known=known) -> Iterator[pd.DataFrame]:
+            matcher = Matcher(shared.value, *known.value)
             for batch in batches:
                 hits = [matcher.resolve(v, a) for v, a in zip(batch["typed"], batch["around"], strict=True)]
                 yield pd.DataFrame({
-                    "entry_table": batch["entry_table"], "entry_id": batch["entry_id"], "typed": batch["typed"],
-                    "indicator_id": [h[0] for h in hits], "matched": [h[1] for h in hits], "cost": [h[2] for h in hits],
+                    "typed": texts(batch["typed"]), "around": batch["around"].to_numpy(), "indicator_id": [h[0] for h in hits], "matched": [h[1] for h in hits], "cost": [h[2] for h in hits],
                 })
 
-        part = typed.mapInPandas(run, "entry_table string, entry_id long, typed string, indicator_id long, matched int, cost double")
+        part = values.mapInPandas(run, "typed string, around boolean, indicator_id long, matched int, cost double")
         merged = part if merged is None else merged.unionByName(part)
-    best = F.max_by(F.struct("typed", "indicator_id"), F.struct("matched", -F.col("cost"), -F.col("indicator_id")))
-    return merged.groupBy("entry_table", "entry_id").agg(best.alias("x")).select("entry_table", "entry_id", "x.typed", "x.indicator_id")
+    order = F.struct("matched", -F.col("cost"), -F.col("indicator_id"))
+    if blocks > 1:
+        merged = merged.groupBy("typed", "around").agg(F.max_by(F.struct("indicator_id", "matched", "cost"), order).alias("x")).select("typed", "around", "x.*")
+    best = F.max_by(F.struct("typed", "indicator_id"), order)
+    return typed.join(merged, ["typed", "around"]).groupBy("entry_table", "entry_id").agg(best.alias("x")).select("entry_table", "entry_id", "x.typed", "x.indicator_id")
+
+
+def texts(values: Iterator[str | None]) -> pd.Series:
+    return pd.Series(list(values), dtype=object)
+
+
+def learned(values: DataFrame, lists: list) -> tuple[dict[str, int], frozenset]:
+    """Frequent words with the number of distinct values that have them, and the words that decorate names.
+
+    One pass over the distinct values in parallel finds the words beside exact mentions; counts
+    are aggregated before and after the shuffle. What is gathered is bounded by shares of the
+    values (FREQUENT, RARE).
+    """
+    total = values.count()
+    counted = None
+    for at, shared in enumerate(lists):
+
+        def count(batches: Iterator[pd.DataFrame], shared=shared, at=at) -> Iterator[pd.DataFrame]:
+            matcher = Matcher(shared.value)
+            for batch in batches:
+                out: Counter = Counter()
+                for value in batch["typed"]:
+                    t = words(value)
+                    if not at:
+                        out.update((w, None) for w in set(t))
+                    out.update(matcher.beside(t))
+                yield pd.DataFrame({"word": texts(k[0] for k in out), "beside": texts(k[1] for k in out), "n": list(out.values())})
+
+        part = values.mapInPandas(count, "word string, beside string, n long")
+        counted = part if counted is None else counted.unionByName(part)
+    counted = counted.groupBy("word", "beside").agg(F.sum("n").alias("n"))
+    by_word = counted.groupBy("word").agg(
+        F.sum(F.when(F.col("beside").isNull(), F.col("n"))).alias("values"), F.coalesce(F.sum(F.when(F.col("beside").isNotNull(), F.col("n"))), F.lit(0)).alias("mentions"),
+        F.count("beside").alias("spread"), F.coalesce(F.max(F.when(F.col("beside").isNotNull(), F.col("n"))), F.lit(0)).alias("most"),
+    )
+    enough = F.col("values") >= max(2.0, FREQUENT * total)
+    decorates = (F.col("mentions") >= max(SPREAD_VALUES, RARE * total)) & (F.col("spread") >= SPREAD_WORDS) & (F.col("most") <= SPREAD_SHARE * F.col("mentions"))
+    found = by_word.where(enough | decorates).select("word", "values", enough.alias("frequent"), decorates.alias("decorates")).collect()
+    return {r[0]: r[1] for r in found if r[2]}, frozenset(r[0] for r in found if r[3])
+
+
+def own_words(values: DataFrame, shared, decorations: frozenset) -> frozenset:
+    """Words one letter from a canonical one that are too frequent to be its slips.
+
+    A slip that puts one other letter makes each of 25 x letters forms of a word equally
+    often; the rate of one form is estimated from all forms of all words, and a form that
+    many times more values have is a word of its own. Only such forms are gathered: at most
+    25 x letters for each word of the list, however many values there are.
+    """
+    known = values.sparkSession.sparkContext.broadcast(decorations)
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matcher = Matcher(shared.value, decorations=known.value)
+        seen: dict[str, list[str]] = {}
+        for batch in batches:
+            out: Counter = Counter()
+            for value in batch["typed"]:
+                for t in set(words(value)):
+                    if t in matcher.plain:
+                        out[t, None] += 1
+                        continue
+                    if t not in seen:
+                        if len(seen) > 200_000:
+                            seen.clear()
+                        seen[t] = matcher.swapped_letter(t) if t.isalpha() else []
+                    for w in seen[t]:
+                        out[t, w] += 1
+            yield pd.DataFrame({"word": texts(k[0] for k in out), "near": texts(k[1] for k in out), "n": list(out.values())})
+
+    rows = values.mapInPandas(near, "word string, near string, n long").groupBy("word", "near").agg(F.sum("n").alias("n")).collect()
+    times = {r[0]: r[2] for r in rows if r[1] is None}
+    forms = [(r[0], r[1], r[2]) for r in rows if r[1] is not None]
+    places = sum(n * 25 * len(w) for w, n in times.items())
+
+    def beyond(n: int, w: str, rate: float) -> bool:
+        return n >= OWN_VALUES + OWN_TIMES * rate * times.get(w, 0)
+
+    rate = 0.0
+    for turn in range(3):  # forms found to be words don't count as slips
+        rate = sum(n for _, w, n in forms if not turn or not beyond(n, w, rate)) / max(places, 1)
+    found: dict[str, bool] = {}
+    for t, w, n in forms:
+        found[t] = found.get(t, True) and beyond(n, w, rate)
+    return frozenset(t for t, own in found.items() if own)
 
 
 def unmatched(mapped: DataFrame) -> DataFrame:
