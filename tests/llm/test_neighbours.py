@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from metaloom.llm.neighbours import neighbour_pairs, neighbours
+from metaloom.llm.neighbours import Router, exact_neighbours, neighbour_pairs, neighbours, recall
 
 SCHEMA = "vec_id long, entity_id string, model_name string, dense_embedding array<float>, similarity double"
 
@@ -20,11 +22,14 @@ def clusters(n, seed=0, dim=64):
     return centre[which] + 0.35 * rng.standard_normal((n, dim))
 
 
-def test_recall_over_several_cells(spark):
+@pytest.mark.parametrize(("cell_rows", "flat_cells"), [(500, 64), (100, 4)])  # the second routes on two levels and splits cells
+def test_recall_over_several_cells(spark, cell_rows, flat_cells):
     x = clusters(4000)
+    x[:900] = x[0] + 0.01 * np.random.default_rng(9).standard_normal((900, 64))  # one very dense cell
     rows = [(i, "a" if i % 5 else "b", v) for i, v in enumerate(x)]
     got: dict[int, set] = {}
-    for r in neighbours(frame(spark, rows), cell_rows=500).collect():
+    found = neighbours(frame(spark, rows), cell_rows=cell_rows, flat_cells=flat_cells)
+    for r in found.collect():
         got.setdefault(r.vec_id, set()).add(r.other)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     model = np.array([i % 5 > 0 for i in range(len(x))])
@@ -38,6 +43,38 @@ def test_recall_over_several_cells(spark):
         total += 5
     assert all(len(v) == 5 for v in got.values()) and len(got) == len(x)
     assert hits / total >= 0.9
+    exact = exact_neighbours(frame(spark, rows), block=30)
+    by_id: dict[int, list] = {}
+    for r in exact.orderBy(F.desc("similarity")).collect():
+        by_id.setdefault(r.vec_id, []).append(r.other)
+    s = u @ u[50]
+    s[(model != model[50])] = s[50] = -9
+    assert set(by_id) == set(range(0, 4000, 50)) and by_id[50] == np.argsort(-s, kind="stable")[:5].tolist()
+    measured = {r.model_name: (r.queries, r.recall) for r in recall(found, exact).collect()}
+    assert measured["b"][0] == 80 and measured["b"][1] == pytest.approx(hits / total, abs=0.01)
+
+
+def test_router_parts_hold_every_pair():
+    rng = np.random.default_rng(4)
+    x = clusters(3000, 5).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    router = Router.fit(x, 12)
+    router.split(x, 1.0, 40)
+    assert router.home_parts.max() > 1 and router.query_parts.max() > 1
+    row, cell, part, home, query = router.route(x, rng.permutation(3000))
+    _, visited, near = router.visits(x)
+    assert len(np.unique(np.stack([row, cell, part]), axis=1)[0]) == len(row) and (home | query).all()
+    where: dict[tuple, tuple[set, set]] = {}
+    for r, c, p, h, q in zip(row, cell, part, home, query, strict=True):
+        held = where.setdefault((c, p), (set(), set()))
+        if h:
+            held[0].add(r)
+        if q:
+            held[1].add(r)
+    for c in range(12):  # each visiting query meets each vector of the cell in exactly one part
+        pairs = [(a, b) for (cc, _), (hs, qs) in where.items() if cc == c for a in hs for b in qs]
+        asks = {b for (cc, _), (_, qs) in where.items() if cc == c for b in qs}
+        assert len(pairs) == len(set(pairs)) == (near == c).sum() * len(asks)
 
 
 def test_small_models_are_exact_and_dirt_is_ignored(spark):
@@ -76,4 +113,5 @@ def test_many_unusable_copies_have_no_neighbours(spark):
 
 
 def test_empty(spark):
+    assert exact_neighbours(frame(spark, [])).count() == 0
     assert neighbours(frame(spark, [])).count() == 0
