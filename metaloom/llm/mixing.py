@@ -214,3 +214,22 @@ def mix(documents: DataFrame, mixes: DataFrame, vocabulary: str = VOCABULARY, bl
         F.coalesce(F.col("mix_tokens") / F.col("total"), F.lit(0.0)).alias("actual_share"),
     )
     return drawn, report
+
+
+def kept_rules(drawn: DataFrame, report: DataFrame, tolerance: float = 0.02) -> DataFrame:
+    """(mix_name, source, max_repeats, source_documents, cap_kept, target_met) of each target.
+
+    cap_kept: no document is drawn more often than max_repeats, counted in the drawn rows.
+    target_met: the source has its share of the tokens of all sources that have any, within
+    ``tolerance`` of it or half its longest document; one without documents has nothing.
+    """
+    got = drawn.groupBy("mix_name", "source").agg(F.max("copies").alias("most"), F.sum(F.col("tokens") * F.col("copies")).alias("t"), F.max("tokens").alias("longest"))
+    total = got.groupBy("mix_name").agg(F.sum("t").alias("total"))
+    can = report.where("source_tokens > 0").groupBy("mix_name").agg(F.sum("target_share").alias("shares"))
+    both = report.join(got, ["mix_name", "source"], "left").join(total, "mix_name", "left").join(can, "mix_name", "left")
+    want = F.col("target_share") / F.col("shares") * F.col("total")
+    met = F.abs(F.coalesce("t", F.lit(0)) - want) <= F.greatest(tolerance * want, F.col("longest") / 2)
+    return both.select(
+        "mix_name", "source", "max_repeats", "source_documents", (F.coalesce("most", F.lit(0)) <= F.greatest("max_repeats", F.lit(0))).alias("cap_kept"),
+        F.when(F.col("source_documents") == 0, F.col("t").isNull()).otherwise(F.coalesce(met, F.lit(False))).alias("target_met"),
+    )
