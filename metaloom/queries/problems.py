@@ -35,7 +35,12 @@ def p3_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy.closure(_hierarchies(spark, sf_dir, True))
+    return hierarchy.descendants(table(spark, sf_dir, "cycle_parent_map"), table(spark, sf_dir, "cycle_child_map"))
+
+
+def p3_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each node with the number of its descendants, from the subtree sizes of the peel."""
+    return _hierarchies(spark, sf_dir, True).select("unique_id", "descendants")
 
 
 def _children(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +87,7 @@ def p6_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_report": p1_report,
-    "p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants,
+    "p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants, "p3_sizes": p3_sizes,
     "p5_found": p5_found, "p5_variants": p5_variants,
     **{f"p5_{k}": _p5_table(k) for k in ("measure", "measure_synonym", "metric", "metric_synonym", "grain_key", "grain_dimension", "filter", "filter_value")},
     "p6_found": p6_found, "p6_changes": p6_changes, "p6_metadata": p6_metadata, "p6_nodes": p6_nodes,
@@ -162,5 +167,6 @@ SQL = {
     "p3_found": _TREE + "SELECT node AS unique_id, top AS root_id, CAST(dist AS INTEGER) AS depth FROM tree UNION ALL SELECT node, least, CAST(CASE WHEN on_loop THEN -1 ELSE -2 END AS INTEGER) FROM loop_end",
     "p3_paths": _TREE + """SELECT node AS unique_id, top AS root_id, CAST(dist AS INTEGER) AS depth, array_to_string(list_reverse(way), ' > ') AS path FROM tree
       UNION ALL SELECT node, least, CAST(CASE WHEN on_loop THEN -1 ELSE -2 END AS INTEGER), node FROM loop_end""",
-    "p3_descendants": _TREE + "SELECT up.top AS ancestor_id, up.node AS unique_id, CAST(up.dist AS INTEGER) AS distance FROM up JOIN tree USING (node) WHERE up.dist > 0",
+    "p3_sizes": _TREE + "SELECT node.id AS unique_id, count(up.node) AS descendants FROM node LEFT JOIN up ON up.top = node.id AND up.dist > 0 AND NOT up.looped GROUP BY 1",
+    "p3_descendants": _TREE + "SELECT top AS ancestor_id, node AS unique_id, CAST(dist AS INTEGER) AS distance FROM up WHERE dist > 0 AND NOT looped",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,7 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.cteRecursionLevelLimit": "256",
     "spark.ui.enabled": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -36,11 +39,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder that all executors share and read it from there.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests, a temporary folder is made.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset a local session, as
+    in tests, gets a temporary folder; a cluster is refused, since no machine's own folder is
+    seen by the others. With ``spark.cleaner.referenceTracking.cleanCheckpoints``, which
+    :func:`local_session` sets, files go when their DataFrame does.
     """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="metaloom-"))
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not folder:
+            folder = tempfile.mkdtemp(prefix="metaloom-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

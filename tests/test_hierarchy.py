@@ -5,9 +5,10 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 
-from metaloom.operators.hierarchy import closure, hierarchies
+from metaloom.operators.hierarchy import closure, descend, descendants, hierarchies
 
 UP = "row_id long, project_name string, unique_id string, parent_ids array<string>, recorded_at timestamp_ntz, depth int"
 DOWN = "row_id long, project_name string, unique_id string, child_ids array<string>, recorded_at timestamp_ntz, path string"
@@ -69,6 +70,35 @@ def test_descendants_on_and_below_loops(spark, limit):
     rows = got.collect()
     assert {r.unique_id: r.descendants for r in rows} == {n: sum(a == n for a, _, _ in want) for n in parent}
     assert all(r.path == [r.unique_id] for r in rows if r.depth < 0)
+    sent = [(r.ancestor_id, r.unique_id, r.distance) for r in descendants(*frames(spark, [("p", n, [p] if p else [], 1) for n, p in parent.items()], []), max_group_links=limit).collect()]
+    assert len(sent) == len(want) and set(sent) == want
+
+
+def test_descendant_lists_in_chunks_against_brute_force():
+    rnd = random.Random(11)
+    for turn in range(40):
+        n = rnd.randrange(1, 60)
+        up = [rnd.choice([None, *range(n)]) if rnd.random() < 0.8 else None for _ in range(n)]
+        child = np.array([f"n{i}" for i in range(n)], object)
+        parent = np.array([None if p is None else f"n{p}" for p in up], object)
+        want = set()
+        for i in range(n):
+            at, far, seen = up[i], 1, {i}
+            while at is not None and at not in seen:
+                want.add((f"n{at}", f"n{i}", far))
+                seen.add(at)
+                at, far = up[at], far + 1
+        got = [r for df in descend(child, parent, 7 if turn % 2 else 10**6) for r in df.itertuples(index=False, name=None)]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_only_groups_that_share_a_node_leave_the_peel(spark):
+    from metaloom.operators.hierarchy import grouped
+
+    ups = [("p", "b", ["a"], 1), ("q", "c", ["b"], 1), ("r", "y", ["x"], 1)]
+    _, large, some = grouped(*frames(spark, ups, []), 200_000)
+    assert some and {r.grp for r in large.collect()} == {"p", "q"}
+    assert {(r.ancestor_id, r.unique_id, r.distance) for r in descendants(*frames(spark, ups, [])).collect()} == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1), ("x", "y", 1)}
 
 
 def test_links_across_projects(spark):
