@@ -58,36 +58,59 @@ ROWS = (
 
 
 class ShapeAutomaton:
-    """A bottom-up tree automaton: a value's state follows from its kind and its children's states.
+    """A bottom-up tree automaton over the shapes that the rules know.
 
-    States are numbered as they are met; a record's state, written out, is its structural
-    variant. Transitions are remembered, so that equal shapes cost one lookup.
+    A value's state follows from the rule it stands under, its kind, and the states of its
+    fields or elements; fields that no rule knows don't count. A state decides, once and for
+    all values in it, which subtype's table the value goes to (:attr:`accept`), and names
+    its structural variant. States are numbered as they are met. There are finitely many,
+    whatever the values hold: a list's state is the set of its elements' kinds or subtypes.
     """
 
     def __init__(self):
-        self.moves: dict = {}
-        self.names: list[str] = []
+        self.moves: dict[tuple, int] = {}
+        self.accept: list[str | None] = []
+        self.variants: list[str] = []
 
-    def state(self, value) -> int:
-        what = kind(value) or "null"
-        if what == "record":
-            below = tuple(sorted((k, self.state(v)) for k, v in value.items()))
-        elif what == "list":
-            below = tuple(sorted({self.state(v) for v in value}))
-        else:
-            below = ()
-        at = self.moves.get((what, below))
+    def move(self, rule, what: str, below: tuple) -> int:
+        at = self.moves.get((id(rule), what, below))
         if at is None:
-            at = self.moves[what, below] = len(self.names)
-            if what == "record":
-                name = "{" + ",".join(f"{k}:{self.names[s]}" for k, s in below) + "}"
+            at = self.moves[id(rule), what, below] = len(self.accept)
+            kinds = {(label, self.variants[s]) for label, s in below}
+            if isinstance(rule, Records) and what == "record" and (rule.key, "text") in kinds:
+                self.accept.append(rule.child_kind)
             else:
-                name = "[" + "|".join(sorted(self.names[s] for s in below)) + "]" if what == "list" else what
-            self.names.append(name)
+                self.accept.append(rule.child_kind if isinstance(rule, Items) and what in ("text", "number") else None)
+            shown = ",".join(f"{label}:{name}" for label, name in sorted(kinds))
+            self.variants.append(f"{{{shown}}}" if what == "record" else f"[{shown.replace(':', '')}]" if what == "list" else what)
         return at
 
-    def variant(self, value) -> str:
-        return plain(self.names[self.state(value)])
+    def record(self, value, rule) -> tuple[int, dict]:
+        """State of a record under a rule, and what its children read as."""
+        what, kids, below = kind(value) or "null", {}, []
+        if what == "record":
+            for label, sub in rule.children.items():
+                if isinstance(sub, Part):
+                    if label in value:
+                        kids[label] = self.record(value[label], sub)
+                        below.append((label, kids[label][0]))
+                    continue
+                held = value.get(label)
+                first = value.get(sub.before) if isinstance(sub, Records) and sub.before else None
+                if isinstance(sub, Items):
+                    items = [(self.move(sub, kind(x) or "null", ()), x) for x in (held if isinstance(held, list) else [held])] if label in value else []
+                    kids[label] = items
+                    met = {("", s) for s, _ in items}
+                else:
+                    listed = ([] if first is None else [first]) + (held if isinstance(held, list) else [])
+                    kids[label] = [(*self.record(x, sub), x) for x in listed]
+                    # Of a list of records only their subtypes count, so that its states stay few.
+                    met = {("", self.move(None, self.accept[s] or "other", ())) for s, _, _ in kids[label]}
+                if label in value or first is not None:
+                    below.append((label, self.move(None, "list" if first is not None or isinstance(held, list) else kind(held) or "null", tuple(sorted(met)))))
+            own = (*rule.columns, rule.key) if isinstance(rule, Records) else rule.columns
+            below += [(c, self.move(None, kind(value[c]) or "null", ())) for c in own if c in value]
+        return self.move(rule, what, tuple(sorted(below))), kids
 
 
 def block_of(payload) -> dict | None:
@@ -101,49 +124,61 @@ def block_of(payload) -> dict | None:
     return None
 
 
+def shown(value) -> str | None:
+    """The value as a text; null if it nests too deeply to be written."""
+    try:
+        return plain(value)
+    except RecursionError:
+        return None
+
+
 def flatten(block: dict, shapes: ShapeAutomaton) -> Iterator[tuple]:
-    """(child_kind, positions, parent_kind, parent_positions, variant, value, type, attributes) of each child record."""
+    """(child_kind, positions, parent_kind, parent_positions, variant, value, type, attributes) of each child record.
+
+    Every value is first read by the automaton; its state routes it.
+    """
 
-    def walk(record: dict, rule, pos: tuple, parent: tuple):
-        for name, sub in rule.children.items():
-            value = record.get(name)
+    def walk(kids: dict, rule, pos: tuple, parent: tuple):
+        for label, sub in rule.children.items():
+            if label not in kids:
+                continue
             if isinstance(sub, Part):
-                if isinstance(value, dict):
-                    yield from walk(value, sub, pos, parent)
+                yield from walk(kids[label][1], sub, pos, parent)
             elif isinstance(sub, Items):
-                for i, item in enumerate(value if isinstance(value, list) else [value]):
-                    if (what := kind(item)) in ("text", "number"):
-                        yield sub.child_kind, (*pos, i), *parent, what, plain(item), what, {}
+                for i, (state, item) in enumerate(kids[label]):
+                    if (table := shapes.accept[state]) is not None:
+                        what = shapes.variants[state]
+                        yield table, (*pos, i), *parent, what, plain(item), what, {}
             else:
-                first = record.get(sub.before) if sub.before else None
-                items = ([] if first is None else [first]) + (value if isinstance(value, list) else [])
-                for i, item in enumerate(items):
-                    if isinstance(item, dict) and kind(item.get(sub.key)) == "text":
-                        own = {c: plain(item.get(c)) for c in sub.columns}
+                for i, (state, below, item) in enumerate(kids[label]):
+                    if (table := shapes.accept[state]) is not None:
+                        own = {c: shown(item.get(c)) for c in sub.columns}
                         for part, inner in sub.children.items():
                             if isinstance(inner, Part) and isinstance(item.get(part), dict):
-                                own |= {c: plain(item[part].get(c)) for c in inner.columns}
+                                own |= {c: shown(item[part].get(c)) for c in inner.columns}
                         at = (*pos, i)
-                        yield sub.child_kind, at, *parent, shapes.variant(item), plain(item[sub.key]), "text", own
-                        yield from walk(item, sub, at, (sub.child_kind, at))
+                        yield table, at, *parent, shapes.variants[state], plain(item[sub.key]), "text", own
+                        yield from walk(below, sub, at, (table, at))
 
-    yield from walk(block, SEMANTIC_BLOCK, (), ("block", ()))
+    yield from walk(shapes.record(block, SEMANTIC_BLOCK)[1], SEMANTIC_BLOCK, (), ("block", ()))
 
 
 def child_records(blocks: DataFrame) -> DataFrame:
     """All child records of ``blocks`` (block_id, unique_id, payload_json), one row each, typed by child_kind.
 
-    Method: each payload's shapes are classified by a tree automaton (column ``variant``);
-    each variant is routed to the subtype that accepts it (``child_kind``), and every row
-    keeps the common keys and the link to its parent (block_id, parent_kind, parent_pos_a,
-    parent_pos_b). :func:`subtype_tables` splits the rows into typed tables.
+    Method: a tree automaton reads each payload's values from below (:class:`ShapeAutomaton`);
+    the state of a value names its structural variant and is what routes it to a subtype
+    (``child_kind``), or nowhere. Every row keeps the common keys and the link to its parent
+    (block_id, parent_kind, parent_pos_a, parent_pos_b). :func:`subtype_tables` splits the
+    rows into typed tables.
 
     pos_a is the position of the measure or metric, pos_b of its synonym, grain item or
     filter, pos_c of a filter's value, all from 0 in the list as stored; unused ones are -1.
     Payloads that are null, blank or no JSON hold no records, nor do elements of the wrong
     type (see :class:`Records` and :class:`Items`). Repeated rows (same block_id) count once,
     of a repeated JSON key the last value holds. Further columns are ignored. Payloads of any
-    length are read whole; one nested beyond Python's parser depth counts as no JSON.
+    length are read whole; one nested beyond Python's parser depth counts as no JSON. Fields that no
+    rule knows may nest as deeply as that; an attribute too deep to be written is null.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,7 +190,7 @@ def child_records(blocks: DataFrame) -> DataFrame:
                 try:
                     block = block_of(parse(text))
                     rows = list(flatten(block, shapes)) if block is not None else []
-                except (ValueError, RecursionError):
+                except ValueError:
                     continue
                 for what, pos, parent, above, variant, value, type_, own in rows:
                     a, b, c = (*pos, -1, -1)[:3]

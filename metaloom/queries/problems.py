@@ -53,7 +53,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _p5_table(kind: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return nested.subtype_tables(_children(spark, sf_dir))[kind]
+        return nested.subtype_tables(_children(spark, sf_dir))[kind].drop("variant")
 
     return query
 
@@ -160,7 +160,49 @@ _BLOCKS += "".join(f" UNION ALL SELECT block_id, '{kind}', a, {b}, {c} FROM {_it
 ))
 _BLOCKS += ")"
 
+_ENTITY = ", n AS (SELECT block_id, min(unique_id) AS unique_id FROM nova_blocks GROUP BY 1)"
+
+
+def _shown(path: str) -> str:
+    """A JSON value as a text; a list's elements joined by commas."""
+    return f"CASE json_type({path}) WHEN 'ARRAY' THEN array_to_string(list_transform(from_json({path}, '[\"JSON\"]'), lambda y: coalesce(y->>'$', '')), ',') WHEN 'NULL' THEN NULL ELSE ({path})->>'$' END"
+
+
+def _records_sql(kind: str, source: str, name: str, columns: dict[str, str], at: str, parent: str) -> str:
+    listed = "".join(f", {_shown(path)} AS {column}" for column, path in columns.items())
+    return f"{_BLOCKS}{_ENTITY} SELECT block_id, n.unique_id, {at}, {parent}, {name} AS name{listed} FROM {source} LEFT JOIN n USING (block_id)"
+
+
+def _items_sql(kind: str, source: str, value: str, at: str, parent: str) -> str:
+    kinds = "CASE json_type(item) WHEN 'VARCHAR' THEN 'text' ELSE 'number' END"
+    return f"{_BLOCKS}{_ENTITY} SELECT block_id, n.unique_id, {at}, {parent}, item->>'$' AS value, {kinds} AS value_type FROM {_items(source, value)} LEFT JOIN n USING (block_id)"
+
+
+def _at(a: str, b: str, c: str) -> str:
+    return ", ".join(f"CAST({x} AS INTEGER) AS pos_{n}" for x, n in ((a, "a"), (b, "b"), (c, "c")))
+
+
+def _under(kind: str, a: str, b: str) -> str:
+    return f"'{kind}' AS parent_kind, CAST({a} AS INTEGER) AS parent_pos_a, CAST({b} AS INTEGER) AS parent_pos_b"
+
+
+def _fields(*names: str) -> dict[str, str]:
+    return {n: f"(e->'$.{n}')" for n in names}
+
+
+_TABLES = {
+    "p5_measure": _records_sql("measure", "m", "e->>'$.name'", _fields("type", "expression", "description", "field", "canonical"), _at("a", "-1", "-1"), _under("block", "-1", "-1")),
+    "p5_metric": _records_sql("metric", "t", "e->>'$.name'", _fields("expression", "description", "template", "canonical") | {"time_field": "(CASE WHEN json_type(e, '$.grain') = 'OBJECT' THEN e->'$.grain.time_field' END)"}, _at("a", "-1", "-1"), _under("block", "-1", "-1")),
+    "p5_filter": _records_sql("filter", "f", "e->>'$.field'", _fields("operator", "label"), _at("a", "c", "-1"), _under("metric", "a", "-1")),
+    "p5_measure_synonym": _items_sql("measure_synonym", "m", "e->'$.synonyms'", _at("a", "place", "-1"), _under("measure", "a", "-1")),
+    "p5_metric_synonym": _items_sql("metric_synonym", "t", "e->'$.synonyms'", _at("a", "place", "-1"), _under("metric", "a", "-1")),
+    "p5_grain_key": _items_sql("grain_key", "g", "e->'$.grain.primary_key'", _at("a", "place", "-1"), _under("metric", "a", "-1")),
+    "p5_grain_dimension": _items_sql("grain_dimension", "g", "e->'$.grain.dimensions'", _at("a", "place", "-1"), _under("metric", "a", "-1")),
+    "p5_filter_value": _items_sql("filter_value", "f", "e->'$.values'", _at("a", "c", "place"), _under("filter", "a", "c")),
+}
+
 SQL = {
+    **_TABLES,
     "p5_found": _BLOCKS + " SELECT block_id, child_kind, CAST(pos_a AS INTEGER) AS pos_a, CAST(pos_b AS INTEGER) AS pos_b, CAST(pos_c AS INTEGER) AS pos_c FROM r",
     "p1_found": _REFS + "SELECT ref_table, period, row_id, ref_id FROM o",
     "p1_report": _REFS + "SELECT ref_table, period, reason, count(*) AS orphan_references, count(DISTINCT ref_id) AS orphan_ids, count(DISTINCT row_id) AS orphan_rows FROM o GROUP BY 1, 2, 3",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from metaloom.operators.nested import ShapeAutomaton, child_records, subtype_tables
+from metaloom.operators.nested import SEMANTIC_BLOCK, ShapeAutomaton, child_records, flatten, subtype_tables
 
 SCHEMA = "block_id long, unique_id string, captured_at timestamp_ntz, payload_json string, value string"
 
@@ -49,11 +49,42 @@ def test_tables_keep_links(spark):
     assert sorted((r.value, r.value_type, r.parent_kind, r.parent_pos_b) for r in t["filter_value"].collect()) == [("2", "number", "filter", 0), ("v", "text", "filter", 0)]
 
 
-def test_equal_shapes_are_one_variant():
+def states(*blocks):
     a = ShapeAutomaton()
-    assert a.state({"x": ["p"], "y": True}) == a.state({"y": False, "x": ["q", "r"]})
-    assert a.variant({"x": ["t"], "y": None}) == "{x:[text],y:null}"
-    assert a.state({"x": []}) != a.state({"x": ["t"]})
+    return [a.variants[a.record(b, SEMANTIC_BLOCK)[0]] for b in blocks]
+
+
+def test_equal_shapes_are_one_state():
+    one, two, three, four = states(
+        {"measures": [{"name": "m", "synonyms": ["p"]}]}, {"measures": [{"name": "n", "synonyms": ["q", "r"]}, {"name": "o", "free": 1}]}, {"measures": [{"name": 1}]}, {"free": {"deep": [1]}, "metric": {"name": "k"}}
+    )
+    assert one == two == "{measures:[measure]}" and three == "{measures:[other]}" and four == "{metrics:[metric]}"
+
+
+def test_states_stay_few_where_field_names_are_free():
+    a = ShapeAutomaton()
+    for i in range(3000):
+        a.record({"measures": [{"name": "m", f"x{i}": i, "synonyms": ["s", i, None][: i % 4]}] * (i % 5), f"y{i}": {}}, SEMANTIC_BLOCK)
+    assert len(a.accept) < 60
+
+
+def test_the_automaton_routes_the_rows(monkeypatch):
+    block = {"measures": [{"name": "m", "synonyms": ["s"]}], "metric": {"name": "k"}}
+    assert [r[0] for r in flatten(block, ShapeAutomaton())] == ["measure", "measure_synonym", "metric"]
+
+    class Blind(ShapeAutomaton):
+        def move(self, rule, what, below):
+            at = super().move(rule, what, below)
+            self.accept[at] = None
+            return at
+
+    assert list(flatten(block, Blind())) == []
+
+
+def test_deep_free_fields_lose_no_records(spark):
+    deep = "[" * 700 + "]" * 700
+    text = '{"meta": {"nova": {"measures": [{"name": "m", "expression": %s, "free": %s, "synonyms": ["s"]}]}}}' % (deep, deep)
+    assert keys(run(spark, [(1, text)])) == [(1, "measure", 0, -1, -1), (1, "measure_synonym", 0, 0, -1)]
 
 
 def test_empty(spark):
