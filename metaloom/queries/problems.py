@@ -63,10 +63,10 @@ def p5_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _children(spark, sf_dir).groupBy("child_kind", "variant").agg(F.count("*").alias("records"), F.min("block_id").alias("first_block"))
 
 
-def _changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     files = table(spark, sf_dir, "manifest_files")
-    fields = cut_lineage(drift.file_fields(files))
-    return files, fields, drift.schema_changes(fields)
+    schemas = cut_lineage(drift.file_schemas(files))
+    return files, schemas, *drift.schema_changes(files, schemas)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,12 +77,27 @@ def p6_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _changes(spark, sf_dir)[2]
 
 
+def p6_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each file's fields with their types."""
+    held = F.from_json("schema", "map<string,string>")
+    return drift.file_schemas(table(spark, sf_dir, "manifest_files")).select("project_name", "file_seq", F.explode(held).alias("field_path", "type")).distinct()
+
+
+def _united(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    files, schemas, changes, ends = _changes(spark, sf_dir)
+    return files, cut_lineage(drift.united_fields(schemas, changes, ends))
+
+
+def p6_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _united(spark, sf_dir)[1]
+
+
 def p6_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.united_table(*_changes(spark, sf_dir), "metadata")
+    return drift.united_table(*_united(spark, sf_dir), "metadata")
 
 
 def p6_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.united_table(*_changes(spark, sf_dir), "nodes")
+    return drift.united_table(*_united(spark, sf_dir), "nodes")
 
 
 QUERIES = {
@@ -90,7 +105,7 @@ QUERIES = {
     "p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants, "p3_sizes": p3_sizes,
     "p5_found": p5_found, "p5_variants": p5_variants,
     **{f"p5_{k}": _p5_table(k) for k in ("measure", "measure_synonym", "metric", "metric_synonym", "grain_key", "grain_dimension", "filter", "filter_value")},
-    "p6_found": p6_found, "p6_changes": p6_changes, "p6_metadata": p6_metadata, "p6_nodes": p6_nodes,
+    "p6_found": p6_found, "p6_changes": p6_changes, "p6_schemas": p6_schemas, "p6_fields": p6_fields, "p6_metadata": p6_metadata, "p6_nodes": p6_nodes,
 }
 
 _REFS = r"""
@@ -160,6 +175,59 @@ _BLOCKS += "".join(f" UNION ALL SELECT block_id, '{kind}', a, {b}, {c} FROM {_it
 ))
 _BLOCKS += ")"
 
+_WALK = """
+WITH RECURSIVE f AS (
+  SELECT project_name, file_seq, CAST(content AS JSON) AS j FROM manifest_files WHERE json_valid(content) AND project_name IS NOT NULL AND file_seq IS NOT NULL
+), o AS (SELECT * FROM f WHERE json_type(j) = 'OBJECT'),
+r AS (
+  SELECT project_name, file_seq, 'metadata' AS path, '0' AS who, j->'$.metadata' AS v FROM o
+  UNION ALL SELECT project_name, file_seq, 'nodes', coalesce(e->>'$.unique_id', CAST(i - 1 AS VARCHAR)), e
+  FROM (SELECT project_name, file_seq, unnest(l) AS e, generate_subscripts(l, 1) AS i FROM (SELECT project_name, file_seq, from_json(j->'$.nodes', '["JSON"]') AS l FROM o WHERE json_type(j, '$.nodes') = 'ARRAY'))
+), walk AS (
+  SELECT * FROM r WHERE json_type(v) = 'OBJECT'
+  UNION ALL SELECT project_name, file_seq, path || '.' || k, who, json_extract(v, '$."' || k || '"') FROM (SELECT *, unnest(json_keys(v)) AS k FROM walk WHERE json_type(v) = 'OBJECT')
+), leaf AS (
+  SELECT DISTINCT project_name, file_seq, path, who, CAST(v AS VARCHAR) AS value,
+    CASE json_type(v) WHEN 'VARCHAR' THEN 'text' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'list' WHEN 'NULL' THEN NULL ELSE 'number' END AS t
+  FROM walk WHERE json_type(v) <> 'OBJECT'
+), field AS (
+  SELECT project_name, file_seq, path, CASE WHEN count(DISTINCT t) > 1 THEN 'text' ELSE min(t) END AS t FROM leaf GROUP BY 1, 2, 3
+), seq AS (SELECT project_name, file_seq, lag(file_seq) OVER (PARTITION BY project_name ORDER BY file_seq) AS before FROM (SELECT DISTINCT project_name, file_seq FROM o)),
+old AS (
+  SELECT project_name, file_seq AS before, path, last_value(t IGNORE NULLS) OVER w AS t, last_value(CASE WHEN t IS NOT NULL THEN file_seq END IGNORE NULLS) OVER w AS at
+  FROM field WINDOW w AS (PARTITION BY project_name, path ORDER BY file_seq)
+), came AS (
+  SELECT s.project_name, s.file_seq, n.path, n.t FROM seq s JOIN field n USING (project_name, file_seq) WHERE s.before IS NOT NULL
+    AND NOT EXISTS (SELECT 1 FROM field b WHERE b.project_name = s.project_name AND b.file_seq = s.before AND b.path = n.path)
+), went AS (
+  SELECT s.project_name, s.file_seq, b.path, b.t, b.at FROM seq s JOIN old b USING (project_name, before)
+  WHERE NOT EXISTS (SELECT 1 FROM field n WHERE n.project_name = s.project_name AND n.file_seq = s.file_seq AND n.path = b.path)
+), retyped AS (
+  SELECT s.project_name, s.file_seq, n.path, b.t AS old_type, n.t AS new_type FROM seq s JOIN field n USING (project_name, file_seq) JOIN old b ON b.project_name = s.project_name AND b.before = s.before AND b.path = n.path
+  WHERE n.t <> b.t
+), held AS (SELECT DISTINCT project_name, file_seq, path, who || chr(0) || value AS h FROM leaf WHERE t IS NOT NULL),
+size AS (SELECT project_name, file_seq, path, count(*) AS n FROM held GROUP BY 1, 2, 3),
+pair AS (
+  SELECT c.project_name, c.file_seq, split_part(c.path, '.', 1) AS section, c.path AS new_path, c.t AS new_type, w.path AS old_path, w.t AS old_type, w.at
+  FROM came c JOIN went w ON w.project_name = c.project_name AND w.file_seq = c.file_seq AND split_part(w.path, '.', 1) = split_part(c.path, '.', 1) WHERE c.t IS NOT NULL AND w.at IS NOT NULL
+), agree AS (
+  SELECT p.*, count(*) AS hits FROM pair p JOIN held a ON a.project_name = p.project_name AND a.file_seq = p.file_seq AND a.path = p.new_path
+  JOIN held b ON b.project_name = p.project_name AND b.file_seq = p.at AND b.path = p.old_path AND b.h = a.h GROUP BY ALL
+), ranked AS (
+  SELECT g.*, row_number() OVER (PARTITION BY g.project_name, g.file_seq, section, new_path ORDER BY hits / greatest(x.n, y.n) DESC, levenshtein(lower(new_path), lower(old_path)), new_path, old_path) AS r,
+    row_number() OVER (PARTITION BY g.project_name, g.file_seq, section, old_path ORDER BY hits / greatest(x.n, y.n) DESC, levenshtein(lower(new_path), lower(old_path)), new_path, old_path) AS s
+  FROM agree g JOIN size x ON x.project_name = g.project_name AND x.file_seq = g.file_seq AND x.path = new_path JOIN size y ON y.project_name = g.project_name AND y.file_seq = g.at AND y.path = old_path
+), moved AS (SELECT * FROM ranked WHERE r = 1 AND s = 1),
+change AS (
+  SELECT project_name, file_seq, path AS field_path, 'added' AS change_kind, NULL AS old_path, NULL AS old_type, t AS new_type FROM came c
+    WHERE NOT EXISTS (SELECT 1 FROM moved m WHERE m.project_name = c.project_name AND m.file_seq = c.file_seq AND m.new_path = c.path)
+  UNION ALL SELECT project_name, file_seq, path, 'removed', NULL, t, NULL FROM went w
+    WHERE NOT EXISTS (SELECT 1 FROM moved m WHERE m.project_name = w.project_name AND m.file_seq = w.file_seq AND m.old_path = w.path)
+  UNION ALL SELECT project_name, file_seq, new_path, 'renamed', old_path, old_type, new_type FROM moved
+  UNION ALL SELECT project_name, file_seq, path, 'retyped', NULL, old_type, new_type FROM retyped
+  UNION ALL SELECT project_name, file_seq, new_path, 'retyped', old_path, old_type, new_type FROM moved WHERE old_type <> new_type
+)
+"""
 _ENTITY = ", n AS (SELECT block_id, min(unique_id) AS unique_id FROM nova_blocks GROUP BY 1)"
 
 
@@ -203,6 +271,9 @@ _TABLES = {
 
 SQL = {
     **_TABLES,
+    "p6_found": _WALK + "SELECT project_name, file_seq, field_path, change_kind FROM change",
+    "p6_changes": _WALK + "SELECT * FROM change",
+    "p6_schemas": _WALK + "SELECT project_name, file_seq, path AS field_path, t AS type FROM field",
     "p5_found": _BLOCKS + " SELECT block_id, child_kind, CAST(pos_a AS INTEGER) AS pos_a, CAST(pos_b AS INTEGER) AS pos_b, CAST(pos_c AS INTEGER) AS pos_c FROM r",
     "p1_found": _REFS + "SELECT ref_table, period, row_id, ref_id FROM o",
     "p1_report": _REFS + "SELECT ref_table, period, reason, count(*) AS orphan_references, count(DISTINCT ref_id) AS orphan_ids, count(DISTINCT row_id) AS orphan_rows FROM o GROUP BY 1, 2, 3",
