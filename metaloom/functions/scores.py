@@ -86,11 +86,12 @@ def types_compatible(a: Column, b: Column) -> Column:
 
 
 #: Words of a column's name that hint at personal data.
-PII_WORDS = ("email", "phone", "address", "ssn", "birth", "passport", "name")
+PII_WORDS = ("email", "phone", "address", "full_name", "first_name", "last_name", "date_of_birth")
 
 
 def pii_like(name: Column) -> Column:
-    return F.lower(name).rlike("(^|_)(" + "|".join(PII_WORDS) + ")(_|$)")
+    """Whether one of these stands between underscores or ends; blanks and hyphens count as underscores."""
+    return F.regexp_replace(F.lower(F.trim(name)), "[- ]", "_").rlike("(^|_)(" + "|".join(PII_WORDS) + ")(_|$)")
 
 
 def any_of(conditions: list[Column]) -> Column:

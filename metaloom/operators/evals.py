@@ -78,10 +78,17 @@ def trace_summary(traces: DataFrame) -> DataFrame:
 
 
 def semantic_first(traces: DataFrame) -> DataFrame:
-    """(session, verdict): whether search_indicator was called before execute_sql."""
-    g = traces.groupBy("session").agg(F.min(F.when(F.col("tool") == "search_indicator", F.col("call_index"))).alias("s"), F.min(F.when(F.col("tool") == "execute_sql", F.col("call_index"))).alias("q"))
+    """(session, verdict): whether search_indicator was called before execute_sql.
+
+    ``traces`` may have a column metric_like: whether the call's query asks for a metric. SQL
+    without any search is a warning if some query does, else there is nothing to judge by.
+    """
+    like = F.coalesce("metric_like", F.lit(False)) if "metric_like" in traces.columns else F.lit(False)
+    g = traces.groupBy("session").agg(
+        F.min(F.when(F.col("tool") == "search_indicator", F.col("call_index"))).alias("s"), F.min(F.when(F.col("tool") == "execute_sql", F.col("call_index"))).alias("q"), F.max(like).alias("m")
+    )
     s, q = F.col("s"), F.col("q")
-    verdict = F.when(s.isNull() & q.isNull(), "not_applicable").when(q.isNull(), "observed_without_sql").when(s.isNull(), "not_observed").when(s < q, "pass").otherwise("warn")
+    verdict = F.when(s.isNull() & q.isNull(), "not_applicable").when(q.isNull(), "observed_without_sql").when(s.isNull() & F.col("m"), "warn").when(s.isNull(), "not_observed").when(s < q, "pass").otherwise("warn")
     return g.select("session", verdict.alias("verdict"))
 
 

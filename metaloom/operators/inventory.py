@@ -80,9 +80,19 @@ def find_by_path(entities: DataFrame, path: Column, pattern: str) -> DataFrame:
     return here.where(F.col("path").startswith(glob_prefix(pattern)) & F.col("path").rlike(glob_regex(pattern)))
 
 
-def layer(name: Column) -> Column:
-    """A model's layer by the start of its name: the first rule that fits."""
-    return F.when(name.rlike("^(stg|base)_"), "staging").when(name.rlike("^int_"), "intermediate").when(name.rlike("^(fct|dim|rpt|mart)_"), "mart").otherwise("other")
+#: How names begin, and folders of paths, by layer; the first that fits.
+LAYERS = {"staging": (("stg_", "stage_"), ("staging", "stage")), "intermediate": (("int_", "intermediate_"), ("intermediate", "int")), "mart": (("mart_",), ("marts", "mart"))}
+
+
+def layer(name: Column, path: Column | None = None, rules: dict = LAYERS) -> Column:
+    """A model's layer by the start of its name or a folder of its path, in lower case; null if no rule fits."""
+    low = F.lower(F.trim(F.coalesce(name, F.lit(""))))
+    where = F.lower(F.regexp_replace(F.trim(F.coalesce(path, F.lit(""))), r"\\\\", "/")) if path is not None else F.lit("")
+    out = F.lit(None).cast("string")
+    for known, (starts, folders) in reversed(rules.items()):
+        fits = low.rlike("^(" + "|".join(starts) + ")") | where.rlike("/(" + "|".join(folders) + ")/")
+        out = F.when(fits, known).otherwise(out)
+    return out
 
 
 def test_type(name: Column) -> Column:

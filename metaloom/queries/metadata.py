@@ -37,9 +37,8 @@ def layer_counts(spark, sf_dir):
 
 
 def pii_columns(spark, sf_dir):
-    """Declared columns of all payloads whose names hint at personal data."""
-    names = table(spark, sf_dir, "nova_blocks").select("block_id", F.explode(F.regexp_extract_all("payload_json", F.lit(r'"(\w+)"\s*:\s*\{\s*"data_type"'), 1)).alias("column_name"))
-    return names.distinct().select("block_id", "column_name", pii_like(F.col("column_name")).alias("pii_like"))
+    """Declared columns of all entities, and whether their names hint at personal data."""
+    return _payload_columns(spark, sf_dir).select("unique_id", "column_name").distinct().select("unique_id", "column_name", pii_like(F.col("column_name")).alias("pii_like"))
 
 
 def _coverage(spark, sf_dir):
@@ -83,9 +82,8 @@ def lineage_typed(spark, sf_dir):
 
 
 def lineage_up_all(spark, sf_dir):
-    """Upstream of every model that is a report, two levels."""
-    roots = _entities(spark, sf_dir).where("entity_name like 'rpt~_~_%' escape '~'").select(F.col("unique_id").alias("root"))
-    return lineage.reach(_edges(spark, sf_dir), roots, False, None, 2)
+    """Upstream of every entity, at the operator's full depth."""
+    return lineage.reach(_edges(spark, sf_dir), _entities(spark, sf_dir).select(F.col("unique_id").alias("root")), False)
 
 
 def impact_by_type(spark, sf_dir):
@@ -175,8 +173,9 @@ cov AS (SELECT e.unique_id, e.package_name, e.resource_type, count(tt.test_id) A
 """
 )
 DOWN = G + f", down AS (SELECT '{HUB}' AS id, 0 AS depth UNION SELECT edge.child, depth + 1 FROM down JOIN edge ON edge.parent = down.id WHERE depth < 3), d AS (SELECT id, CAST(min(depth) AS INTEGER) AS depth FROM down WHERE depth > 0 GROUP BY id)"
-PAYLOAD_COLUMNS = r""", pc AS (SELECT DISTINCT lower(trim(unique_id)) AS unique_id, unnest(regexp_extract_all(payload_json, '"(\w+)_[0-9a-f]{2}"\s*:\s*\{\s*"data_type"\s*:\s*"(\w+)"', 1)) AS column_name,
-  unnest(regexp_extract_all(payload_json, '"(\w+)_[0-9a-f]{2}"\s*:\s*\{\s*"data_type"\s*:\s*"(\w+)"', 2)) AS data_type FROM nova_blocks WHERE payload_json IS NOT NULL AND unique_id IS NOT NULL)"""
+PAYLOAD_COLUMNS = """, pj AS (SELECT block_id, unique_id, CAST(payload_json AS JSON) AS p FROM nova_blocks WHERE json_valid(payload_json)),
+  px AS (SELECT block_id, unique_id, name, json_extract(p, '$.columns."' || name || '"') AS c FROM (SELECT *, unnest(json_keys(p, '$.columns')) AS name FROM pj WHERE json_type(p, '$.columns') = 'OBJECT')),
+  pc AS (SELECT DISTINCT lower(trim(unique_id)) AS unique_id, name AS column_name, c->>'$.data_type' AS data_type FROM px WHERE json_type(c) = 'OBJECT' AND unique_id IS NOT NULL)"""
 
 _LOOPS = problems._TREE + "SELECT least AS root_id, count(*) AS nodes FROM loop_end WHERE on_loop GROUP BY 1"
 
@@ -191,8 +190,8 @@ SQL = {
     "get_entity": E + f"SELECT unique_id, entity_name, resource_type, package_name FROM e WHERE unique_id = '{HUB}'",
     "batch_get_entities": E + r", a AS (SELECT DISTINCT lower(regexp_replace(unique_id, '^\s+|\s+$', '', 'g')) AS unique_id FROM parent_map WHERE regexp_matches(unique_id, '\S')) SELECT a.unique_id, e.unique_id IS NOT NULL AS found, e.entity_name, e.resource_type FROM a LEFT JOIN e ON a.unique_id = e.unique_id",
     "find_by_path": E + "SELECT 'models/' || schema_name || '/' || entity_name || '.sql' AS path, unique_id FROM e WHERE regexp_full_match('models/' || schema_name || '/' || entity_name || '.sql', 'models/f[^/]*/stg__[^/]*_[^/]{4}[.]sql')",
-    "layer_counts": E + "SELECT CASE WHEN regexp_matches(entity_name, '^(stg|base)_') THEN 'staging' WHEN regexp_matches(entity_name, '^int_') THEN 'intermediate' WHEN regexp_matches(entity_name, '^(fct|dim|rpt|mart)_') THEN 'mart' ELSE 'other' END AS layer, count(*) AS models FROM e WHERE resource_type = 'model' GROUP BY 1",
-    "pii_columns": r"""SELECT DISTINCT block_id, column_name, regexp_matches(lower(column_name), '(^|_)(email|phone|address|ssn|birth|passport|name)(_|$)') AS pii_like FROM (SELECT block_id, unnest(regexp_extract_all(payload_json, '"(\w+)"\s*:\s*\{\s*"data_type"', 1)) AS column_name FROM nova_blocks)""",
+    "layer_counts": E + "SELECT CASE WHEN regexp_matches(lower(trim(entity_name)), '^(stg_|stage_)') THEN 'staging' WHEN regexp_matches(lower(trim(entity_name)), '^(int_|intermediate_)') THEN 'intermediate' WHEN regexp_matches(lower(trim(entity_name)), '^mart_') THEN 'mart' END AS layer, count(*) AS models FROM e WHERE resource_type = 'model' GROUP BY 1",
+    "pii_columns": "WITH x AS (SELECT 1)" + PAYLOAD_COLUMNS + r" SELECT DISTINCT unique_id, column_name, regexp_matches(regexp_replace(lower(trim(column_name)), '[- ]', '_', 'g'), '(^|_)(email|phone|address|full_name|first_name|last_name|date_of_birth)(_|$)') AS pii_like FROM pc",
     "test_coverage": T + "SELECT * FROM cov",
     "test_types": T + "SELECT kind AS test_type, count(*) AS tests, count(DISTINCT unique_id) AS entities FROM tt GROUP BY 1",
     "coverage_by_package": T + "SELECT package_name, count(*) AS entities, count(*) FILTER (WHERE tests > 0) AS tested, round(100.0::DOUBLE * count(*) FILTER (WHERE tests > 0) / count(*), 2) AS coverage_pct FROM cov GROUP BY 1",
@@ -208,7 +207,7 @@ SQL = {
     "lineage_typed": G + f""", step AS (SELECT parent, child, CASE WHEN e.unique_id IS NULL THEN 0 ELSE 1 END AS cost FROM edge LEFT JOIN e ON e.unique_id = child AND e.resource_type <> 'model'),
       down AS (SELECT '{HUB}' AS id, 0 AS depth UNION SELECT step.child, depth + cost FROM down JOIN step ON step.parent = down.id WHERE depth + cost <= 2)
       SELECT child AS id, CAST(min(depth + cost) AS INTEGER) AS depth FROM down JOIN step ON step.parent = down.id WHERE depth + cost <= 2 GROUP BY 1""",
-    "lineage_up_all": G + r""", up AS (SELECT unique_id AS root, unique_id AS id, 0 AS depth FROM e WHERE entity_name LIKE 'rpt~_~_%' ESCAPE '~' UNION SELECT root, edge.parent, depth + 1 FROM up JOIN edge ON edge.child = up.id WHERE depth < 2)
+    "lineage_up_all": G + r""", up AS (SELECT unique_id AS root, unique_id AS id, 0 AS depth FROM e UNION SELECT root, edge.parent, depth + 1 FROM up JOIN edge ON edge.child = up.id WHERE depth < 200)
       SELECT root, id, CAST(min(depth) AS INTEGER) AS depth FROM up WHERE depth > 0 GROUP BY root, id""",
     "impact_by_type": DOWN + " SELECT resource_type, count(*) AS entities FROM d JOIN e ON e.unique_id = d.id GROUP BY 1",
     "dag_orphans": G + "SELECT unique_id, resource_type FROM e WHERE unique_id NOT IN (SELECT child FROM edge) AND unique_id NOT IN (SELECT parent FROM edge)",

@@ -5,16 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metaloom.operators import evals, modelling, nested, scoring, search
+from metaloom.operators import evals, inventory, modelling, nested, payloads, scoring, search
 from metaloom.queries import metadata, retrieval
 from metaloom.session import cut_lineage, table
 from metaloom.sources import manifest
 from metaloom.streaming import traces as streams
 
 
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_lineage(payloads.payload_facts(table(spark, sf_dir, "nova_blocks")))
+
+
+def _tested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payloads.column_tests(metadata._entities(spark, sf_dir), inventory.attached_tests(table(spark, sf_dir, "tests_by_entity")))
+
+
 def _scores(spark: SparkSession, sf_dir: str, persona: str = "default") -> DataFrame:
-    facts = scoring.block_facts(table(spark, sf_dir, "nova_blocks"))
-    return scoring.entity_scores(metadata._entities(spark, sf_dir), facts, metadata._coverage(spark, sf_dir), persona)
+    return scoring.entity_scores(metadata._entities(spark, sf_dir), _facts(spark, sf_dir), metadata._coverage(spark, sf_dir), _tested(spark, sf_dir), persona)
+
+
+def score_columns(spark, sf_dir):
+    return scoring.column_scores(_facts(spark, sf_dir), _tested(spark, sf_dir))
+
+
+def column_tests(spark, sf_dir):
+    return _tested(spark, sf_dir)
+
+
+def coverage_gaps(spark, sf_dir):
+    return scoring.coverage_gaps(_facts(spark, sf_dir), _tested(spark, sf_dir))
 
 
 def score_entities(spark, sf_dir):
@@ -42,12 +61,20 @@ def recommendations(spark, sf_dir):
 
 
 def provenance(spark, sf_dir):
-    return scoring.provenance(metadata._entities(spark, sf_dir), "2026-06-30")
+    return scoring.provenance(metadata._entities(spark, sf_dir), _facts(spark, sf_dir), metadata._coverage(spark, sf_dir), _tested(spark, sf_dir), "2026-06-30")
 
 
-def engineer_risk(spark, sf_dir):
+def engineer_summary(spark, sf_dir):
     children = metadata._edges(spark, sf_dir).groupBy(F.col("parent").alias("unique_id")).agg(F.count("*").alias("n_children"))
-    return scoring.engineer_risk(metadata._entities(spark, sf_dir), metadata._coverage(spark, sf_dir), children)
+    return scoring.engineer_summary(metadata._entities(spark, sf_dir), _facts(spark, sf_dir), metadata._coverage(spark, sf_dir), _tested(spark, sf_dir), children)
+
+
+def analyst_summary(spark, sf_dir):
+    return scoring.analyst_summary(metadata._entities(spark, sf_dir), _facts(spark, sf_dir))
+
+
+def governance_gate(spark, sf_dir):
+    return scoring.governance_gate(_scores(spark, sf_dir, "governance"), metadata._entities(spark, sf_dir), _facts(spark, sf_dir), metadata._coverage(spark, sf_dir), 30)
 
 
 def audit_changed(spark, sf_dir):
@@ -162,7 +189,7 @@ def asof_join(spark, sf_dir):
 
 QUERIES = {
     **{f.__name__: f for f in (
-        score_entities, score_governance, score_packages, score_project, score_worst, recommendations, provenance, engineer_risk, audit_changed, findings, readiness, validate_blocks, multi_grain, compare_grains,
+        score_entities, score_governance, score_packages, score_project, score_worst, recommendations, provenance, engineer_summary, analyst_summary, governance_gate, score_columns, column_tests, coverage_gaps, audit_changed, findings, readiness, validate_blocks, multi_grain, compare_grains,
         entity_overlap, role_conflicts, catalog_drift, ir_metrics, eval_history, eval_gate, eval_compare, eval_retained, asof_join,
     )},
     "duplicate_indicators": _inventory(modelling.duplicate_indicators), "near_duplicate_indicators": _inventory(modelling.near_duplicate_indicators), "label_collisions": _inventory(modelling.label_collisions),
@@ -173,15 +200,34 @@ QUERIES = {
 }
 
 _FACTS = metadata.T.rstrip() + r""", nb AS (SELECT lower(regexp_replace(unique_id, '^\s+|\s+$', '', 'g')) AS id, payload_json AS p, row_number() OVER (PARTITION BY lower(regexp_replace(unique_id, '^\s+|\s+$', '', 'g')) ORDER BY captured_at DESC NULLS LAST, block_id DESC) AS r
-  FROM nova_blocks WHERE payload_json IS NOT NULL AND unique_id IS NOT NULL),
-j AS (SELECT id, CAST(p AS JSON) AS p FROM nb WHERE r = 1 AND json_valid(p)),
-k AS (SELECT id, p->>'$.meta.owner' AS owner, CASE WHEN json_type(p, '$.meta.nova') = 'OBJECT' THEN p->'$.meta.nova' ELSE p->'$.config.meta.nova' END AS b FROM j),
-f AS (SELECT id, owner, b->>'$.governance.sensitivity' AS sensitivity, b->>'$.governance.pii' AS pii, CASE WHEN json_type(b, '$.measures') = 'ARRAY' THEN json_array_length(b, '$.measures') ELSE 0 END AS measures,
-  CASE WHEN json_type(b, '$.metrics') = 'ARRAY' AND json_array_length(b, '$.metrics') > 0 THEN json_array_length(b, '$.metrics') WHEN json_type(b, '$.metric') = 'OBJECT' AND len(json_keys(b, '$.metric')) > 0 THEN 1 ELSE 0 END AS metrics,
-  coalesce((json_type(b, '$.grain') = 'OBJECT' AND len(json_keys(b, '$.grain')) > 0), FALSE) OR coalesce((json_type(b, '$.metric.grain') = 'OBJECT' AND len(json_keys(b, '$.metric.grain')) > 0), FALSE) AS grain,
-  CASE WHEN json_type(b, '$.grain.primary_key') = 'ARRAY' THEN json_array_length(b, '$.grain.primary_key') ELSE 0 END AS keys,
-  CASE WHEN json_type(b, '$.synonyms') = 'ARRAY' THEN json_array_length(b, '$.synonyms') ELSE 0 END AS syn, CASE WHEN json_type(b, '$.domains') = 'ARRAY' THEN json_array_length(b, '$.domains') ELSE 0 END AS dom,
-  CASE WHEN json_type(b, '$.governance.compliance') = 'ARRAY' THEN json_array_length(b, '$.governance.compliance') ELSE 0 END AS comp FROM k)
+  FROM nova_blocks WHERE payload_json IS NOT NULL AND regexp_matches(unique_id, '\S')),
+j AS (SELECT * FROM (SELECT id, CAST(p AS JSON) AS p FROM nb WHERE r = 1 AND json_valid(p)) WHERE json_type(p) = 'OBJECT'),
+k AS (SELECT id, p, p->>'$.description' AS pd, coalesce(trim(coalesce(p->>'$.meta.owner', p->>'$.config.meta.owner', p->>'$.owner')) <> '', FALSE) AS owner,
+  CASE WHEN json_type(p, '$.meta.nova') = 'OBJECT' THEN p->'$.meta.nova' WHEN json_type(p, '$.config.meta.nova') = 'OBJECT' THEN p->'$.config.meta.nova' END AS b FROM j),
+me AS (SELECT id, count(*) AS n, coalesce(bool_or(json_type(e) = 'OBJECT' AND list_contains(json_keys(e), 'expression')), FALSE) AS ex, coalesce(bool_or(json_type(e, '$.synonyms') = 'ARRAY' AND json_array_length(e, '$.synonyms') > 0), FALSE) AS sy, coalesce(bool_or(e->>'$.canonical' = 'true'), FALSE) AS ca
+  FROM (SELECT id, unnest(from_json(b->'$.measures', '["JSON"]')) AS e FROM k WHERE json_type(b, '$.measures') = 'ARRAY') GROUP BY 1),
+mh AS (SELECT id, b, CASE WHEN coalesce(json_type(b, '$.metrics'), 'NULL') <> 'NULL' THEN b->'$.metrics' ELSE b->'$.metric' END AS h FROM k),
+ml AS (SELECT id, unnest(CASE WHEN json_type(h) = 'ARRAY' THEN from_json(h, '["JSON"]') WHEN json_type(h) = 'OBJECT' THEN [h] ELSE [] END) AS e FROM mh),
+mt AS (SELECT id, count(*) AS n, coalesce(bool_or(json_type(e) = 'OBJECT' AND list_contains(json_keys(e), 'expression')), FALSE) AS ex, coalesce(bool_or(json_type(e, '$.synonyms') = 'ARRAY' AND json_array_length(e, '$.synonyms') > 0), FALSE) AS sy FROM ml GROUP BY 1),
+every AS (SELECT id, e FROM ml WHERE json_type(e) = 'OBJECT' UNION ALL SELECT id, b->'$.metric' FROM mh WHERE json_type(b, '$.metric') = 'OBJECT' AND coalesce(json_type(b, '$.metrics'), 'NULL') <> 'NULL'),
+ev AS (SELECT id, bool_or(coalesce(json_type(e, '$.grain') = 'OBJECT' AND len(json_keys(e, '$.grain')) > 0, FALSE)) AS g, bool_or(coalesce(json_type(e, '$.canonical') = 'BOOLEAN' AND e->>'$.canonical' = 'true', FALSE)) AS ca, count(*) FILTER (WHERE json_type(e, '$.grain') = 'OBJECT' AND json_type(e, '$.grain.time_field') = 'VARCHAR') AS tf FROM every GROUP BY 1),
+f AS (SELECT id, owner, pd, b IS NOT NULL AS has_block, b->>'$.governance.sensitivity' AS sensitivity, b->>'$.governance.pii' AS pii, coalesce(me.n, 0) AS measures, me.ex AS mex, me.sy AS msy, coalesce(mt.n, 0) AS metrics, mt.ex AS tex, mt.sy AS tsy,
+  coalesce(json_type(b, '$.grain') = 'OBJECT' AND len(json_keys(b, '$.grain')) > 0, FALSE) OR coalesce(ev.g, FALSE) AS grain, coalesce(me.ca, FALSE) OR coalesce(ev.ca, FALSE) OR (b->>'$.canonical' = 'true' AND (me.n > 0 OR ev.id IS NOT NULL)) AS canonical,
+  CASE WHEN json_type(b, '$.grain') = 'OBJECT' THEN list_filter([x->>'$' for x in CASE WHEN json_type(b, '$.grain.primary_key') = 'ARRAY' THEN from_json(b->'$.grain.primary_key', '["JSON"]') WHEN json_type(b, '$.grain.primary_key') = 'VARCHAR' THEN [b->'$.grain.primary_key'] ELSE [] END if json_type(x) = 'VARCHAR'], lambda y: trim(y) <> '') ELSE [] END AS gk,
+  CASE WHEN json_type(b, '$.grain') = 'OBJECT' THEN list_filter([x->>'$' for x in CASE WHEN json_type(b, '$.grain.dimensions') = 'ARRAY' THEN from_json(b->'$.grain.dimensions', '["JSON"]') WHEN json_type(b, '$.grain.dimensions') = 'VARCHAR' THEN [b->'$.grain.dimensions'] ELSE [] END if json_type(x) = 'VARCHAR'], lambda y: trim(y) <> '') ELSE [] END AS dims,
+  CASE WHEN json_type(b, '$.grain') = 'OBJECT' THEN b->>'$.grain.time_field' END AS time_field, coalesce(ev.tf, 0) AS metric_time_fields,
+  CASE WHEN json_type(b, '$.synonyms') = 'ARRAY' THEN json_array_length(b, '$.synonyms') ELSE 0 END AS syn, CASE WHEN json_type(b, '$.domains') = 'ARRAY' THEN json_array_length(b, '$.domains') ELSE 0 END AS dom, CASE WHEN json_type(b, '$.use_cases') = 'ARRAY' THEN json_array_length(b, '$.use_cases') ELSE 0 END AS uses,
+  CASE WHEN json_type(b, '$.governance.compliance') = 'ARRAY' THEN json_array_length(b, '$.governance.compliance') ELSE 0 END AS comp FROM k LEFT JOIN me USING (id) LEFT JOIN mt USING (id) LEFT JOIN ev USING (id)),
+c0 AS (SELECT id, name, json_extract(p, '$.columns."' || name || '"') AS c FROM (SELECT id, p, unnest(json_keys(p, '$.columns')) AS name FROM j WHERE json_type(p, '$.columns') = 'OBJECT')),
+c1 AS (SELECT id, name, c, CASE WHEN coalesce(json_type(c, '$.meta.nova'), 'NULL') <> 'NULL' THEN c->'$.meta.nova' ELSE c->'$.config.meta.nova' END AS b, coalesce(c->>'$.meta.primary_key', c->>'$.config.meta.primary_key', '') IN ('true', 'yes', '1') AS pk,
+  coalesce(trim(coalesce(c->>'$.meta.owner', c->>'$.config.meta.owner', c->>'$.owner')) <> '', FALSE) AS owner FROM c0 WHERE json_type(c) = 'OBJECT'),
+ct AS (SELECT DISTINCT tt.unique_id AS id, substr(string_split(test_id, '.')[3], strlen(kind) + strlen(entity_name) + 3) AS name, kind FROM tt JOIN e ON e.unique_id = tt.unique_id WHERE kind <> 'custom' AND starts_with(substr(string_split(test_id, '.')[3], strlen(kind) + 2), lower(entity_name) || '_')),
+cn AS (SELECT id, name, count(*) FILTER (WHERE kind = 'unique') AS u, count(*) FILTER (WHERE kind = 'not_null') AS nn FROM ct GROUP BY 1, 2),
+c2 AS (SELECT c1.*, cn.id IS NOT NULL AS tested, coalesce(u, 0) > 0 AND coalesce(nn, 0) > 0 AS sound, coalesce(c1.b->>'$.role', CASE WHEN pk THEN 'identifier' END) AS role, c1.b->>'$.semantic_type' AS st,
+  CASE WHEN json_type(c, '$.description') = 'VARCHAR' THEN strlen(trim(c->>'$.description')) ELSE 0 END AS dl, CASE WHEN json_type(c, '$.constraints') = 'ARRAY' THEN json_array_length(c, '$.constraints') ELSE 0 END AS cons FROM c1 LEFT JOIN cn ON cn.id = c1.id AND cn.name = c1.name),
+cc AS (SELECT id, count(*) AS n, avg(CASE WHEN dl = 0 THEN 0::DOUBLE WHEN dl < 20 THEN 0.2::DOUBLE WHEN dl < 50 THEN 0.5::DOUBLE WHEN dl < 100 THEN 0.8::DOUBLE ELSE 1::DOUBLE END) AS described, count(*) FILTER (WHERE b->>'$.role' IS NOT NULL OR st IS NOT NULL) AS sem,
+  sum(CASE WHEN role IN ('identifier', 'measure') THEN 3 WHEN role = 'time' THEN 2 ELSE 0 END) AS crit, sum(CASE WHEN NOT tested THEN 0 WHEN role IN ('identifier', 'measure') THEN 3 WHEN role = 'time' THEN 2 ELSE 0 END) AS critt, count(*) FILTER (WHERE role = 'dimension') AS dim, count(*) FILTER (WHERE role = 'dimension' AND tested) AS dimt,
+  count(*) FILTER (WHERE pk) AS keys, count(*) FILTER (WHERE pk AND sound) AS sound_keys, list(name) FILTER (WHERE sound) AS sound_names, count(*) FILTER (WHERE dl > 0) AS documented FROM c2 GROUP BY 1)
 """
 
 
@@ -189,18 +235,43 @@ def _tier(n: str, most: int) -> str:
     return f"CAST(round(CASE WHEN coalesce({n}, 0) <= 0 THEN 0::DOUBLE WHEN {n} = 1 THEN 0.4::DOUBLE WHEN {n} = 2 THEN 0.7::DOUBLE ELSE 1::DOUBLE END * {most}) AS INTEGER)"
 
 
-def _score_sql(persona: str) -> str:
+def _clamp(x: str, most: int) -> str:
+    return f"CAST(round(least(greatest({x}, 0::DOUBLE), {most}::DOUBLE)) AS INTEGER)"
+
+
+def _words(n: str, most: int) -> str:
+    return f"CAST(round(CASE WHEN {n} = 0 THEN 0::DOUBLE WHEN {n} < 20 THEN 0.2::DOUBLE WHEN {n} < 50 THEN 0.5::DOUBLE WHEN {n} < 100 THEN 0.8::DOUBLE ELSE 1::DOUBLE END * {most}) AS INTEGER)"
+
+
+def _total(maxima: dict[str, int], persona: str) -> str:
     w = scoring.WEIGHTS[persona]
-    total = " + ".join(f"{c}::DOUBLE / {m} * 100 * {w[c]}::DOUBLE" for c, m in scoring.MAXIMA.items())
-    own = "coalesce(trim(owner) <> '', FALSE)"
-    n = "strlen(trim(coalesce(description, '')))"
+    return _clamp(" + ".join(f"{c}::DOUBLE / {m} * 100 * {w[c]}::DOUBLE" for c, m in maxima.items()), 100)
+
+
+_GRADE = "CASE WHEN overall >= 90 THEN 'A' WHEN overall >= 80 THEN 'B' WHEN overall >= 70 THEN 'C' WHEN overall >= 60 THEN 'D' ELSE 'F' END AS grade"
+_EXPECTED = "coalesce(e.resource_type IN ('model', 'source', 'seed', 'snapshot'), FALSE)"
+
+
+def _share(part: str, whole: str, most: int) -> str:
+    pct = f"CASE WHEN coalesce({whole}, 0) > 0 THEN {_clamp(f'coalesce({part}, 0)::DOUBLE / {whole} * 100', 100)} WHEN {_EXPECTED} THEN 0 ELSE 100 END"
+    return _clamp(f"({pct}) / 100.0::DOUBLE * {most}", most)
+
+
+def _indicator(n: str, expression: str, synonyms: str, few: int) -> str:
+    points = f"CASE WHEN NOT {expression} THEN {few} WHEN NOT {synonyms} THEN 10 ELSE 15 END"
+    return f"CASE WHEN coalesce(e.resource_type, '') = 'source' OR coalesce({n}, 0) = 0 THEN 0 ELSE {_clamp(f'({points}) / 15::DOUBLE * 12', 12)} END"
+
+
+def _score_sql(persona: str) -> str:
+    own, text = "coalesce(owner, FALSE)", "strlen(trim(coalesce(pd, description, '')))"
     return _FACTS + f""", p AS (SELECT e.unique_id, e.resource_type, e.package_name,
-      CAST(round(CASE WHEN {n} = 0 THEN 0::DOUBLE WHEN {n} < 20 THEN 0.2::DOUBLE WHEN {n} < 50 THEN 0.5::DOUBLE WHEN {n} < 100 THEN 0.8::DOUBLE ELSE 1::DOUBLE END * 30) AS INTEGER) + CASE WHEN {own} THEN 15 ELSE 0 END AS documentation,
-      {_tier('syn', 12)} + {_tier('dom', 12)} + CASE WHEN coalesce(grain, FALSE) THEN 20 ELSE 0 END + CASE WHEN e.resource_type <> 'source' AND coalesce(measures, 0) > 0 THEN 5 ELSE 0 END + CASE WHEN e.resource_type <> 'source' AND coalesce(metrics, 0) > 0 THEN 4 ELSE 0 END AS semantic,
+      {_words(text, 30)} + {_clamp(f"CASE WHEN cc.n > 0 THEN described WHEN {_EXPECTED} THEN 0::DOUBLE ELSE 1::DOUBLE END * 40", 40)} + CASE WHEN {own} THEN 15 ELSE 0 END AS documentation,
+      {_tier('syn', 12)} + {_tier('dom', 12)} + {_tier('uses', 12)} + {_share('sem', 'cc.n', 30)} + CASE WHEN coalesce(grain, FALSE) THEN 20 ELSE 0 END + {_indicator('measures', 'mex', 'msy', 6)} + {_indicator('metrics', 'tex', 'tsy', 5)} AS semantic,
       CASE WHEN sensitivity IS NOT NULL THEN 20 ELSE 0 END + CASE WHEN pii IS NOT NULL THEN 30 ELSE 0 END + {_tier('comp', 20)} + CASE WHEN {own} THEN 30 ELSE 0 END AS governance,
-      CASE WHEN coalesce(cov.tests, 0) > 0 THEN 10 ELSE 0 END + CASE WHEN coalesce(keys, 0) > 0 THEN 20 ELSE 0 END AS quality
-      FROM e LEFT JOIN f ON f.id = e.unique_id LEFT JOIN cov ON cov.unique_id = e.unique_id),
-    s AS (SELECT *, CAST(round(least(greatest({total}, 0), 100)) AS INTEGER) AS overall FROM p), sc AS (SELECT *, CASE WHEN overall >= 90 THEN 'A' WHEN overall >= 80 THEN 'B' WHEN overall >= 70 THEN 'C' WHEN overall >= 60 THEN 'D' ELSE 'F' END AS grade FROM s)
+      CAST(least(30, CASE WHEN coalesce(cov.tests, 0) > 0 THEN 10 ELSE 0 END + {_share('critt', 'crit', 20)} + {_share('dimt', 'dim', 10)}) + CASE WHEN coalesce(keys, 0) > 0 OR len(coalesce(gk, [])) > 0 THEN 20 ELSE 0 END
+        + CASE WHEN coalesce(keys, 0) > 0 THEN CASE WHEN keys = sound_keys THEN 10 ELSE 0 END WHEN len(coalesce(gk, [])) > 0 AND len([y for y in gk if NOT list_contains(coalesce(sound_names, []), y)]) = 0 THEN 10 ELSE 0 END AS INTEGER) AS quality
+      FROM e LEFT JOIN f ON f.id = e.unique_id LEFT JOIN cc ON cc.id = e.unique_id LEFT JOIN cov ON cov.unique_id = e.unique_id),
+    s AS (SELECT *, {_total(scoring.MAXIMA, persona)} AS overall FROM p), sc AS (SELECT *, {_GRADE} FROM s)
     """
 
 
@@ -220,12 +291,29 @@ SQL = {
     "score_packages": _rollup_sql("package_name"), "score_project": _rollup_sql("resource_type"),
     "score_worst": _score_sql("default") + "SELECT unique_id, overall, grade FROM sc ORDER BY overall, unique_id LIMIT 10",
     "recommendations": _score_sql("default") + ", r AS (" + " UNION ALL ".join(f"SELECT '{c}' AS category, {m} - {c} AS gain FROM sc" for c, m in scoring.MAXIMA.items()) + ") SELECT category, CASE WHEN gain >= 15 THEN 'high' WHEN gain >= 8 THEN 'medium' ELSE 'low' END AS priority, count(*) AS entities, CAST(sum(gain) AS BIGINT) AS gain FROM r WHERE gain > 0 GROUP BY 1, 2",
-    "provenance": metadata.E + """SELECT unique_id, CASE WHEN resource_type = 'source' THEN 'raw' WHEN regexp_matches(coalesce(entity_name, ''), '^(stg|base)_') THEN 'staging' WHEN regexp_matches(coalesce(entity_name, ''), '^(fct|dim|rpt|mart)_') THEN 'curated' ELSE 'intermediate' END AS source_tier,
-      CAST(date_diff('day', created_at::DATE, DATE '2026-06-30') AS INTEGER) AS age_days, CASE WHEN created_at IS NULL THEN 'unknown' WHEN date_diff('day', created_at::DATE, DATE '2026-06-30') <= 30 THEN 'fresh' WHEN date_diff('day', created_at::DATE, DATE '2026-06-30') <= 180 THEN 'aging' ELSE 'stale' END AS freshness FROM e""",
-    "engineer_risk": metadata.T.rstrip() + r""", pm AS (SELECT unique_id AS c, unnest(parent_ids) AS p FROM parent_map WHERE regexp_matches(unique_id, '\S')),
+    "provenance": _FACTS + """, x AS (SELECT e.unique_id, coalesce(round(documented::DOUBLE / nullif(cc.n, 0) * 100, 2), 0::DOUBLE) AS pct, f.*, description, cov.tests, created_at FROM e LEFT JOIN f ON f.id = e.unique_id LEFT JOIN cc ON cc.id = e.unique_id LEFT JOIN cov ON cov.unique_id = e.unique_id)
+      SELECT unique_id, CASE WHEN coalesce(canonical, FALSE) THEN 'semantic_layer' WHEN coalesce(owner, FALSE) OR trim(coalesce(pd, description, '')) <> '' OR coalesce(has_block, FALSE) OR pct > 0 OR coalesce(tests, 0) > 0 THEN 'curated' ELSE 'raw' END AS source_tier, pct AS doc_coverage_pct,
+      CAST(date_diff('day', created_at::DATE, DATE '2026-06-30') AS INTEGER) AS age_days, CASE WHEN created_at IS NULL THEN 'unknown' WHEN date_diff('day', created_at::DATE, DATE '2026-06-30') > 30 THEN 'stale' ELSE 'fresh' END AS freshness FROM x""",
+    "engineer_summary": _FACTS + r""", pm AS (SELECT unique_id AS c, unnest(parent_ids) AS p FROM parent_map WHERE regexp_matches(unique_id, '\S')),
       edge AS (SELECT DISTINCT lower(regexp_replace(c, '^\s+|\s+$', '', 'g')) AS child, lower(regexp_replace(p, '^\s+|\s+$', '', 'g')) AS parent FROM pm WHERE regexp_matches(p, '\S')), ch AS (SELECT parent, count(*) AS n FROM edge GROUP BY 1),
-      x AS (SELECT e.unique_id, coalesce(n, 0) AS blast_radius, CASE WHEN coalesce(n, 0) >= 20 THEN 3 WHEN coalesce(n, 0) >= 8 THEN 2 WHEN coalesce(n, 0) >= 3 THEN 1 ELSE 0 END + CASE WHEN coalesce(tests, 0) = 0 THEN 2 ELSE 0 END + CASE WHEN trim(coalesce(description, '')) = '' THEN 1 ELSE 0 END AS risk_points
-        FROM e LEFT JOIN cov ON cov.unique_id = e.unique_id LEFT JOIN ch ON ch.parent = e.unique_id) SELECT *, CASE WHEN risk_points >= 5 THEN 'high' WHEN risk_points >= 3 THEN 'medium' ELSE 'low' END AS risk FROM x""",
+      y AS (SELECT e.unique_id, coalesce(ch.n, 0) AS blast_radius, coalesce(documented::DOUBLE / nullif(cc.n, 0) >= 0.5, FALSE) AS half, trim(coalesce(pd, description, '')) <> '' AS said, coalesce(tests, 0) > 0 AS tst, coalesce(owner, FALSE) AS own, coalesce(grain, FALSE) AS gr, materialization IS NOT NULL AS mat, coalesce(cc.n, 0) > 0 AS cols
+        FROM e LEFT JOIN f ON f.id = e.unique_id LEFT JOIN cc ON cc.id = e.unique_id LEFT JOIN cov ON cov.unique_id = e.unique_id LEFT JOIN ch ON ch.parent = e.unique_id),
+      x AS (SELECT unique_id, blast_radius, CAST(CASE WHEN blast_radius >= 20 THEN 3 WHEN blast_radius >= 8 THEN 2 WHEN blast_radius >= 3 THEN 1 ELSE 0 END + CASE WHEN tst THEN 0 ELSE 2 END + CASE WHEN half THEN 0 ELSE 1 END + CASE WHEN said THEN 0 ELSE 1 END AS INTEGER) AS risk_points,
+        CAST(said::INT + own::INT + tst::INT + half::INT + gr::INT + mat::INT + cols::INT AS INTEGER) AS ready_points FROM y)
+      SELECT *, CASE WHEN risk_points >= 5 THEN 'high' WHEN risk_points >= 3 THEN 'medium' ELSE 'low' END AS risk, CASE WHEN ready_points >= 6 THEN 'high' WHEN ready_points >= 4 THEN 'medium' ELSE 'low' END AS readiness FROM x""",
+    "analyst_summary": _FACTS + """, x AS (SELECT e.unique_id, CAST(CASE WHEN coalesce(metrics, 0) > 0 THEN 2 ELSE 0 END + CASE WHEN coalesce(measures, 0) > 0 THEN 1 ELSE 0 END + CASE WHEN coalesce(grain, FALSE) THEN 1 ELSE 0 END + CASE WHEN time_field IS NOT NULL OR coalesce(metric_time_fields, 0) > 0 THEN 1 ELSE 0 END
+      + CASE WHEN len(coalesce(dims, [])) > 0 THEN 1 ELSE 0 END + CASE WHEN len(coalesce(dims, [])) > 1 THEN 1 ELSE 0 END AS INTEGER) AS confidence_points FROM e LEFT JOIN f ON f.id = e.unique_id) SELECT *, CASE WHEN confidence_points >= 5 THEN 'high' WHEN confidence_points >= 3 THEN 'medium' ELSE 'low' END AS confidence FROM x""",
+    "governance_gate": _score_sql("governance") + """, x AS (SELECT sc.unique_id, array_to_string(list_filter([CASE WHEN trim(coalesce(pd, description, '')) = '' THEN 'missing_description' END, CASE WHEN NOT coalesce(owner, FALSE) THEN 'missing_owner' END, CASE WHEN overall < 30 THEN 'score_below_minimum' END,
+      CASE WHEN coalesce(cov.tests, 0) = 0 THEN 'missing_tests' END, CASE WHEN pii = 'true' AND coalesce(comp, 0) = 0 THEN 'missing_compliance_for_pii' END], lambda y: y IS NOT NULL), ',') AS reasons FROM sc JOIN e ON e.unique_id = sc.unique_id LEFT JOIN f ON f.id = sc.unique_id LEFT JOIN cov ON cov.unique_id = sc.unique_id)
+      SELECT unique_id, reasons, CASE WHEN reasons = '' THEN 'pass' ELSE 'fail' END AS gate FROM x""",
+    "column_tests": _FACTS + "SELECT id AS unique_id, name AS column_name, kind FROM ct",
+    "coverage_gaps": _FACTS + """, cu AS (SELECT c1.id, c1.name, pk, coalesce(u, 0) > 0 AS u, coalesce(nn, 0) > 0 AS nn, cn.id IS NULL AS bare FROM c1 LEFT JOIN cn ON cn.id = c1.id AND cn.name = c1.name), m AS (SELECT id, count(*) AS n FROM cu WHERE bare GROUP BY 1)
+      SELECT id AS unique_id, 'missing_unique_test' AS gap, 'high' AS severity, name AS column_name, 1 AS columns FROM cu WHERE pk AND NOT u UNION ALL SELECT id, 'missing_not_null_test', 'high', name, 1 FROM cu WHERE pk AND NOT nn
+      UNION ALL SELECT id, 'untested_column', 'low', name, 1 FROM cu JOIN m USING (id) WHERE bare AND n <= 5 UNION ALL SELECT id, 'many_untested_columns', 'medium', NULL, n FROM m WHERE n > 5""",
+    "score_columns": _FACTS + f""", x AS (SELECT id AS unique_id, name AS column_name, {_words('dl', 50)} + CASE WHEN owner THEN 50 ELSE 0 END AS documentation,
+      CASE WHEN b->>'$.role' IS NOT NULL THEN 30 ELSE 0 END + CASE WHEN st IS NOT NULL THEN 30 ELSE 0 END + {_tier("CASE WHEN json_type(b, '$.synonyms') = 'ARRAY' THEN len([y for y in from_json(b->'$.synonyms', '[" + chr(34) + "JSON" + chr(34) + "]') if json_type(y) = 'VARCHAR' AND trim(y->>'$') <> '']) WHEN json_type(b, '$.synonyms') = 'VARCHAR' THEN 1 ELSE 0 END", 40)} AS semantic,
+      CASE WHEN json_type(b, '$.governance.sensitivity') = 'VARCHAR' THEN 40 ELSE 0 END + CASE WHEN b->>'$.governance.pii' IS NOT NULL THEN 40 ELSE 0 END + {_tier("CASE WHEN json_type(b, '$.governance.compliance') = 'ARRAY' THEN json_array_length(b, '$.governance.compliance') ELSE 0 END", 20)} AS governance,
+      CASE WHEN c->>'$.data_type' IS NOT NULL THEN 40 ELSE 0 END + CASE WHEN tested THEN 40 ELSE 0 END + {_tier('cons', 20)} AS quality FROM c2), s AS (SELECT *, {_total(dict.fromkeys(scoring.MAXIMA, 100), "default")} AS overall FROM x) SELECT *, {_GRADE} FROM s""",
     "audit_changed": _score_sql("default") + "SELECT sc.unique_id, overall, CASE WHEN overall < 20 THEN 'fail' WHEN overall < 40 THEN 'advisory' ELSE 'pass' END AS status FROM sc JOIN e ON e.unique_id = sc.unique_id WHERE e.created_at >= TIMESTAMP '2024-02-01'",
     "duplicate_indicators": _DUP + " SELECT * FROM d WHERE parents > 1",
     "near_duplicate_indicators": r"SELECT * FROM (SELECT lower(regexp_replace(expression, '[\s`" + "\"''" + r"]', '', 'g')) AS expression_key, count(DISTINCT lower(trim(indicator_name))) AS indicators, min(indicator_id) AS first_id FROM indicator_inventory WHERE expression IS NOT NULL GROUP BY 1) WHERE indicators > 1 AND expression_key <> ''",
