@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,5 +111,5 @@ def column_matches(pairs: DataFrame) -> DataFrame:
 
 def column_references(texts: DataFrame, column: str) -> DataFrame:
     """(doc_id, times): how often a text names the column as a whole identifier, in any case."""
-    found = F.size(F.regexp_extract_all("text", F.lit(rf"(?i)(?<![\w])({column})(?![\w])"), 1))
+    found = F.size(F.regexp_extract_all("text", F.lit(rf"(?i)(?<![\w])({re.escape(column)})(?![\w])"), 1))
     return texts.select("doc_id", found.alias("times")).where("times > 0")

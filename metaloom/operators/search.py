@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from metaloom.functions.scores import levenshtein_similarity, tokens
+from metaloom.session import cut_lineage
 
 #: Weights of an entity's fields.
 FIELD_BOOSTS = {
@@ -30,6 +35,8 @@ TYPE_WEIGHTS = {
     "default": {},
 }
 K1, B = 1.2, 0.75
+#: Queries that are ranked at once, and documents laid beside them (8 bytes for each pair, 80 MB).
+BULK_QUERIES, BULK_DOCS = 20_000, 512
 RRF_K, STAGING, NO_BLOCK, CANONICAL, NGRAM_BOOST = 60.0, 0.6, 0.93, 1.08, 0.35
 
 
@@ -71,6 +78,92 @@ def bm25(docs: DataFrame, key: str, fields: dict[str, Column], queries: DataFram
     return scored.groupBy("qid", "id").agg(F.round(F.sum(F.col("w") * norm), 6).alias("score"))
 
 
+class TopK:
+    """The k best (score, id) of each of n queries so far; of equal scores the smaller id."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.score, self.id = k, np.full((n, k), -np.inf), np.full((n, k), "", dtype="U1")
+
+    def add(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Candidates as parallel arrays; a row may come several times."""
+        if not len(rows):
+            return
+        if ids.dtype.itemsize > self.id.dtype.itemsize:
+            self.id = self.id.astype(ids.dtype)
+        own, at = np.unique(rows, return_inverse=True)
+        at = np.concatenate([at, np.repeat(np.arange(len(own)), self.k)])
+        s, who = np.concatenate([scores, self.score[own].ravel()]), np.concatenate([ids, self.id[own].ravel()])
+        order = np.lexsort((who, -s, at))
+        first = np.searchsorted(at[order], np.arange(len(own)))
+        take = order[first[:, None] + np.arange(self.k)]
+        self.score[own], self.id[own] = s[take], who[take]
+
+
+def bulk_top(docs: DataFrame, key: str, fields: dict[str, Column], queries: DataFrame, k: int, boosts: dict[str, float] | None = None, block: int = BULK_QUERIES) -> DataFrame:
+    """(qid, id, score): the k best of each query by :func:`bm25`, for many queries at once and exactly, no word left out.
+
+    ``queries`` has qid and words. Word counts and lengths are aggregated once; then queries
+    are broadcast in blocks of at most ``block``, each against all documents. A task lays a
+    batch of documents beside all queries of the block, adds each word's weights to the
+    queries that have it, and keeps k of each query. So no (query, document) pair is ever
+    shuffled, however common a word is: what leaves a task is k rows a query.
+    """
+    spark = docs.sparkSession
+    names = list(fields)
+    held = docs.select(F.col(key).cast("string").alias("id"), *[tokens(F.coalesce(text, F.lit(""))).alias(f"w{i}") for i, text in enumerate(fields.values())])
+    asked = queries.select("qid", F.explode("words").alias("term")).distinct()
+    wanted = cut_lineage(asked.select("term").distinct())
+    each = held.select("id", F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(f"w{i}").alias("words")) for i, n in enumerate(names)])).alias("x")).select("id", "x.*").where(F.size("words") > 0)
+    stats = {r[0]: (r[1], r[2]) for r in each.groupBy("field").agg(F.count("*"), F.avg(F.size("words"))).collect()}
+    counts = cut_lineage(each.select("field", F.explode(F.array_distinct("words")).alias("term")).join(wanted, "term").groupBy("field", "term").count())
+    numbered = asked.groupBy("qid").agg(F.collect_list("term").alias("words"))
+    blocks = max(1, -(-numbered.count() // block))
+    out = None
+    for b in range(blocks):
+        own = numbered.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).collect()
+        words = {w for r in own for w in r[1]}
+        # As many rows as the block's queries have words, in each field.
+        df = counts.join(spark.createDataFrame([(w,) for w in sorted(words)], "term string"), "term") if blocks > 1 else counts
+        idf = {(r[0], r[1]): math.log(1 + (stats[r[0]][0] - r[2] + 0.5) / (r[2] + 0.5)) * (boosts or {}).get(r[0], 1.0) for r in df.select("field", "term", "count").collect()}
+        where: dict[str, list[int]] = {}
+        for i, r in enumerate(own):
+            for w in r[1]:
+                where.setdefault(w, []).append(i)
+        shared = spark.sparkContext.broadcast(({w: np.array(i) for w, i in where.items()}, idf, [r[0] for r in own]))
+
+        def rank(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            at, weight, qids = shared.value
+            best = TopK(len(qids), k)
+            for batch in batches:
+                for lo in range(0, len(batch), BULK_DOCS):
+                    part = batch.iloc[lo : lo + BULK_DOCS]
+                    met: dict[str, dict[int, float]] = {}
+                    for i, name in enumerate(names):
+                        mean = stats[name][1] if name in stats else 1.0
+                        for d, ws in enumerate(part[f"w{i}"]):
+                            tf: dict[str, int] = {}
+                            for w in ws:
+                                if w in at:
+                                    tf[w] = tf.get(w, 0) + 1
+                            norm = K1 * (1 - B + B * len(ws) / mean)
+                            for w, n in tf.items():
+                                row = met.setdefault(w, {})
+                                row[d] = row.get(d, 0.0) + weight[name, w] * n * (K1 + 1) / (n + norm)
+                    score = np.zeros((len(qids), len(part)))
+                    for w, row in met.items():
+                        score[np.ix_(at[w], np.fromiter(row, np.int64, len(row)))] += np.fromiter(row.values(), np.float64, len(row))
+                    score = np.round(score, 6)
+                    limit = np.maximum(best.score[:, -1], 1e-9)
+                    q, d = np.nonzero(score >= limit[:, None])
+                    best.add(q, part["id"].to_numpy(str)[d], score[q, d])
+            q, j = np.nonzero(np.isfinite(best.score))
+            yield pd.DataFrame({"qid": np.asarray(qids, object)[q], "id": best.id[q, j].astype(object), "score": best.score[q, j]})
+
+        part = held.mapInPandas(rank, f"qid {queries.schema['qid'].dataType.simpleString()}, id string, score double")
+        out = part if out is None else out.unionByName(part)
+    return top(out, k)
+
+
 def top(scored: DataFrame, k: int, by: str = "qid") -> DataFrame:
     """The k best of each query, with ``rank`` from 1; of equal scores the smaller id."""
     w = W.partitionBy(by).orderBy(F.desc("score"), "id")
@@ -96,32 +189,49 @@ def slips_allowed(term: Column) -> Column:
     return F.when(n < 4, 0).when(n <= 7, 1).otherwise(2)
 
 
+def swapped(a: Column, b: Column) -> Column:
+    """Whether exchanging two neighbouring letters of a gives b."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1)))
+    big = 1 << 30
+    turned = F.transform(places, lambda i: F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, F.lit(big))))
+    return (F.length(a) == F.length(b)) & (F.length(a) > 1) & F.array_contains(turned, b)
+
+
 def within_slips(a: Column, b: Column) -> Column:
     """Whether b is within the edits that a's length allows; a swap of neighbours counts as one."""
     n = slips_allowed(a)
-    plain = F.levenshtein(a, b) <= n
-    # A swap costs plain edit distance two; with equal length and equal letters it is one.
-    letters = F.array_sort(F.split(a, "")) == F.array_sort(F.split(b, ""))
-    return plain | ((n == 1) & (F.length(a) == F.length(b)) & (F.levenshtein(a, b) == 2) & letters)
+    far = F.levenshtein(a, b)
+    # A swap costs plain edit distance two.
+    return (far <= n) | ((n == 1) & (far == 2) & swapped(a, b))
+
+
+#: Words up to this length meet by deletions, longer ones by stretches; around it by both.
+LONG_WORD = 64
 
 
 def fuzzy_terms(vocabulary: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, term, match, distance): words of the vocabulary (term) within the slips that a query's word allows.
 
-    Candidates share a deletion key: any two words within d edits have a common word left
-    when each loses at most d letters, so the join is on equal keys, never all words by all.
+    Candidates share a key, so the join is on equal keys, never all words by all. Any two
+    words within d edits have a common word left when each loses at most d letters. Of
+    long words, which have too many such, at least one of three stretches (the first 20
+    letters, the last 20, and 20 from the 24th, moved by at most one) is untouched by two edits.
     """
+    big = F.lit(1 << 30)
 
     def cut(t: Column) -> Column:
-        return F.when(F.length(t) > 0, F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, 1, i - 1), F.substring(t, i + 1, 64)))).otherwise(F.array().cast("array<string>"))
+        return F.when(F.length(t) > 0, F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, big)))).otherwise(F.array().cast("array<string>"))
 
-    def keys(t: Column) -> Column:
+    def keys(t: Column, places: tuple[int, ...]) -> Column:
         # Words of six letters or more may be met by one that allows two slips.
         one = cut(t)
-        return F.array_distinct(F.when(F.length(t) < 6, F.concat(F.array(t), one)).otherwise(F.concat(F.array(t), one, F.flatten(F.transform(one, cut)))))
+        short = F.when(F.length(t) < 6, F.concat(F.array(t), one)).otherwise(F.concat(F.array(t), one, F.flatten(F.transform(one, cut))))
+        long = F.array(F.concat(F.lit("^"), F.substring(t, 1, 20)), F.concat(F.lit("$"), F.substring(t, -20, 20)), *[F.concat(F.lit("-"), F.substring(t, p, 20)) for p in places])
+        none = F.array().cast("array<string>")
+        return F.array_distinct(F.concat(F.when(F.length(t) <= LONG_WORD + 2, short).otherwise(none), F.when(F.length(t) >= LONG_WORD - 1, long).otherwise(none)))
 
-    v = vocabulary.select(F.col("term").alias("match")).where(F.length("match").between(1, 64)).withColumn("key", F.explode(keys(F.col("match"))))
-    q = queries.select("qid", "term").where(F.length("term").between(1, 64)).withColumn("key", F.explode(keys(F.col("term"))))
+    v = vocabulary.select(F.col("term").alias("match")).where("match <> ''").withColumn("key", F.explode(keys(F.col("match"), (23, 24, 25))))
+    q = queries.select("qid", "term").where("term <> ''").withColumn("key", F.explode(keys(F.col("term"), (24,))))
     pairs = q.join(v, "key").select("qid", "term", "match").distinct()
     return pairs.where(within_slips(F.col("term"), F.col("match"))).withColumn("distance", F.levenshtein("term", "match"))
 
@@ -136,7 +246,7 @@ def phrase_match(docs: DataFrame, key: str, text: Column, phrase: str) -> DataFr
 
 def highlight(text: Column, terms: list[str], most: int = 240) -> Column:
     """A snippet around the first of the words, which are put in brackets."""
-    pattern = "(?i)(?<![\\p{L}\\p{N}])(" + "|".join(terms) + ")(?![\\p{L}\\p{N}])"
+    pattern = "(?i)(?<![\\p{L}\\p{N}])(" + "|".join(map(re.escape, terms)) + ")(?![\\p{L}\\p{N}])"
     at = F.regexp_instr(text, F.lit(pattern))
     start = F.greatest(at - most // 2, F.lit(1))
     return F.when(at > 0, F.regexp_replace(F.substring(text, start, most), pattern, "[$1]"))

@@ -324,6 +324,13 @@ SQL = {
       FROM pc FULL OUTER JOIN c ON pc.unique_id = c.unique_id AND lower(pc.column_name) = c.n""",
     "entity_overlap": metadata.E + f""", v AS (SELECT DISTINCT unique_id, 'word' AS surface, w AS v FROM (SELECT unique_id, unnest(string_split(lower(coalesce(entity_name, '')), '_')) AS w FROM e) WHERE strlen(w) >= 4 UNION ALL SELECT DISTINCT unique_id, 'tag', t FROM (SELECT unique_id, unnest(tags) AS t FROM e) WHERE t IS NOT NULL)
       SELECT b.unique_id, count(*) AS shared, count(DISTINCT surface) * 10 + count(*) AS score FROM v a JOIN v b USING (surface, v) WHERE a.unique_id = '{metadata.HUB}' AND b.unique_id <> a.unique_id GROUP BY 1""",
+    "ir_metrics": retrieval.SQL["bm25_bulk"].split(" SELECT qid, id AS unique_id")[0] + r""", rel AS (SELECT qid, id, max(grade) AS grade FROM (SELECT entry_id AS qid, lower(regexp_replace(u.unique_id, '^\s+|\s+$', '', 'g')) AS id, u.grade AS grade
+        FROM (SELECT entry_id, unnest(relevant) AS u FROM (SELECT DISTINCT ON (entry_id) entry_id, relevant FROM search_eval_qrels)) WHERE regexp_matches(u.unique_id, '\S')) WHERE grade > 0 GROUP BY 1, 2),
+      rk AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 3) DESC, id) AS rank FROM ranked WHERE rank <= 10),
+      il AS (SELECT qid, sum((pow(2, grade) - 1) / log2(r + 1)) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY grade DESC, id) AS r FROM rel) WHERE r <= 10 GROUP BY 1),
+      mt AS (SELECT rel.qid, count(*) AS n, count(rank) AS found, min(rank) AS first, coalesce(sum(CASE WHEN rank IS NOT NULL THEN (pow(2, grade) - 1) / log2(rank + 1) END), 0) AS dcg FROM rel LEFT JOIN rk ON rk.qid = rel.qid AND rk.id = rel.id GROUP BY 1),
+      pq AS (SELECT round(found::DOUBLE / n, 6) AS recall, round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr, round(dcg / idcg, 6) AS ndcg, found > 0 AS hit FROM mt JOIN il USING (qid))
+      SELECT count(*) AS questions, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, round(avg(CASE WHEN hit THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit_rate FROM pq""",
     "eval_history": _RES + " SELECT run_id, cases, pass_rate FROM g",
     "eval_gate": _RES + ", h AS (SELECT run_id, pass_rate, lag(pass_rate) OVER (ORDER BY happened, run_id) AS previous_rate, row_number() OVER (ORDER BY happened DESC, run_id DESC) AS r FROM g) SELECT run_id, pass_rate, previous_rate, CASE WHEN pass_rate < 0.7 OR previous_rate - pass_rate > 0.02 THEN 'fail' ELSE 'pass' END AS status FROM h WHERE r = 1",
     "eval_compare": _RES + """, o AS (SELECT run_id, row_number() OVER (ORDER BY run_id) AS n FROM g), a AS (SELECT case_id, min(status) AS s FROM r JOIN o USING (run_id) WHERE n = 1 GROUP BY 1), b AS (SELECT case_id, min(status) AS s FROM r JOIN o USING (run_id) WHERE n = 2 GROUP BY 1)

@@ -47,7 +47,7 @@ def bm25_bulk(spark, sf_dir):
     ).distinct()
     once = asked.groupBy("words").agg(F.min("entry").alias("qid"))
     fields = {"name": F.regexp_replace("entity_name", "_", " "), "description": F.col("description")}
-    hits = search.top(search.bm25(e, "unique_id", fields, once.select("qid", F.explode("words").alias("term")), search.FIELD_BOOSTS), 10)
+    hits = search.bulk_top(e, "unique_id", fields, once.select("qid", "words"), 10, search.FIELD_BOOSTS)
     return asked.join(once, "words").join(hits, "qid").select(F.col("entry").alias("qid"), F.col("id").alias("unique_id"), F.round("score", 3).alias("score"))
 
 
@@ -174,13 +174,13 @@ def _toks(text: str, least: int = 2) -> str:
     return f"list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: strlen(t) >= {least})"
 
 
-def _bm25(rows: str, terms: str, boosts: str, most_df: float = 1.0) -> str:
+def _bm25(rows: str, terms: str, boosts: str) -> str:
     """``rows``: field, id, words; ``terms``: qid, term."""
     return f"""r AS (SELECT *, len(words) AS length FROM ({rows}) WHERE len(words) > 0), st AS (SELECT field, count(*) AS n, avg(length) AS mean FROM r GROUP BY 1),
       q AS ({terms}), x AS (SELECT field, id, length, unnest(words) AS term FROM r),
       h AS (SELECT field, term, id, length, count(*) AS tf FROM x WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT field, term, count(*) AS df FROM h GROUP BY ALL),
       s AS (SELECT qid, id, round(sum({boosts} * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score
-        FROM h JOIN df USING (field, term) JOIN st USING (field) JOIN (SELECT DISTINCT qid, term FROM q) USING (term) WHERE df <= {most_df}::DOUBLE * n GROUP BY qid, id),
+        FROM h JOIN df USING (field, term) JOIN st USING (field) JOIN (SELECT DISTINCT qid, term FROM q) USING (term) GROUP BY qid, id),
       ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INTEGER) AS rank FROM s)"""
 
 
@@ -207,7 +207,7 @@ SQL = {
     ) + " SELECT id AS doc_id, round(score, 4) AS score, rank FROM ranked WHERE rank <= 10",
     "bm25_bulk": _E.rstrip() + ", " + _bm25(
         f"SELECT 'name' AS field, unique_id AS id, {_toks('n')} AS words FROM (SELECT unique_id, replace(entity_name, '_', ' ') AS n FROM e WHERE entity_name IS NOT NULL) UNION ALL SELECT 'description', unique_id, {_toks('description')} FROM e WHERE description IS NOT NULL",
-        f"SELECT DISTINCT entry_id AS qid, unnest({_toks('query')}) AS term FROM (SELECT entry_id, replace(query, '_', ' ') AS query FROM search_eval_qrels WHERE query IS NOT NULL)", "CASE field WHEN 'description' THEN 6.0 WHEN 'name' THEN 12.0 END", 0.05,
+        f"SELECT DISTINCT entry_id AS qid, unnest({_toks('query')}) AS term FROM (SELECT entry_id, replace(query, '_', ' ') AS query FROM search_eval_qrels WHERE query IS NOT NULL)", "CASE field WHEN 'description' THEN 6.0 WHEN 'name' THEN 12.0 END",
     ) + " SELECT qid, id AS unique_id, round(score, 3) AS score FROM ranked WHERE rank <= 10",
     "postings_stats": f"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(words) AS term FROM ({_TEXT})) GROUP BY ALL) GROUP BY 1",
     "ngram_search": _E + f"SELECT unique_id, score FROM (SELECT unique_id, round(len(list_intersect({_NGRAMS.format(c='entity_name')}, {_NGRAMS.format(c=chr(39) + 'invoice_summary' + chr(39))}))::DOUBLE / 13, 6) AS score FROM e WHERE entity_name IS NOT NULL) WHERE score >= 0.4",

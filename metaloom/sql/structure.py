@@ -21,6 +21,20 @@ def _split(items: list[str], by: str) -> list[str]:
     return [x for x in [*out, " ".join(part)] if x]
 
 
+def _joined_between(items: list[str]) -> list[str]:
+    """The AND that belongs to a BETWEEN, at its own depth, is no link between filters; it is written ``to`` here."""
+    out, open_, depth = [], [], 0
+    for t in items:
+        depth += (t == "(") - (t == ")")
+        if t == "between":
+            open_.append(depth)
+        elif t == "and" and open_ and open_[-1] == depth:
+            open_.pop()
+            t = "to"
+        out.append(t)
+    return out
+
+
 def signature(sql: str) -> dict[str, list[str]]:
     """Tables, joins, selected expressions, filters as conjuncts, and grouping of the outermost SELECT, in lower case, sorted."""
     items = [t.lower() if k == "word" else t.strip("`\"").lower() if k == "ident" else t for k, t in tokens(sql)]
@@ -56,7 +70,7 @@ def signature(sql: str) -> dict[str, list[str]]:
             tables.append(name)
             expect = False
         i += 1
-    where = _split(parts.get("where", []), "and")
+    where = _split(_joined_between(parts.get("where", [])), "and")
     group = parts.get("group", [])
     return {
         "tables": sorted(tables), "joins": sorted(joins), "select": sorted(_split(parts.get("select", []), ",")), "filters": sorted(where),
