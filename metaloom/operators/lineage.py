@@ -38,6 +38,14 @@ def reach(links: DataFrame, roots: DataFrame, downstream: bool = True, counted:
     while True:
         found = front.join(step, "at").select("root", F.col("next").alias("id"), (F.col("depth") + F.col("cost")).alias("depth")).where(F.col("depth") <= max_depth)
         found = found.groupBy("root", "id").agg(F.min("depth").alias("depth"))
+        if counted is None:
+            # Rounds are levels: what is new now is never improved, so levels are only put together.
+            fresh = cut_lineage(found if best is None else found.join(best.select("root", "id"), ["root", "id"], "left_anti"))
+            if best is not None and not fresh.limit(1).count():
+                return best
+            best = fresh if best is None else best.unionByName(fresh)
+            front = fresh.select("root", F.col("id").alias("at"), "depth")
+            continue
         if best is not None:
             old = best.select("root", "id", F.col("depth").alias("old"))
             found = found.join(old, ["root", "id"], "left").where("old is null or depth < old").drop("old")
@@ -48,10 +56,33 @@ def reach(links: DataFrame, roots: DataFrame, downstream: bool = True, counted:
         front = found.select("root", F.col("id").alias("at"), "depth")
 
 
+def lineage_edges(reached: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, parent, child): the edges between what each root reaches, itself included."""
+    nodes = reached.select("root", "id").unionByName(roots.select("root", F.col("root").alias("id"))).distinct()
+    met = links.join(nodes.select("root", F.col("id").alias("child")), "child")
+    return met.join(nodes.select("root", F.col("id").alias("parent")), ["root", "parent"], "left_semi").select("root", "parent", "child")
+
+
+#: What a dependent of each type weighs in an impact score; 1 for others.
+IMPACT_WEIGHTS = {"exposure": 8, "metric": 5, "model": 3, "snapshot": 2, "test": 1}
+
+
 def impact(reached: DataFrame, entities: DataFrame, columns: DataFrame | None = None) -> DataFrame:
-    """(root, resource_type, entities): what is downstream of each root by type."""
+    """(root, resource_type, entities, score[, columns]): what is downstream of each root by type, weighed by type and nearness.
+
+    A dependent counts its type's weight divided by its depth. With ``columns`` (unique_id,
+    column_name) those of the dependents that bear a name the root declares are counted too.
+    """
     typed = reached.join(entities.select(F.col("unique_id").alias("id"), "resource_type"), "id")
-    return typed.groupBy("root", "resource_type").agg(F.count("*").alias("entities"))
+    weight = F.lit(1)
+    for name, value in IMPACT_WEIGHTS.items():
+        weight = F.when(F.col("resource_type") == name, value).otherwise(weight)
+    score = F.round(F.sum(weight / F.greatest("depth", F.lit(1))), 6).alias("score")
+    if columns is None:
+        return typed.groupBy("root", "resource_type").agg(F.count("*").alias("entities"), score)
+    named = columns.select("unique_id", F.lower("column_name").alias("column_name")).distinct()
+    shared = reached.join(named.withColumnRenamed("unique_id", "root"), "root").join(named.withColumnRenamed("unique_id", "id"), ["id", "column_name"]).groupBy("root", "id").agg(F.count("*").alias("c"))
+    return typed.join(shared, ["root", "id"], "left").groupBy("root", "resource_type").agg(F.count("*").alias("entities"), score, F.coalesce(F.sum("c"), F.lit(0)).alias("columns"))
 
 
 def orphans(entities: DataFrame, links: DataFrame) -> DataFrame:
@@ -78,35 +109,103 @@ def on_cycles(links: DataFrame) -> DataFrame:
     return left
 
 
+#: Each way in which a column continues another: the strategy's weight, its strength, its confidence.
+STRATEGIES = {
+    "exact_match": (1.0, 1.0, "high"), "sql_alias": (0.9, 0.9, "medium"), "source_match": (0.8, 0.8, "medium"), "nested_match": (0.5, 0.6, "low"), "suffix_match": (0.4, 0.6, "low"), "prefix_match": (0.4, 0.6, "low"),
+    "normalized_match": (0.5, 0.55, "low"), "levenshtein_match": (0.6, None, "low"), "proximity_match": (0.3, 0.5, "low"),
+}
+
+
 def column_matches(pairs: DataFrame) -> DataFrame:
     """(…keys, source_column, target_column, match_type, confidence, score): the best way in which a target column continues the source column.
 
     ``pairs`` has source_column, target_column, source_type, target_type and ``alias``, whether the
-    SQL between them renames one to the other. Pairs come from the columns of entities
-    that an edge links, never from all entities. Scores are a strategy's weight times its
-    strength; a match needs compatible types.
+    SQL between them renames one to the other; optionally ``from_source``, whether the source
+    column's entity is a source, and source_place and target_place, the columns' places in their
+    entities. Pairs come from the columns of entities that an edge links, never from all
+    entities. Scores are a strategy's weight times its strength; a match needs compatible types.
+    Strategies: equal names; a rename in SQL; equal names but for a source's prefix of letters and ``_``; a
+    field of a nested name (``a.b`` or ``a__b``); one name ends or begins with the other; equal
+    letters and digits; three quarters alike; the same place, where half of the names' words agree.
     """
     a, b = F.lower("source_column"), F.lower("target_column")
     na, nb = F.regexp_replace(a, r"[^\p{L}\p{N}]", ""), F.regexp_replace(b, r"[^\p{L}\p{N}]", "")
     similar = levenshtein_similarity(a, b)
     long2 = (F.octet_length(a) >= 2) & (F.octet_length(b) >= 2)
-
-    def option(when: Column, weight: float, strength: Column | float, name: str, confidence: str) -> Column:
-        strength = strength if isinstance(strength, Column) else F.lit(strength)
-        return F.when(when, F.struct((F.lit(weight) * strength).alias("score"), F.lit(name).alias("match_type"), F.lit(confidence).alias("confidence")))
-
-    ways = F.array_compact(F.array(
-        option(a == b, 1.0, 1.0, "exact_match", "high"),
-        option(F.col("alias"), 0.9, 0.9, "sql_alias", "medium"),
-        option(long2 & (b.endswith(a) | a.endswith(b)), 0.4, 0.6, "suffix_match", "low"),
-        option(long2 & (b.startswith(a) | a.startswith(b)), 0.4, 0.6, "prefix_match", "low"),
-        option((na != "") & (na == nb), 0.5, 0.55, "normalized_match", "low"),
-        option((F.octet_length(a) >= 3) & (F.octet_length(b) >= 3) & (similar >= 0.75), 0.6, similar, "levenshtein_match", "low"),
-    ))
+    no = F.lit(False)
+    from_source = F.col("from_source") if "from_source" in pairs.columns else no
+    near = F.abs(F.col("source_place") - F.col("target_place")) <= 1 if "source_place" in pairs.columns else no
+    wa, wb = F.split(a, "[_.]+"), F.split(b, "[_.]+")
+    agree = F.size(F.array_intersect(wa, wb)) * 2 >= F.greatest(F.size(wa), F.size(wb))
+    last_a, last_b = F.element_at(F.split(a, r"\.|__"), -1), F.element_at(F.split(b, r"\.|__"), -1)
+    when = {
+        "exact_match": a == b, "sql_alias": F.col("alias"), "source_match": from_source & (F.regexp_replace(a, "^[a-z]+_", "") == b) & (a != b),
+        "nested_match": (a != b) & (last_a == last_b) & (F.octet_length(last_a) >= 3) & (F.instr(F.concat(a, b), ".") + F.instr(F.concat(a, b), "__") > 0),
+        "suffix_match": long2 & (b.endswith(a) | a.endswith(b)), "prefix_match": long2 & (b.startswith(a) | a.startswith(b)), "normalized_match": (na != "") & (na == nb),
+        "levenshtein_match": (F.octet_length(a) >= 3) & (F.octet_length(b) >= 3) & (similar >= 0.75), "proximity_match": near & agree,
+    }
+    options = []
+    for name, (weight, strength, confidence) in STRATEGIES.items():
+        score = F.lit(weight) * (similar if strength is None else F.lit(strength))
+        options.append(F.when(F.coalesce(when[name], no), F.struct(score.alias("score"), F.lit(name).alias("match_type"), F.lit(confidence).alias("confidence"))))
     ok = types_compatible(F.col("source_type"), F.col("target_type"))
-    return pairs.where(ok).withColumn("best", F.array_max(ways)).where("best is not null").select(
-        *[c for c in pairs.columns if c not in ("alias",)], "best.match_type", "best.confidence", F.round("best.score", 6).alias("score")
-    )
+    best = F.array_max(F.array_compact(F.array(*options)))
+    drop = ("alias", "from_source", "source_place", "target_place")
+    return pairs.where(ok).withColumn("best", best).where("best is not null").select(*[c for c in pairs.columns if c not in drop], "best.match_type", "best.confidence", F.round("best.score", 6).alias("score"))
+
+
+def column_pairs(links: DataFrame, columns: DataFrame, aliases: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """The pairs of columns along all edges, for :func:`column_matches`.
+
+    ``columns`` has unique_id, column_name and data_type, optionally place; ``aliases``
+    unique_id, column_name and alias, from the entity's SQL
+    (:func:`~metaloom.sql.structure.alias_pairs`); ``sources`` unique_id of entities that are sources.
+    """
+    more = ["place"] if "place" in columns.columns else []
+    left = columns.select(F.col("unique_id").alias("parent"), F.col("column_name").alias("source_column"), F.col("data_type").alias("source_type"), *[F.col(c).alias("source_place") for c in more])
+    right = columns.select(F.col("unique_id").alias("child"), F.col("column_name").alias("target_column"), F.col("data_type").alias("target_type"), *[F.col(c).alias("target_place") for c in more])
+    pairs = links.join(left, "parent").join(right, "child")
+    if sources is not None:
+        pairs = pairs.join(sources.select(F.col("unique_id").alias("parent"), F.lit(True).alias("s")).distinct(), "parent", "left").withColumn("from_source", F.coalesce("s", F.lit(False))).drop("s")
+    if aliases is None:
+        return pairs.withColumn("alias", F.lit(False))
+    a = aliases.select(F.col("unique_id").alias("child"), F.lower("column_name").alias("x"), F.lower("alias").alias("y"), F.lit(True).alias("hit")).distinct()
+    keyed = pairs.withColumn("x", F.lower("source_column")).withColumn("y", F.lower("target_column")).join(a, ["child", "x", "y"], "left")
+    return keyed.withColumn("alias", F.coalesce("hit", F.lit(False))).drop("x", "y", "hit")
+
+
+#: Confidences in order.
+CONFIDENCE = ("low", "medium", "high")
+
+
+def column_lineage(matches: DataFrame, roots: DataFrame, downstream: bool = True, least: str = "low", max_depth: int = 10) -> DataFrame:
+    """(root, root_column, unique_id, column_name, depth, confidence, score): what each column becomes, hop by hop.
+
+    ``matches`` are those of :func:`column_matches` along all edges, with parent and child; ``roots``
+    has root and root_column. Only matches of at least the confidence are followed. A
+    column is taken at its least depth; its score is the best product of the scores on a way of that depth,
+    its confidence the lowest on that way. Order of results: depth, score, then names.
+    """
+    rank = F.lit(0)
+    for i, name in enumerate(CONFIDENCE):
+        rank = F.when(F.col("confidence") == name, i).otherwise(rank)
+    keep = matches.withColumn("c", rank).where(F.col("c") >= CONFIDENCE.index(least))
+    up, down = ("parent", "source_column"), ("child", "target_column")
+    frm, to = (up, down) if downstream else (down, up)
+    step = cut_lineage(keep.select(F.col(frm[0]).alias("at"), F.lower(frm[1]).alias("at_column"), F.col(to[0]).alias("unique_id"), F.lower(to[1]).alias("column_name"), "c", F.col("score").alias("s")))
+    front = roots.select("root", F.lower("root_column").alias("root_column"), F.col("root").alias("at"), F.lower("root_column").alias("at_column"), F.lit(1.0).alias("score"), F.lit(len(CONFIDENCE) - 1).alias("c0"))
+    best, key = None, ["root", "root_column", "unique_id", "column_name"]
+    for depth in range(1, max_depth + 1):
+        met = front.join(step, ["at", "at_column"]).where(~((F.col("unique_id") == F.col("root")) & (F.col("column_name") == F.col("root_column"))))
+        found = met.groupBy(*key).agg(F.max(F.struct((F.col("score") * F.col("s")).alias("score"), F.least("c0", "c").alias("c"))).alias("x")).select(*key, F.lit(depth).alias("depth"), "x.score", "x.c")
+        found = cut_lineage(found if best is None else found.join(best.select(*key), key, "left_anti"))
+        if not found.limit(1).count():
+            break
+        best = found if best is None else best.unionByName(found)
+        front = found.select("root", "root_column", F.col("unique_id").alias("at"), F.col("column_name").alias("at_column"), "score", F.col("c").alias("c0"))
+    out = best if best is not None else found
+    name = F.element_at(F.array(*[F.lit(x) for x in CONFIDENCE]), F.col("c") + 1)
+    return out.select(*key, "depth", name.alias("confidence"), F.round("score", 6).alias("score"))
 
 
 def column_references(texts: DataFrame, column: str) -> DataFrame:

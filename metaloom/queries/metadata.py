@@ -88,7 +88,7 @@ def lineage_up_all(spark, sf_dir):
 
 def impact_by_type(spark, sf_dir):
     reached = lineage.reach(_edges(spark, sf_dir), _hub(spark), True, None, 3)
-    return lineage.impact(reached, _entities(spark, sf_dir)).select("resource_type", "entities")
+    return lineage.impact(reached, _entities(spark, sf_dir)).select("resource_type", "entities", "score")
 
 
 def dag_orphans(spark, sf_dir):
@@ -122,13 +122,32 @@ def _payload_columns(spark, sf_dir):
     return held.select(F.lower(F.trim("unique_id")).alias("unique_id"), "payload_json").mapInPandas(read, "unique_id string, column_name string, data_type string").distinct()
 
 
-def column_lineage(spark, sf_dir):
+def _column_matches(spark, sf_dir):
+    sources = _entities(spark, sf_dir).where("resource_type = 'source'").select("unique_id")
+    return cut_lineage(lineage.column_matches(lineage.column_pairs(_edges(spark, sf_dir), cut_lineage(_payload_columns(spark, sf_dir)), None, sources)))
+
+
+def column_matches(spark, sf_dir):
     """Column matches along the edges whose both ends declare columns."""
-    c = cut_lineage(_payload_columns(spark, sf_dir))
-    e = _edges(spark, sf_dir)
-    left = c.select(F.col("unique_id").alias("parent"), F.col("column_name").alias("source_column"), F.col("data_type").alias("source_type"))
-    right = c.select(F.col("unique_id").alias("child"), F.col("column_name").alias("target_column"), F.col("data_type").alias("target_type"))
-    return lineage.column_matches(e.join(left, "parent").join(right, "child").withColumn("alias", F.lit(False)))
+    return _column_matches(spark, sf_dir)
+
+
+def column_lineage(spark, sf_dir):
+    """Downstream of every declared column, over all hops."""
+    roots = _payload_columns(spark, sf_dir).select(F.col("unique_id").alias("root"), F.col("column_name").alias("root_column")).distinct()
+    return lineage.column_lineage(_column_matches(spark, sf_dir), roots)
+
+
+def column_lineage_up(spark, sf_dir):
+    """Upstream of every declared column, over all hops."""
+    roots = _payload_columns(spark, sf_dir).select(F.col("unique_id").alias("root"), F.col("column_name").alias("root_column")).distinct()
+    return lineage.column_lineage(_column_matches(spark, sf_dir), roots, False)
+
+
+def lineage_subgraph(spark, sf_dir):
+    """The edges among all that depends on the hub within three levels."""
+    reached = lineage.reach(_edges(spark, sf_dir), _hub(spark), True, None, 3)
+    return lineage.lineage_edges(reached, _edges(spark, sf_dir), _hub(spark)).select("parent", "child")
 
 
 def column_references(spark, sf_dir):
@@ -147,7 +166,7 @@ QUERIES = {
     "diff_tags": diff_tags, "manifest_health": _of_entities(inventory.manifest_health), "text_flags": lambda s, d: inventory.text_flags(table(s, d, "documents")),
     "lineage_edges": _edges, "lineage_down": lineage_down, "lineage_typed": lineage_typed, "lineage_up_all": lineage_up_all, "impact_by_type": impact_by_type,
     "dag_orphans": dag_orphans, "dag_cycles": dag_cycles, "dag_residual_edges": lambda s, d: lineage.on_cycles(_edges(s, d)),
-    "column_lineage": column_lineage, "column_references": column_references,
+    "column_matches": column_matches, "column_lineage": column_lineage, "column_lineage_up": column_lineage_up, "lineage_subgraph": lineage_subgraph, "column_references": column_references,
 }
 
 E = r"""
@@ -177,6 +196,27 @@ PAYLOAD_COLUMNS = """, pj AS (SELECT block_id, unique_id, CAST(payload_json AS J
   px AS (SELECT block_id, unique_id, name, json_extract(p, '$.columns."' || name || '"') AS c FROM (SELECT *, unnest(json_keys(p, '$.columns')) AS name FROM pj WHERE json_type(p, '$.columns') = 'OBJECT')),
   pc AS (SELECT DISTINCT lower(trim(unique_id)) AS unique_id, name AS column_name, c->>'$.data_type' AS data_type FROM px WHERE json_type(c) = 'OBJECT' AND unique_id IS NOT NULL)"""
 
+_MATCHES = G + PAYLOAD_COLUMNS + r""", fam AS (SELECT *, CASE WHEN regexp_matches(lower(data_type), 'date|time|timestamp|interval') THEN 't' WHEN regexp_matches(lower(data_type), 'int|num|dec|float|double|real|money|serial') THEN 'n'
+    WHEN regexp_matches(lower(data_type), 'char|text|string|varchar|clob') THEN 's' END AS family FROM pc),
+  pairs AS (SELECT child, parent, a.column_name AS source_column, a.data_type AS source_type, b.column_name AS target_column, b.data_type AS target_type, lower(a.column_name) AS x, lower(b.column_name) AS y, coalesce(s.resource_type = 'source', FALSE) AS src
+    FROM edge JOIN fam a ON a.unique_id = parent JOIN fam b ON b.unique_id = child LEFT JOIN e s ON s.unique_id = parent WHERE lower(a.data_type) = lower(b.data_type) OR a.family = b.family OR coalesce(a.data_type, '') = '' OR coalesce(b.data_type, '') = ''),
+  scored AS (SELECT *, 1 - levenshtein(x, y)::DOUBLE / greatest(length(x), length(y)) AS sim, regexp_replace(x, '[^a-z0-9]', '', 'g') AS nx, regexp_replace(y, '[^a-z0-9]', '', 'g') AS ny, regexp_split_to_array(x, '\.|__')[-1] AS lx, regexp_split_to_array(y, '\.|__')[-1] AS ly FROM pairs),
+  opts AS (SELECT *, list_filter([
+      CASE WHEN x = y THEN {'score': 1.0::DOUBLE, 'match_type': 'exact_match', 'confidence': 'high'} END,
+      CASE WHEN src AND regexp_replace(x, '^[a-z]+_', '') = y AND x <> y THEN {'score': 0.64::DOUBLE, 'match_type': 'source_match', 'confidence': 'medium'} END,
+      CASE WHEN x <> y AND lx = ly AND strlen(lx) >= 3 AND (contains(x || y, '.') OR contains(x || y, '__')) THEN {'score': 0.3::DOUBLE, 'match_type': 'nested_match', 'confidence': 'low'} END,
+      CASE WHEN strlen(x) >= 2 AND strlen(y) >= 2 AND (ends_with(y, x) OR ends_with(x, y)) THEN {'score': 0.24::DOUBLE, 'match_type': 'suffix_match', 'confidence': 'low'} END,
+      CASE WHEN strlen(x) >= 2 AND strlen(y) >= 2 AND (starts_with(y, x) OR starts_with(x, y)) THEN {'score': 0.24::DOUBLE, 'match_type': 'prefix_match', 'confidence': 'low'} END,
+      CASE WHEN nx <> '' AND nx = ny THEN {'score': 0.275::DOUBLE, 'match_type': 'normalized_match', 'confidence': 'low'} END,
+      CASE WHEN strlen(x) >= 3 AND strlen(y) >= 3 AND sim >= 0.75 THEN {'score': 0.6::DOUBLE * sim, 'match_type': 'levenshtein_match', 'confidence': 'low'} END], lambda o: o IS NOT NULL) AS o FROM scored),
+  mm AS (SELECT child, parent, source_column, source_type, target_column, target_type, b.match_type, b.confidence, round(b.score, 6) AS score FROM (SELECT *, list_sort(o, 'DESC')[1] AS b FROM opts WHERE len(o) > 0))"""
+_CHAIN = """, st AS (SELECT {at} AS at, lower({atc}) AS atc, {to} AS uid, lower({toc}) AS col, CASE confidence WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END AS c, score AS s FROM mm WHERE CASE confidence WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END >= {least}),
+  rt AS (SELECT DISTINCT unique_id AS root, lower(column_name) AS rc FROM pc),
+  lv0 AS (SELECT root, rc, root AS uid, rc AS col, 0 AS depth, 1.0::DOUBLE AS score, 2 AS c FROM rt),
+  way AS (SELECT * FROM lv0 UNION SELECT way.root, way.rc, st.uid, st.col, way.depth + 1, way.score * st.s, least(way.c, st.c) FROM way JOIN st ON st.at = way.uid AND st.atc = way.col WHERE way.depth < 10 AND NOT (st.uid = way.root AND st.col = way.rc)),
+  far AS (SELECT *, min(depth) OVER (PARTITION BY root, rc, uid, col) AS least_depth FROM way WHERE depth > 0),
+  one AS (SELECT root, rc, uid, col, depth, max({{'score': score, 'c': c}}) AS b FROM far WHERE depth = least_depth GROUP BY ALL)
+  SELECT root, rc AS root_column, uid AS unique_id, col AS column_name, CAST(depth AS INTEGER) AS depth, ['low', 'medium', 'high'][b.c + 1] AS confidence, round(b.score, 6) AS score FROM one"""
 _LOOPS = problems._TREE + "SELECT least AS root_id, count(*) AS nodes FROM loop_end WHERE on_loop GROUP BY 1"
 
 SQL = {
@@ -209,17 +249,11 @@ SQL = {
       SELECT child AS id, CAST(min(depth + cost) AS INTEGER) AS depth FROM down JOIN step ON step.parent = down.id WHERE depth + cost <= 2 GROUP BY 1""",
     "lineage_up_all": G + r""", up AS (SELECT unique_id AS root, unique_id AS id, 0 AS depth FROM e UNION SELECT root, edge.parent, depth + 1 FROM up JOIN edge ON edge.child = up.id WHERE depth < 200)
       SELECT root, id, CAST(min(depth) AS INTEGER) AS depth FROM up WHERE depth > 0 GROUP BY root, id""",
-    "impact_by_type": DOWN + " SELECT resource_type, count(*) AS entities FROM d JOIN e ON e.unique_id = d.id GROUP BY 1",
+    "impact_by_type": DOWN + " SELECT resource_type, count(*) AS entities, round(sum(CASE resource_type WHEN 'exposure' THEN 8 WHEN 'metric' THEN 5 WHEN 'model' THEN 3 WHEN 'snapshot' THEN 2 ELSE 1 END::DOUBLE / depth), 6) AS score FROM d JOIN e ON e.unique_id = d.id GROUP BY 1",
+    "lineage_subgraph": DOWN + f", nd AS (SELECT id FROM d UNION SELECT '{HUB}') SELECT parent, child FROM edge WHERE parent IN (SELECT id FROM nd) AND child IN (SELECT id FROM nd)",
     "dag_orphans": G + "SELECT unique_id, resource_type FROM e WHERE unique_id NOT IN (SELECT child FROM edge) AND unique_id NOT IN (SELECT parent FROM edge)",
-    "column_lineage": G + PAYLOAD_COLUMNS + r""", fam AS (SELECT *, CASE WHEN regexp_matches(lower(data_type), 'date|time|timestamp|interval') THEN 't' WHEN regexp_matches(lower(data_type), 'int|num|dec|float|double|real|money|serial') THEN 'n'
-        WHEN regexp_matches(lower(data_type), 'char|text|string|varchar|clob') THEN 's' END AS family FROM pc),
-      pairs AS (SELECT child, parent, a.column_name AS source_column, a.data_type AS source_type, b.column_name AS target_column, b.data_type AS target_type, lower(a.column_name) AS x, lower(b.column_name) AS y
-        FROM edge JOIN fam a ON a.unique_id = parent JOIN fam b ON b.unique_id = child WHERE lower(a.data_type) = lower(b.data_type) OR a.family = b.family),
-      scored AS (SELECT *, 1 - levenshtein(x, y)::DOUBLE / greatest(length(x), length(y)) AS sim, regexp_replace(x, '[^a-z0-9]', '', 'g') AS nx, regexp_replace(y, '[^a-z0-9]', '', 'g') AS ny FROM pairs),
-      best AS (SELECT child, parent, source_column, source_type, target_column, target_type,
-        CASE WHEN x = y THEN 1.0::DOUBLE WHEN nx = ny OR sim >= 0.75 THEN greatest(CASE WHEN sim >= 0.75 AND length(x) >= 3 AND length(y) >= 3 THEN 0.6::DOUBLE * sim ELSE 0 END, CASE WHEN nx = ny THEN 0.275::DOUBLE ELSE 0 END)
-             WHEN ends_with(y, x) OR ends_with(x, y) OR starts_with(y, x) OR starts_with(x, y) THEN 0.24::DOUBLE END AS score,
-        CASE WHEN x = y THEN 'exact_match' WHEN sim >= 0.75 THEN 'levenshtein_match' WHEN nx = ny THEN 'normalized_match' WHEN ends_with(y, x) OR ends_with(x, y) THEN 'suffix_match' WHEN starts_with(y, x) OR starts_with(x, y) THEN 'prefix_match' END AS match_type FROM scored)
-      SELECT child, parent, source_column, source_type, target_column, target_type, match_type, CASE WHEN match_type = 'exact_match' THEN 'high' ELSE 'low' END AS confidence, round(score, 6) AS score FROM best WHERE score IS NOT NULL""",
+    "column_matches": _MATCHES + " SELECT child, parent, source_column, source_type, target_column, target_type, match_type, confidence, score FROM mm",
+    "column_lineage": _MATCHES + _CHAIN.format(at="parent", atc="source_column", to="child", toc="target_column", least=0),
+    "column_lineage_up": _MATCHES + _CHAIN.format(at="child", atc="target_column", to="parent", toc="source_column", least=0),
     "column_references": r"SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '\bstatus_code\b')) AS INTEGER) AS times FROM documents WHERE regexp_matches(lower(text), '\bstatus_code\b')",
 }
