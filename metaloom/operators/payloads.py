@@ -14,15 +14,22 @@ from metaloom.operators.nested import block_of
 
 COLUMN = (
     "column_name string, data_type string, description string, owner boolean, primary_key boolean, role string, semantic_type string, synonyms array<string>, examples array<string>, "
-    "sensitivity boolean, pii boolean, governance boolean, compliance int, constraints int, key_constraints int"
+    "sensitivity boolean, pii boolean, governance boolean, compliance int, constraints int, key_constraints int, type_mismatch boolean, missing_in_catalog boolean, catalog_only boolean"
 )
+METRIC = "name string, expression string, template boolean, canonical boolean, keys array<string>, time_field string, dimensions array<string>, grain boolean, synonyms array<string>"
+MEASURE = "name string, field string, canonical boolean, synonyms array<string>"
 ENTITY = (
     "unique_id string, payload_description string, owner boolean, has_block boolean, role string, canonical_indicator boolean, sensitivity string, pii string, compliance int, synonyms int, domains int, use_cases int, "
     "grain boolean, grain_keys array<string>, time_field string, dimensions array<string>, metric_grains int, measures int, measure_expression boolean, measure_synonyms boolean, metrics int, metric_expression boolean, metric_synonyms boolean, "
-    "measure_names array<string>, measure_fields array<string>, metric_names array<string>, metric_expressions array<string>, metric_time_fields int, canonical_names array<string>"
+    "measure_names array<string>, measure_fields array<string>, metric_names array<string>, metric_expressions array<string>, metric_time_fields int, canonical_names array<string>, "
+    "relation_name string, block_canonical boolean, analyst boolean, governed boolean, measure_refs array<string>"
 )
 
 
+def as_struct(fields: str) -> str:
+    return f"array<struct<{fields.replace(' ', ':').replace(',:', ',')}>>"
+
+
 def record(value) -> dict:
     return value if isinstance(value, dict) else {}
 
@@ -67,10 +74,32 @@ def column_row(name: str, column: dict) -> tuple:
     return (
         plain(name), plain(column.get("data_type")), plain(description) if kind(description) == "text" else None, owned(column), truthy(key), plain(block.get("role")), plain(block.get("semantic_type")),
         texts(block.get("synonyms")), texts(block.get("examples")), kind(governance.get("sensitivity")) == "text", governance.get("pii") is not None, bool(governance), len(listed(governance.get("compliance"))),
-        len(kinds), sum(k in ("not_null", "unique", "foreign_key") for k in kinds),
+        len(kinds), sum(k in ("not_null", "unique", "foreign_key") for k in kinds), *(record(column.get("catalog_drift")).get(k) is True for k in ("type_mismatch", "missing_in_catalog", "catalog_only")),
     )
 
 
+def metric_row(metric: dict) -> tuple:
+    grain = record(metric.get("grain"))
+    return (
+        plain(metric["name"]), plain(metric.get("expression")), metric.get("template") is True, metric.get("canonical") is True, texts(grain.get("primary_key")), plain(grain.get("time_field")), texts(grain.get("dimensions")), bool(grain), texts(metric.get("synonyms"))
+    )
+
+
+def measure_names_of(payload: dict) -> list[str]:
+    """Measures that a semantic metric's own definition refers to, by name."""
+    out = []
+    for key in ("measure", "numerator", "denominator"):
+        held = record(payload.get("type_params")).get(key)
+        name = held.get("name") if isinstance(held, dict) else held
+        if kind(name) == "text":
+            out.append(plain(name))
+    for held in listed(record(payload.get("type_params")).get("input_measures")):
+        name = held.get("name") if isinstance(held, dict) else held
+        if kind(name) == "text":
+            out.append(plain(name))
+    return sorted(set(out))
+
+
 def entity_row(unique_id: str, payload: dict) -> tuple:
     found = block_of(payload)
     block = found or {}
@@ -96,11 +125,14 @@ def entity_row(unique_id: str, payload: dict) -> tuple:
         len(listed_metrics), any("expression" in m for m in metrics), any(listed(m.get("synonyms")) for m in metrics),
         [plain(m["name"]) for m in measures if kind(m.get("name")) == "text"], [plain(m["field"]) for m in measures if kind(m.get("field")) == "text"], [plain(m["name"]) for m in every if kind(m.get("name")) == "text"],
         [plain(m["expression"]) for m in every if kind(m.get("expression")) == "text"], sum(kind(g.get("time_field")) == "text" for g in grains), sorted(set(canonical)),
+        plain(payload.get("relation_name")), block.get("canonical") is True, record(record(block.get("search")).get("candidates")).get("analyst") is not False, block.get("governance") is not None, measure_names_of(payload),
+        [metric_row(m) for m in every if kind(m.get("name")) == "text"],
+        [(plain(m["name"]), plain(m.get("field")), m.get("canonical") is True, texts(m.get("synonyms"))) for m in measures if kind(m.get("name")) == "text"],
     )
 
 
 def payload_facts(blocks: DataFrame) -> DataFrame:
-    """A row for each entity with a readable latest payload: the fields of ENTITY, and its columns as a list of COLUMN records.
+    """A row for each entity with a readable latest payload: the fields of ENTITY, its metrics, measures and columns as lists of records.
 
     The latest payload is the one captured last (then that of the largest block_id). If it is
     no JSON object the entity says nothing. Repeated keys of a record: the last counts.
@@ -118,11 +150,11 @@ def payload_facts(blocks: DataFrame) -> DataFrame:
                 if isinstance(payload, dict):
                     columns = [column_row(n, c) for n, c in record(payload.get("columns")).items() if isinstance(c, dict)]
                     out.append((*entity_row(unique_id, payload), columns))
-            yield pd.DataFrame(out, columns=[*names, "columns"], dtype=object)
+            yield pd.DataFrame(out, columns=[*names, "metric_list", "measure_list", "columns"], dtype=object)
 
     last = blocks.where("payload_json is not null").select(norm_id("unique_id").alias("unique_id"), F.struct("captured_at", "block_id", "payload_json").alias("x")).where("unique_id is not null")
     latest = last.groupBy("unique_id").agg(F.max("x").alias("x")).select("unique_id", "x.payload_json")
-    return latest.mapInPandas(read, f"{ENTITY}, columns array<struct<{COLUMN.replace(' ', ':').replace(',:', ',')}>>")
+    return latest.mapInPandas(read, f"{ENTITY}, metric_list {as_struct(METRIC)}, measure_list {as_struct(MEASURE)}, columns {as_struct(COLUMN)}")
 
 
 def columns_of(facts: DataFrame) -> DataFrame:

@@ -207,8 +207,8 @@ def governance_gate(scores: DataFrame, entities: DataFrame, facts: DataFrame, te
 
 
 def readiness(scores: DataFrame, findings: DataFrame) -> DataFrame:
-    """(package_name, entities, mean_overall, errors, band): a package is blocked by an error, else high from 85, medium from 70, low below."""
-    bad = findings.where("severity = 'error'").groupBy("package_name").agg(F.count("*").alias("errors"))
+    """(package_name, entities, mean_overall, errors, band): a package is blocked by a blocker, else high from 85, medium from 70, low below."""
+    bad = findings.where("severity = 'blocker'").groupBy("package_name").agg(F.count("*").alias("errors"))
     p = scores.groupBy("package_name").agg(F.count("*").alias("entities"), F.round(F.avg("overall"), 4).alias("mean_overall")).join(bad, "package_name", "left")
     e = F.coalesce("errors", F.lit(0))
     return p.select("package_name", "entities", "mean_overall", e.alias("errors"), F.when(e > 0, "blocked").when(F.col("mean_overall") >= 85, "high").when(F.col("mean_overall") >= 70, "medium").otherwise("low").alias("band"))

@@ -87,8 +87,7 @@ def _records(spark, sf_dir):
 
 
 def _findings(spark, sf_dir):
-    e = metadata._entities(spark, sf_dir)
-    return modelling.findings(e, table(spark, sf_dir, "indicator_inventory"), metadata._edges(spark, sf_dir), metadata._coverage(spark, sf_dir), _records(spark, sf_dir))
+    return modelling.findings(metadata._entities(spark, sf_dir), _facts(spark, sf_dir), metadata._edges(spark, sf_dir))
 
 
 def findings(spark, sf_dir):
