@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from metaloom.functions.text import norm_id
+from metaloom.sql import structure
 
 
 def ir_metrics(ranked: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
@@ -108,23 +111,90 @@ def redact(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, SECRETS, "$1***"), ADDRESS, "$1***@")
 
 
-def check(assertion: dict[str, Any], hits: list[dict[str, Any]], error: str | None = None) -> bool:
-    """One eval assertion over a case's ranked results (dicts in order), which are a page and so small.
+def at_path(value: Any, path: str) -> Any:
+    """The part of a record that a dotted path names; numbers are places in lists. None if there is none."""
+    for part in path.split("."):
+        if isinstance(value, list):
+            value = value[int(part)] if part.isdigit() and int(part) < len(value) else None
+        else:
+            value = value.get(part) if isinstance(value, dict) else None
+    return value
 
-    Types: contains, not_contains, rank_at_most, top_is, min_results, max_results, field_equals, field_contains, any_of, all_of,
-    none_of, type_of_top, score_at_least, error_code, no_error.
+
+def rank_of(hits: list[dict[str, Any]], **wanted: Any) -> int | None:
+    """Place from 1 of the first hit that has all the values asked for."""
+    asked = {k: v for k, v in wanted.items() if v is not None}
+    return next((i for i, h in enumerate(hits, 1) if all(h.get(k) == v for k, v in asked.items())), None)
+
+
+def assess(assertion: dict[str, Any], run: Callable[[str, dict[str, Any]], Any]) -> tuple[bool, str]:
+    """(passed, reason) of one eval assertion; ``run(tool, params)`` gives what the tool answers: a page, so small, or an exception.
+
+    The fifteen types: search_rank, search_indicator_rank, search_columns_rank, context_has,
+    context_field_equals, context_contains, metadata_score_min, metadata_score_max,
+    recipe_rank, recipe_has_queries, lineage_contains, tool_success, tool_response_budget,
+    tool_field_equals, sql_structure. Ranks count from 1; without max_rank any place will do. A tool
+    that fails fails its assertion.
     """
-    kind, want = assertion["type"], assertion.get("value")
-    ids = [h.get("unique_id") for h in hits]
-    at = hits[0] if hits else {}
-    if kind == "rank_at_most":
-        return want in ids and ids.index(want) < assertion["rank"]
-    tests = {
-        "contains": lambda: want in ids, "not_contains": lambda: want not in ids, "top_is": lambda: ids[:1] == [want], "min_results": lambda: len(ids) >= want, "max_results": lambda: len(ids) <= want,
-        "field_equals": lambda: at.get(assertion["field"]) == want, "field_contains": lambda: str(want).lower() in str(at.get(assertion["field"], "")).lower(),
-        "any_of": lambda: any(x in ids for x in want), "all_of": lambda: all(x in ids for x in want), "none_of": lambda: not any(x in ids for x in want),
-        "type_of_top": lambda: at.get("resource_type") == want, "score_at_least": lambda: bool(hits) and at.get("score", 0) >= want, "error_code": lambda: error == want, "no_error": lambda: error is None,
-    }
-    if kind not in tests:
-        raise ValueError(f"unknown assertion {kind}")
-    return tests[kind]()
+    kind = assertion["type"]
+    get = assertion.get
+
+    def ranked(tool: str, params: dict[str, Any], **wanted: Any) -> tuple[bool, str]:
+        at = rank_of(run(tool, {k: v for k, v in params.items() if v}), **wanted)
+        most = get("max_rank")
+        return at is not None and (most is None or at <= most), "not found" if at is None else f"rank {at}"
+
+    try:
+        if kind == "search_rank":
+            return ranked("search", {k: get(k) for k in ("query", "resource_types", "persona")}, unique_id=assertion["expected_unique_id"])
+        if kind == "search_indicator_rank":
+            return ranked("search_indicator", {k: get(k) for k in ("query", "resource_types", "indicator_types", "persona")}, indicator_name=assertion["expected"])
+        if kind == "search_columns_rank":
+            return ranked("search_columns", {"query": assertion["query"]}, column_name=get("expected_column"), unique_id=get("expected_parent_unique_id"))
+        if kind == "recipe_rank":
+            return ranked("search_recipes", {"query": assertion["query"]}, recipe_id=assertion["expected_recipe_id"])
+        if kind in ("context_has", "context_field_equals", "context_contains"):
+            found = run("get_context", {"id_or_name": assertion["id_or_name"]})
+            if kind == "context_has":
+                lacks = [f for f in assertion["fields"] if at_path(found, f) is None]
+                return not lacks, "lacks " + ", ".join(lacks) if lacks else "has all"
+            if kind == "context_field_equals":
+                value = at_path(found, assertion["field"])
+                return value == assertion["expected"], f"is {value!r}"
+            held = json.dumps(at_path(found, get("field")) if get("field") else found, default=str).lower()
+            return str(assertion["expected"]).lower() in held, "searched"
+        if kind in ("metadata_score_min", "metadata_score_max"):
+            score = run("get_metadata_score", {k: get(k) for k in ("id_or_name", "persona") if get(k)})["overall"]
+            return score >= assertion["threshold"] if kind.endswith("min") else score <= assertion["threshold"], f"score {score}"
+        if kind == "recipe_has_queries":
+            n = len(run("get_recipe", {"recipe_id": assertion["recipe_id"]})["queries"])
+            return n >= (1 if get("min_queries") is None else get("min_queries")), f"{n} queries"
+        if kind == "lineage_contains":
+            ids = [n["unique_id"] for n in run("get_lineage", {k: get(k) for k in ("id_or_name", "direction", "depth") if get(k) is not None})]
+            return assertion["expected_unique_id"] in ids, f"{len(ids)} nodes"
+        if kind == "sql_structure":
+            off = [part for part, d in structure.diff(assertion["actual_sql"], assertion["expected_sql"]).items() if d["only_first"] or d["only_second"]]
+            return not off, "differs in " + ", ".join(off) if off else "same"
+        if kind in ("tool_success", "tool_response_budget", "tool_field_equals"):
+            found = run(assertion["tool"], get("params") or {})
+            if kind == "tool_success":
+                return True, "answered"
+            if kind == "tool_field_equals":
+                value = at_path(found, assertion["field"])
+                return value == assertion["expected"], f"is {value!r}"
+            size = len(json.dumps(found, default=str).encode())
+            lacks = [p for p in get("must_contain_paths", []) if at_path(found, p) is None] + [p for p in get("must_not_contain_paths", []) if at_path(found, p) is not None]
+            return size <= assertion["max_response_bytes"] and not lacks, f"{size} bytes" + (", wrong: " + ", ".join(lacks) if lacks else "")
+    except Exception as e:  # noqa: BLE001 - whatever a tool raises is its answer
+        return False, f"{type(e).__name__}: {e}"
+    raise ValueError(f"unknown assertion {kind}")
+
+
+def run_suite(cases: list[dict[str, Any]], run: Callable[[str, dict[str, Any]], Any]) -> list[dict[str, Any]]:
+    """A row for each assertion of each case (id, assertions), in order: case_id, place, type, status, reason."""
+    out = []
+    for case in cases:
+        for i, assertion in enumerate(case.get("assertions", [])):
+            ok, why = assess(assertion, run)
+            out.append({"case_id": case["id"], "place": i, "type": assertion["type"], "status": "pass" if ok else "fail", "reason": why})
+    return out

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metaloom.operators import evals, inventory, modelling, nested, payloads, scoring, search
-from metaloom.queries import metadata, retrieval
+from metaloom.operators import context, evals, inventory, modelling, nested, payloads, scoring, search
+from metaloom.queries import metadata, problems, retrieval
 from metaloom.session import cut_lineage, table
 from metaloom.sources import manifest
 from metaloom.streaming import traces as streams
@@ -117,6 +117,30 @@ def entity_overlap(spark, sf_dir):
     return modelling.overlap(e, focus).select("unique_id", "shared", "score")
 
 
+def _pairs(spark, sf_dir):
+    """Each entity with its first parent in id order."""
+    return metadata._edges(spark, sf_dir).groupBy(F.col("child").alias("first_id")).agg(F.min("parent").alias("second_id"))
+
+
+def diff_entities(spark, sf_dir):
+    tests = inventory.attached_tests(table(spark, sf_dir, "tests_by_entity"))
+    held = cut_lineage(context.sections(metadata._entities(spark, sf_dir), _facts(spark, sf_dir), tests))
+    return context.diff_entities(_pairs(spark, sf_dir), held)
+
+
+def entity_context(spark, sf_dir):
+    tests = inventory.attached_tests(table(spark, sf_dir, "tests_by_entity"))
+    return context.contexts(metadata._entities(spark, sf_dir), _facts(spark, sf_dir), metadata._edges(spark, sf_dir), tests, table(spark, sf_dir, "documents")).drop("description")
+
+
+def docs_for_entity(spark, sf_dir):
+    return context.documents_of(table(spark, sf_dir, "documents"), metadata._entities(spark, sf_dir))
+
+
+def entity_detail(spark, sf_dir):
+    return context.detail(metadata._entities(spark, sf_dir), "standard", context.LEVELS).drop("tags")
+
+
 def _inventory(f):
     return lambda spark, sf_dir: f(table(spark, sf_dir, "indicator_inventory"))
 
@@ -189,7 +213,7 @@ def asof_join(spark, sf_dir):
 QUERIES = {
     **{f.__name__: f for f in (
         score_entities, score_governance, score_packages, score_project, score_worst, recommendations, provenance, engineer_summary, analyst_summary, governance_gate, score_columns, column_tests, coverage_gaps, audit_changed, findings, readiness, validate_blocks, multi_grain, compare_grains,
-        entity_overlap, role_conflicts, catalog_drift, ir_metrics, eval_history, eval_gate, eval_compare, eval_retained, asof_join,
+        entity_overlap, diff_entities, entity_context, docs_for_entity, entity_detail, role_conflicts, catalog_drift, ir_metrics, eval_history, eval_gate, eval_compare, eval_retained, asof_join,
     )},
     "duplicate_indicators": _inventory(modelling.duplicate_indicators), "near_duplicate_indicators": _inventory(modelling.near_duplicate_indicators), "label_collisions": _inventory(modelling.label_collisions),
     "trace_summary": _of_traces(evals.trace_summary), "trace_semantic_first": _of_traces(evals.semantic_first), "latency": _of_traces(lambda t: evals.latency(t, "duration")),
@@ -230,6 +254,10 @@ cc AS (SELECT id, count(*) AS n, avg(CASE WHEN dl = 0 THEN 0::DOUBLE WHEN dl < 2
 """
 
 
+_EDGES = r""", pm AS (SELECT unique_id AS c, unnest(parent_ids) AS p FROM parent_map WHERE regexp_matches(unique_id, '\S')),
+  edge AS (SELECT DISTINCT lower(regexp_replace(c, '^\s+|\s+$', '', 'g')) AS child, lower(regexp_replace(p, '^\s+|\s+$', '', 'g')) AS parent FROM pm WHERE regexp_matches(p, '\S'))"""
+
+
 def _tier(n: str, most: int) -> str:
     return f"CAST(round(CASE WHEN coalesce({n}, 0) <= 0 THEN 0::DOUBLE WHEN {n} = 1 THEN 0.4::DOUBLE WHEN {n} = 2 THEN 0.7::DOUBLE ELSE 1::DOUBLE END * {most}) AS INTEGER)"
 
@@ -330,6 +358,22 @@ SQL = {
       mt AS (SELECT rel.qid, count(*) AS n, count(rank) AS found, min(rank) AS first, coalesce(sum(CASE WHEN rank IS NOT NULL THEN (pow(2, grade) - 1) / log2(rank + 1) END), 0) AS dcg FROM rel LEFT JOIN rk ON rk.qid = rel.qid AND rk.id = rel.id GROUP BY 1),
       pq AS (SELECT round(found::DOUBLE / n, 6) AS recall, round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr, round(dcg / idcg, 6) AS ndcg, found > 0 AS hit FROM mt JOIN il USING (qid))
       SELECT count(*) AS questions, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, round(avg(CASE WHEN hit THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit_rate FROM pq""",
+    "docs_for_entity": metadata.E + r"SELECT DISTINCT e.unique_id, doc_id FROM documents d JOIN e ON e.unique_id = lower(regexp_replace(d.unique_id, '^\s+|\s+$', '', 'g')) WHERE doc_id IS NOT NULL",
+    "entity_detail": metadata.E + "SELECT unique_id, entity_name, resource_type, package_name, description, database_name, schema_name, materialization FROM e",
+    "diff_entities": _FACTS + _EDGES + """, pr AS (SELECT child AS first_id, min(parent) AS second_id FROM edge GROUP BY 1),
+      vs AS (SELECT id AS u, 'columns' AS section, name AS v FROM c1 UNION SELECT unique_id, 'tags', unnest(tags) FROM e UNION SELECT id, 'grain', unnest(list_concat(list_concat([('key=' || y) for y in gk], CASE WHEN time_field IS NULL THEN [] ELSE ['time=' || time_field] END), [('dimension=' || y) for y in dims])) FROM f
+        UNION SELECT id, 'indicators', 'measure:' || (e->>'$.name') FROM (SELECT id, unnest(from_json(b->'$.measures', '["JSON"]')) AS e FROM k WHERE json_type(b, '$.measures') = 'ARRAY') WHERE json_type(e) = 'OBJECT' AND json_type(e, '$.name') = 'VARCHAR'
+        UNION SELECT id, 'indicators', 'metric:' || (e->>'$.name') FROM every WHERE json_type(e, '$.name') = 'VARCHAR' UNION SELECT id, 'governance', 'sensitivity=' || sensitivity FROM f WHERE sensitivity IS NOT NULL UNION SELECT id, 'governance', 'pii=' || (@pii) FROM k WHERE (@pii) IS NOT NULL
+        UNION SELECT unique_id, 'tests', test_id FROM tt),
+      ls AS (SELECT u, section, list(DISTINCT v ORDER BY v) AS l FROM vs WHERE v IS NOT NULL GROUP BY 1, 2), sn AS (SELECT unnest(['columns', 'tags', 'grain', 'indicators', 'governance', 'tests']) AS section),
+      dd AS (SELECT first_id, second_id, section, coalesce(a.l, []) AS x, coalesce(b.l, []) AS y FROM pr JOIN e p ON p.unique_id = first_id JOIN e q ON q.unique_id = second_id CROSS JOIN sn LEFT JOIN ls a ON a.u = first_id AND a.section = sn.section LEFT JOIN ls b ON b.u = second_id AND b.section = sn.section)
+      SELECT first_id, second_id, section, array_to_string([t for t in x if NOT list_contains(y, t)], ',') AS only_first, array_to_string([t for t in y if NOT list_contains(x, t)], ',') AS only_second, array_to_string([t for t in x if list_contains(y, t)], ',') AS both FROM dd""".replace("SELECT first_id, second_id, section, coalesce(a.l", "SELECT first_id, second_id, sn.section, coalesce(a.l").replace("@pii", problems._shown("(b->'$.governance.pii')")),
+    "entity_context": _FACTS + _EDGES + r""", dc AS (SELECT DISTINCT lower(regexp_replace(unique_id, '^\s+|\s+$', '', 'g')) AS u, lpad(CAST(doc_id AS VARCHAR), 12, '0') AS v FROM documents WHERE regexp_matches(unique_id, '\S')),
+      up AS (SELECT child AS u, count(*) AS n, array_to_string(list_sort(list(parent))[:5], ',') AS l FROM edge GROUP BY 1), dn AS (SELECT parent AS u, count(*) AS n, array_to_string(list_sort(list(child))[:5], ',') AS l FROM edge GROUP BY 1),
+      ts AS (SELECT unique_id AS u, count(*) AS n, array_to_string(list_sort(list(test_id))[:5], ',') AS l FROM tt GROUP BY 1), ds AS (SELECT u, count(*) AS n, array_to_string(list_sort(list(v))[:5], ',') AS l FROM dc GROUP BY 1), nc AS (SELECT id, count(*) AS n FROM c1 GROUP BY 1)
+      SELECT e.unique_id, resource_type, entity_name, package_name, coalesce(nc.n, 0) AS n_columns, coalesce(measures, 0) AS measures, coalesce(metrics, 0) AS metrics, coalesce(owner, FALSE) AS owner, coalesce(up.n, 0) AS n_upstream, coalesce(up.l, '') AS upstream, coalesce(dn.n, 0) AS n_downstream, coalesce(dn.l, '') AS downstream,
+        coalesce(ts.n, 0) AS n_tests, coalesce(ts.l, '') AS tests, coalesce(ds.n, 0) AS n_documents, coalesce(ds.l, '') AS documents
+      FROM e LEFT JOIN f ON f.id = e.unique_id LEFT JOIN nc ON nc.id = e.unique_id LEFT JOIN up ON up.u = e.unique_id LEFT JOIN dn ON dn.u = e.unique_id LEFT JOIN ts ON ts.u = e.unique_id LEFT JOIN ds ON ds.u = e.unique_id""",
     "eval_history": _RES + " SELECT run_id, cases, pass_rate FROM g",
     "eval_gate": _RES + ", h AS (SELECT run_id, pass_rate, lag(pass_rate) OVER (ORDER BY happened, run_id) AS previous_rate, row_number() OVER (ORDER BY happened DESC, run_id DESC) AS r FROM g) SELECT run_id, pass_rate, previous_rate, CASE WHEN pass_rate < 0.7 OR previous_rate - pass_rate > 0.02 THEN 'fail' ELSE 'pass' END AS status FROM h WHERE r = 1",
     "eval_compare": _RES + """, o AS (SELECT run_id, row_number() OVER (ORDER BY run_id) AS n FROM g), a AS (SELECT case_id, min(status) AS s FROM r JOIN o USING (run_id) WHERE n = 1 GROUP BY 1), b AS (SELECT case_id, min(status) AS s FROM r JOIN o USING (run_id) WHERE n = 2 GROUP BY 1)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,6 +19,8 @@ SECTION_TYPES = {
     "sources": "source", "macros": "macro", "docs": "doc", "groups": "group", "exposures": "exposure", "metrics": "metric",
     "saved_queries": "saved_query", "semantic_models": "semantic_model", "unit_tests": "unit_test",
 }
+#: Layout of the stored tables.
+SCHEMA_VERSION = 1
 ENTITY = (
     "unique_id string, resource_type string, name string, alias string, package_name string, database string, schema string, path string, materialization string, "
     "description string, owner string, tags array<string>, raw_code string, compiled_code string, depends_on array<string>, attached_node string, column_name string, test_name string, "
@@ -117,12 +121,15 @@ def columns(found: DataFrame) -> DataFrame:
 
 
 def dependency_edges(found: DataFrame, manifests: DataFrame | None = None) -> DataFrame:
-    """(child, parent): those of the manifest's own parent_map where it has one, else of depends_on."""
+    """(child, parent): those of a manifest's own parent_map where it has one that isn't empty, else of its entities' depends_on; decided for each manifest on its own."""
     own = found.select(F.col("unique_id").alias("child"), F.explode("depends_on").alias("parent")).distinct()
     if manifests is None:
         return own
-    listed = manifests.select(F.explode(F.from_json(F.get_json_object("content", "$.parent_map"), "map<string, array<string>>")).alias("child", "ps")).select("child", F.explode("ps").alias("parent")).distinct()
-    return listed if listed.limit(1).count() else own
+    ups = F.from_json(F.get_json_object("content", "$.parent_map"), "map<string, array<string>>")
+    told = manifests.select("content", ups.alias("ups"))
+    listed = told.select(F.explode("ups").alias("child", "ps")).select("child", F.explode("ps").alias("parent"))
+    bare = entities(told.where("ups is null or size(ups) = 0").select("content")).select(F.col("unique_id").alias("child"))
+    return listed.unionByName(own.join(bare, "child", "left_semi")).distinct()
 
 
 def attach_tests(found: DataFrame) -> DataFrame:
@@ -175,16 +182,34 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).withColumnRenamed("value", "content")
 
 
-def write_version(tables: dict[str, DataFrame], folder: str, manifests: DataFrame) -> str:
-    """Write tables below ``folder/versions/<hash of the contents>``; a version that is there already is kept. Returns its path."""
+def signature_of(manifests: DataFrame, settings: str = "") -> str:
+    """A name for the contents and the settings they are read with: equal for equal sets of contents, whatever their order or repeats.
+
+    Two hashes of each content are combined bit by bit, so that nothing is gathered.
+    """
+    once = manifests.select(F.xxhash64("content").alias("a"), F.xxhash64(F.lit(1), "content").alias("b")).distinct()
+    a, b, n = once.agg(F.bit_xor("a"), F.bit_xor("b"), F.count("*")).first()
+    return hashlib.sha256(f"{a} {b} {n} {settings}".encode()).hexdigest()[:16]
+
+
+def write_version(tables: dict[str, DataFrame], folder: str, manifests: DataFrame, settings: str = "") -> str:
+    """Write tables below ``folder/versions/<signature>``; a version that is there already is kept. Returns its path.
+
+    The pointer to the current version is added to, never overwritten, so a reader always
+    finds one: the last added.
+    """
     spark = manifests.sparkSession
-    sign = manifests.select(F.sha2("content", 256).alias("h")).groupBy().agg(F.sha2(F.array_join(F.array_sort(F.collect_set("h")), ","), 256)).first()[0]
-    path = f"{folder}/versions/{sign[:16]}"
+    path = f"{folder}/versions/{signature_of(manifests, settings)}"
     for name, df in tables.items():
         df.write.mode("ignore").parquet(f"{path}/{name}")
-    spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").json(f"{folder}/current")
+    pointer = spark.range(1).select(F.lit(path).alias("path"), F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(time.time_ns()).alias("at"))
+    pointer.coalesce(1).write.mode("append").json(f"{folder}/current")
     return path
 
 
 def read_current(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{spark.read.json(f'{folder}/current').first()['path']}/{name}")
+    """A table of the current version; one written by another version of the tables' layout is refused."""
+    path, version = spark.read.schema("path string, schema_version int, at long").json(f"{folder}/current").agg(F.max_by("path", "at"), F.max_by("schema_version", "at")).first()
+    if version != SCHEMA_VERSION:
+        raise ValueError(f"tables of layout {version}, not {SCHEMA_VERSION}; write them again")
+    return spark.read.parquet(f"{path}/{name}")

@@ -23,14 +23,35 @@ def test_ir_metrics_by_hand(spark):
     assert (got[2].recall, got[2].mrr, got[2].ndcg, got[2].hit) == (0.0, 0.0, 0.0, False) and set(got) == {1, 2}
 
 
-def test_assertions():
-    hits = [{"unique_id": "a", "resource_type": "model", "score": 2.0, "d": "Long Text"}, {"unique_id": "b"}]
-    yes = [("contains", "b"), ("not_contains", "z"), ("top_is", "a"), ("min_results", 2), ("max_results", 2), ("any_of", ["z", "a"]), ("all_of", ["a", "b"]), ("none_of", ["z"]), ("type_of_top", "model"), ("score_at_least", 2.0), ("no_error", None)]
-    assert all(evals.check({"type": t, "value": v}, hits) for t, v in yes)
-    assert evals.check({"type": "rank_at_most", "value": "b", "rank": 2}, hits) and not evals.check({"type": "rank_at_most", "value": "b", "rank": 1}, hits)
-    assert evals.check({"type": "field_contains", "field": "d", "value": "long"}, hits) and evals.check({"type": "field_equals", "field": "d", "value": "Long Text"}, hits) and evals.check({"type": "error_code", "value": "E"}, [], "E")
+def test_every_assertion_type():
+    answers = {
+        "search": [{"unique_id": "a"}, {"unique_id": "b"}], "search_indicator": [{"indicator_name": "rate"}], "search_columns": [{"unique_id": "a", "column_name": "x"}, {"unique_id": "b", "column_name": "x"}], "search_recipes": [{"recipe_id": "r"}],
+        "get_context": {"entity": {"name": "Orders", "tags": ["t1"]}, "docs": None}, "get_metadata_score": {"overall": 61}, "get_recipe": {"queries": ["q1", "q2"]}, "get_lineage": [{"unique_id": "up"}], "ping": {"ok": True, "list": [1, {"a": 2}]},
+    }
+
+    def run(tool, params):
+        if tool == "broken":
+            raise RuntimeError("down")
+        return answers[tool]
+
+    yes = [
+        {"type": "search_rank", "query": "q", "expected_unique_id": "b", "max_rank": 2}, {"type": "search_indicator_rank", "query": "q", "expected": "rate"}, {"type": "search_columns_rank", "query": "q", "expected_column": "x", "expected_parent_unique_id": "b", "max_rank": 2},
+        {"type": "context_has", "id_or_name": "a", "fields": ["entity.name", "entity.tags.0"]}, {"type": "context_field_equals", "id_or_name": "a", "field": "entity.name", "expected": "Orders"}, {"type": "context_contains", "id_or_name": "a", "expected": "orders"},
+        {"type": "metadata_score_min", "threshold": 61}, {"type": "metadata_score_max", "threshold": 61}, {"type": "recipe_rank", "query": "q", "expected_recipe_id": "r", "max_rank": 1}, {"type": "recipe_has_queries", "recipe_id": "r", "min_queries": 2},
+        {"type": "lineage_contains", "id_or_name": "a", "direction": "upstream", "expected_unique_id": "up"}, {"type": "tool_success", "tool": "ping"}, {"type": "tool_response_budget", "tool": "ping", "max_response_bytes": 99, "must_contain_paths": ["list.1.a"], "must_not_contain_paths": ["error"]},
+        {"type": "tool_field_equals", "tool": "ping", "field": "list.1.a", "expected": 2}, {"type": "sql_structure", "actual_sql": "select a from t where x between 1 and 2 and y = 3", "expected_sql": "SELECT a FROM t WHERE y = 3 AND x BETWEEN 1 AND 2"},
+    ]
+    no = [
+        {"type": "search_rank", "query": "q", "expected_unique_id": "b", "max_rank": 1}, {"type": "search_rank", "query": "q", "expected_unique_id": "z"}, {"type": "search_columns_rank", "query": "q", "expected_column": "x", "expected_parent_unique_id": "c"},
+        {"type": "context_has", "id_or_name": "a", "fields": ["docs"]}, {"type": "metadata_score_min", "threshold": 62}, {"type": "recipe_has_queries", "recipe_id": "r", "min_queries": 3}, {"type": "tool_success", "tool": "broken"}, {"type": "tool_response_budget", "tool": "ping", "max_response_bytes": 5},
+        {"type": "tool_response_budget", "tool": "ping", "max_response_bytes": 99, "must_contain_paths": ["none"]}, {"type": "sql_structure", "actual_sql": "select a from t", "expected_sql": "select a from u"},
+    ]
+    assert len({a["type"] for a in yes}) == 15
+    got = evals.run_suite([{"id": "y", "assertions": yes}, {"id": "n", "assertions": no}, {"id": "empty"}], run)
+    assert [r["status"] for r in got] == ["pass"] * 15 + ["fail"] * len(no) and [r["place"] for r in got][:3] == [0, 1, 2]
+    assert next(r for r in got if r["type"] == "tool_success" and r["case_id"] == "n")["reason"] == "RuntimeError: down"
     with pytest.raises(ValueError):
-        evals.check({"type": "?"}, hits)
+        evals.assess({"type": "?"}, run)
 
 
 def test_redaction(spark):
