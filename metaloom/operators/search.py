@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from metaloom.functions.scores import levenshtein_similarity, tokens
+from metaloom.operators.inventory import layer as layer_of_name
 from metaloom.session import cut_lineage
 
 #: Weights of an entity's fields.
@@ -342,6 +343,97 @@ def rescore(hits: DataFrame, persona: str) -> DataFrame:
     return hits.withColumn("final_score", F.round(s, 6))
 
 
+def hybrid(entities: DataFrame, facts: DataFrame, queries: DataFrame, vectors: tuple[DataFrame, DataFrame] | None = None, persona: str = "default", resource_types: list[str] | None = None, depth: int = 50, k: int = 10) -> DataFrame:
+    """(qid, id, score, rank): one ranking of entities for each question, from all retrievers, re-scored by what their blocks say.
+
+    ``queries`` has qid and query, ``entities`` unique_id, resource_type, entity_name and
+    description, ``facts`` as by :func:`~metaloom.operators.payloads.payload_facts`. Each retriever ranks its ``depth``
+    best: words (BM25 over name, description, indicators and columns), n-grams of names, words
+    within slips of the question's, indicators (names and synonyms of measures and
+    metrics, by their entity), and, if ``vectors`` (entities' id and v, questions' qid and v) are given, dense vectors. Ranks are fused with the persona's weights, entities of other
+    types than ``resource_types`` are left out before ranking, and :func:`rescore` applies its
+    factors to the fused hits. Equal questions, in any case, are ranked once. Null and blank questions have no
+    hits; a missing fact counts as absent.
+    """
+    found = entities if not resource_types else entities.where(F.lower("resource_type").isin([t.lower() for t in resource_types]))
+    none = F.array().cast("array<string>")
+    texts = found.join(facts.drop("role"), "unique_id", "left").select(
+        "unique_id", "resource_type", "entity_name", layer_of_name(F.col("entity_name")).alias("layer"), F.coalesce("has_block", F.lit(False)).alias("has_block"), F.coalesce("canonical_indicator", F.lit(False)).alias("canonical"), F.regexp_replace("entity_name", "[_.]", " ").alias("name"), "description",
+        F.coalesce("measure_names", none).alias("measure_names"), F.coalesce("metric_names", none).alias("metric_names"),
+        F.array_join(F.concat(F.coalesce("measure_names", none), F.coalesce("metric_names", none)), " ").alias("indicators"), F.array_join(F.coalesce(F.transform("columns", lambda c: F.regexp_replace(c["column_name"], "_", " ")), none), " ").alias("columns"),
+        F.flatten(F.concat(F.coalesce(F.transform("measure_list", lambda m: m["synonyms"]), F.array().cast("array<array<string>>")), F.coalesce(F.transform("metric_list", lambda m: m["synonyms"]), F.array().cast("array<array<string>>")))).alias("synonyms"),
+    )
+    texts = cut_lineage(texts)
+    asked = queries.where("trim(query) <> ''").select("qid", F.array_sort(F.array_distinct(tokens(F.regexp_replace("query", "_", " ")))).alias("words"), F.lower(F.trim("query")).alias("query")).where("size(words) > 0")
+    once = cut_lineage(asked.groupBy("query").agg(F.min("qid").alias("q"), F.first("words").alias("words")))
+    words = once.select(F.col("q").alias("qid"), "words")
+    fields = {"name": F.col("name"), "description": F.col("description"), "metric": F.col("indicators"), "column": F.col("columns"), "synonyms": F.array_join("synonyms", " ")}
+    rankings = {"bm25": bulk_top(texts, "unique_id", fields, words, depth, FIELD_BOOSTS)}
+    # Names without separators, so that a run of three is a word of letters and digits.
+    plain = F.regexp_replace(F.lower("entity_name"), "[^a-z0-9]", "")
+    asked_runs = once.select(F.col("q").alias("qid"), ngrams(F.regexp_replace("query", "[^a-z0-9]", "")).alias("words"))
+    rankings["ngram"] = bulk_top(texts, "unique_id", {"ngram": F.array_join(ngrams(plain), " ")}, asked_runs, depth)
+    vocabulary = texts.select(F.explode(tokens(F.concat_ws(" ", "name", "indicators"))).alias("term")).distinct()
+    slips = fuzzy_terms(vocabulary, words.select("qid", F.explode("words").alias("term"))).where("distance > 0").groupBy("qid").agg(F.collect_set("match").alias("words"))
+    rankings["fuzzy"] = bulk_top(texts, "unique_id", {"name": F.col("name"), "metric": F.col("indicators")}, slips, depth, FIELD_BOOSTS)
+    rankings["indicator"] = bulk_top(texts, "unique_id", {"metric": F.col("indicators"), "synonyms": F.array_join("synonyms", " ")}, words, depth, FIELD_BOOSTS)
+    if vectors is not None:
+        rankings["vector"] = bulk_nearest(vectors[0].join(texts.select(F.col("unique_id").alias("id")), "id", "left_semi"), vectors[1].join(words.select("qid"), "qid", "left_semi"), depth)
+    fused = fuse(rankings, persona)
+    q = once.select(F.col("q").alias("qid"), "words", "query")
+    hits = fused.join(texts, fused["id"] == texts["unique_id"]).join(q, "qid")
+
+    def matches(labels: Column) -> Column:
+        """Whether the question has all words of one of the labels."""
+        return F.exists(labels, lambda x: (F.size(tokens(F.regexp_replace(x, "_", " "))) > 0) & (F.size(F.array_except(tokens(F.regexp_replace(x, "_", " ")), F.col("words"))) == 0))
+
+    hits = hits.select("qid", "id", "score", "resource_type", "layer", "has_block", (F.lower("entity_name") == F.col("query")).alias("exact"), "canonical", matches(F.col("measure_names")).alias("measure_match"), matches(F.col("metric_names")).alias("metric_match"), matches(F.col("synonyms")).alias("synonym_match"))
+    best = top(rescore(hits, persona).select("qid", "id", F.col("final_score").alias("score")), k)
+    again = asked.join(once.select("query", "q"), "query").select("qid", "q")
+    return again.join(best.withColumnRenamed("qid", "q"), "q").select("qid", "id", "score", "rank")
+
+
+def bulk_nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = BULK_QUERIES) -> DataFrame:
+    """(qid, id, score, rank): the k vectors (id, v) most similar by cosine to each query's (qid, v), exactly; queries in blocks against all vectors.
+
+    Vectors that are null, of another length than the first query's, not finite or all zero are ignored.
+    """
+    spark = vectors.sparkSession
+    blocks = max(1, -(-queries.count() // block))
+    out = None
+    for b in range(blocks):
+        own = [r for r in queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).collect() if r["v"]]
+        dim = len(own[0]["v"]) if own else 0
+        own = [r for r in own if len(r["v"]) == dim]
+        q = np.array([r["v"] for r in own], np.float64).reshape(-1, max(dim, 1))
+        length = np.linalg.norm(q, axis=1, keepdims=True) if len(q) else q
+        fine = (np.isfinite(q).all(axis=1) & (length[:, 0] > 0)) if len(q) else np.zeros(0, bool)
+        shared = spark.sparkContext.broadcast((q[fine] / length[fine] if len(q) else q, [r["qid"] for r, ok in zip(own, fine, strict=True) if ok], dim))
+
+        def rank(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            q, qids, dim = shared.value
+            best = TopK(len(qids), k)
+            for batch in batches:
+                for lo in range(0, len(batch), BULK_DOCS):
+                    part = batch.iloc[lo : lo + BULK_DOCS]
+                    ok = [v is not None and len(v) == dim for v in part["v"]]
+                    x = np.array([v for v, good in zip(part["v"], ok, strict=True) if good], np.float64).reshape(-1, max(dim, 1))
+                    ids = part["id"].to_numpy(str)[ok]
+                    size = np.linalg.norm(x, axis=1)
+                    good = np.isfinite(size) & (size > 0)
+                    if not len(qids) or not good.any():
+                        continue
+                    sim = np.round(q @ (x[good] / size[good][:, None]).T, 9)
+                    i, j = np.nonzero(sim >= best.score[:, -1][:, None])
+                    best.add(i, ids[good][j], sim[i, j])
+            i, j = np.nonzero(np.isfinite(best.score))
+            yield pd.DataFrame({"qid": np.asarray(qids, object)[i], "id": best.id[i, j].astype(object), "score": best.score[i, j]})
+
+        part = vectors.select(F.col("id").cast("string").alias("id"), "v").mapInPandas(rank, f"qid {queries.schema['qid'].dataType.simpleString()}, id string, score double")
+        out = part if out is None else out.unionByName(part)
+    return top(out, k)
+
+
 def near_ties(ranked: DataFrame, gap: float = 0.08) -> DataFrame:
     """Whether the next result scores within ``gap`` of each."""
     w = W.partitionBy("qid").orderBy("rank")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from metaloom.functions.registered import register
 from metaloom.session import table
 from metaloom.sql.guard import execute
 from metaloom.sql.recipes import Parameter, render
@@ -129,10 +131,39 @@ def _run(sql: str, params: dict | None = None):
     return query
 
 
+#: SQL with registered functions, and DuckDB's own words for it.
+FUNCTIONS = {
+    "udf_sql": ("SELECT c_custkey, description_points(c_name, 30) AS points, score_grade(CAST(c_acctbal / 100 AS INT)) AS grade, round(text_similarity(c_name, c_mktsegment), 6) AS similar FROM customer",
+                "SELECT c_custkey, CAST(round(30 * CASE WHEN strlen(trim(c_name)) < 20 THEN 0.2 WHEN strlen(trim(c_name)) < 50 THEN 0.5 ELSE 0.8 END) AS INTEGER) AS points, CASE WHEN trunc(c_acctbal / 100) >= 90 THEN 'A' WHEN trunc(c_acctbal / 100) >= 80 THEN 'B' WHEN trunc(c_acctbal / 100) >= 70 THEN 'C' WHEN trunc(c_acctbal / 100) >= 60 THEN 'D' ELSE 'F' END AS grade, round(1 - levenshtein(c_name, c_mktsegment) / greatest(length(c_name), length(c_mktsegment))::DOUBLE, 6) AS similar FROM customer"),
+    "udf_arrow": ("SELECT p_partkey, initials(p_name) AS initials FROM part", "SELECT p_partkey, array_to_string([w[1] for w in list_filter(regexp_split_to_array(lower(translate(p_name, '_#', '  ')), '\\s+'), lambda w: w <> '')], '') AS initials FROM part"),
+    "udaf_arrow": ("SELECT l_returnflag, round(geometric_mean(l_extendedprice), 2) AS mean_price FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, round(exp(avg(ln(l_extendedprice))), 2) AS mean_price FROM lineitem WHERE l_extendedprice > 0 GROUP BY 1"),
+    "udtf_words": ("SELECT r_name, w.place, w.word FROM region, LATERAL split_words(r_name) w", "SELECT r_name, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS place, unnest(l) AS word FROM (SELECT r_name, list_filter(regexp_split_to_array(r_name, '\\s+'), lambda w: w <> '') AS l FROM region)"),
+    "sql_approximate": ("SELECT abs(approx_count_distinct(l_partkey, 0.02) - count(DISTINCT l_partkey)) <= 0.08 * count(DISTINCT l_partkey) AS near_count, abs(approx_percentile(l_extendedprice, 0.5D, 10000) - percentile(l_extendedprice, 0.5D)) <= 0.02 * percentile(l_extendedprice, 0.5D) AS near_median FROM lineitem", "SELECT TRUE AS near_count, TRUE AS near_median"),
+}
+
+
+def _with_functions(sql: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        views(spark, sf_dir)
+        register(spark)
+        return spark.sql(sql)
+
+    return query
+
+
+def sql_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What EXPLAIN through the guard says of a filtered scan: that the filter and the two columns reach the files."""
+    views(spark, sf_dir)
+    plan = execute(spark, "EXPLAIN FORMATTED SELECT l_orderkey FROM lineitem WHERE l_quantity < 5")
+    return plan.select(F.contains("plan", F.lit("PushedFilters: [IsNotNull(l_quantity), LessThan(l_quantity,5.0)]")).alias("filter_pushed"), F.contains("plan", F.lit("ReadSchema: struct<l_orderkey:bigint,l_quantity:double>")).alias("columns_pruned"))
+
+
 QUERIES = {
+    **{name: _with_functions(sql) for name, (sql, _) in FUNCTIONS.items()},
+    "sql_explain": sql_explain,
     **{name: _run(sql) for name, sql in COMMON.items()},
     **{name: _run(sql) for name, (sql, _) in DIALECTS.items()},
     "sql_parameters": _run(PARAMETERS[0], PARAMETERS[1]),
     "recipe_run": _run(render(*RECIPE)),
 }
-SQL = {**COMMON, **{name: sql for name, (_, sql) in DIALECTS.items()}, "sql_parameters": PARAMETERS[2], "recipe_run": render(*RECIPE)}
+SQL = {**{name: sql for name, (_, sql) in FUNCTIONS.items()}, "sql_explain": "SELECT TRUE AS filter_pushed, TRUE AS columns_pruned", **COMMON, **{name: sql for name, (_, sql) in DIALECTS.items()}, "sql_parameters": PARAMETERS[2], "recipe_run": render(*RECIPE)}

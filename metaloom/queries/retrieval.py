@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metaloom.functions.scores import tokens
-from metaloom.operators import inventory, search
+from metaloom.operators import inventory, payloads, search
 from metaloom.queries import metadata
-from metaloom.session import table
+from metaloom.session import cut_lineage, table
 
 TERMS = ["snapshots", "weekly", "reports", "owners"]
 
@@ -51,6 +51,24 @@ def bm25_bulk(spark, sf_dir):
     return asked.join(once, "words").join(hits, "qid").select(F.col("entry").alias("qid"), F.col("id").alias("unique_id"), F.round("score", 3).alias("score"))
 
 
+def hybrid_search(spark, sf_dir):
+    """Every graded question by all retrievers at once, for the analyst: each question's ten best."""
+    facts = cut_lineage(payloads.payload_facts(table(spark, sf_dir, "nova_blocks")))
+    e = inventory.current(table(spark, sf_dir, "entities"))
+    asked = table(spark, sf_dir, "search_eval_qrels").where("query is not null").groupBy(F.col("entry_id").alias("qid")).agg(F.min("query").alias("query"))
+    return search.hybrid(e, facts, asked, None, "analyst").select("qid", F.col("id").alias("unique_id"), F.round("score", 4).alias("score"), "rank")
+
+
+def hybrid_typed(spark, sf_dir):
+    """The same for the engineer among models and sources only, with the first vector of each entity and, as a question's vector, that of its first relevant entity."""
+    facts = cut_lineage(payloads.payload_facts(table(spark, sf_dir, "nova_blocks")))
+    e = inventory.current(table(spark, sf_dir, "entities"))
+    rows = table(spark, sf_dir, "search_eval_qrels").where("query is not null").groupBy(F.col("entry_id").alias("qid")).agg(F.min("query").alias("query"), F.min(F.lower(F.trim(F.try_element_at("relevant", F.lit(1))["unique_id"]))).alias("id"))
+    v = table(spark, sf_dir, "cached_embeddings").where("entity_id is not null and size(dense_embedding) = 64").groupBy(F.lower(F.trim("entity_id")).alias("id")).agg(F.min_by("dense_embedding", "vec_id").alias("v"))
+    found = search.hybrid(e, facts, rows.select("qid", "query"), (v, rows.join(v, "id").select("qid", "v")), "engineer", ["model", "source"])
+    return found.select("qid", F.col("id").alias("unique_id"), F.round("score", 4).alias("score"), "rank")
+
+
 def postings_stats(spark, sf_dir):
     p = search.postings(_docs(spark, sf_dir), "doc_id", {"description": F.col("text")})
     return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
@@ -165,7 +183,7 @@ def column_inventory(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    bm25_topk, bm25_boosted, bm25_bulk, postings_stats, ngram_search, fuzzy_terms, phrase_match, boolean_search, highlights, suggestions, rrf_fusion, rrf_engineer, rescored,
+    bm25_topk, bm25_boosted, bm25_bulk, hybrid_search, hybrid_typed, postings_stats, ngram_search, fuzzy_terms, phrase_match, boolean_search, highlights, suggestions, rrf_fusion, rrf_engineer, rescored,
     dense_topk, lsh_candidates, quantised_dot, sparse_dot, indicator_search, indicator_parents, indicator_inventory, column_search, column_inventory,
 )}
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from metaloom.operators.payloads import payload_facts
+from metaloom.operators import search
+import numpy as np
+import random
 import math
 import re
 
@@ -113,3 +117,59 @@ def test_bulk_ranking_keeps_words_that_most_entities_hold(spark, tmp_path):
         got.setdefault(r.qid, {})[r.unique_id] = r.score
     assert {q: len(hits) for q, hits in got.items()} == {1: 10, 2: 10}
     assert max(got[2], key=got[2].get) == "model.p.e07" and min(got[2].values()) > 0
+
+
+def test_bulk_ranking_equals_single_ranking(spark):
+    rnd = random.Random(5)
+    words = ["order", "refund", "daily", "the", "stock", "zz9"]
+    docs = [(f"d{i:03d}", " ".join(rnd.choices(words, [5, 2, 1, 20, 1, 0], k=rnd.randrange(0, 9))) or None, rnd.choice([None, "order the", "refund"]), "clash") for i in range(300)]
+    d = spark.createDataFrame(docs, "id2 string, body string, name string, score string")
+    fields = {"description": F.col("body"), "name": F.col("name")}
+    asked = [(1, ["the"]), (2, ["order", "refund"]), (3, ["zz9"]), (4, words), (5, [])]
+    q = spark.createDataFrame(asked, "qid int, words array<string>")
+    one = search.top(search.bm25(d, "id2", fields, q.select("qid", F.explode("words").alias("term")), {"name": 2.0}), 7)
+    want = sorted((r.qid, r.id, r.score, r["rank"]) for r in one.collect())
+    for block in (20_000, 2):
+        got = sorted((r.qid, r.id, round(r.score, 6), r["rank"]) for r in search.bulk_top(d, "id2", fields, q, 7, {"name": 2.0}, block).collect())
+        assert [g[:2] + g[3:] for g in got] == [w[:2] + w[3:] for w in want] and all(abs(a[2] - b[2]) < 2e-6 for a, b in zip(got, want, strict=True))
+    assert search.bulk_top(d.limit(0), "id2", fields, q, 7).count() == 0 and search.bulk_top(d, "id2", fields, q.limit(0), 7).count() == 0
+
+
+def test_bulk_nearest_against_brute_force(spark):
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((200, 8))
+    rows = [(f"v{i:03d}", v.tolist()) for i, v in enumerate(x)] + [("null", None), ("short", [1.0]), ("zero", [0.0] * 8), ("nan", [float("nan")] * 8), ("copy", x[0].tolist())]
+    v = spark.createDataFrame(rows, "id string, v array<double>")
+    q = spark.createDataFrame([(i, x[i].tolist()) for i in range(9)], "qid int, v array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for block in (100, 4):
+        got = {}
+        for r in search.bulk_nearest(v, q, 4, block).orderBy("qid", "rank").collect():
+            got.setdefault(r.qid, []).append(r.id)
+        assert got[0][:2] == ["copy", "v000"]
+        for i in range(1, 9):
+            near = [f"v{j:03d}" if j else "v000" for j in np.argsort(-np.round(u @ u[i], 9), kind="stable")]
+            assert [n for n in got[i] if n not in ("copy", "v000")] == [n for n in near if n != "v000"][: len([n for n in got[i] if n not in ("copy", "v000")])]
+
+
+@pytest.mark.parametrize(("a", "b", "ok"), [("abcd", "abdc", True), ("abcd", "adcb", False), ("abcd", "bacd", True), ("abcdefg", "abcdegf", True), ("abc", "acb", False), ("w" * 70 + "x", "w" * 70 + "y", True), ("q" * 30 + "abc" + "r" * 40, "q" * 30 + "abd" + "r" * 39, True)])
+def test_slips(spark, a, b, ok):
+    v, q = spark.createDataFrame([(b,), ("other",)], "term string"), spark.createDataFrame([(1, a)], "qid int, term string")
+    assert [r.match for r in search.fuzzy_terms(v, q).collect()] == ([b] if ok else [])
+
+
+def test_hybrid(spark):
+    blocks = [(1, "m.orders", None, '{"meta": {"nova": {"canonical": true, "metrics": [{"name": "refund rate", "canonical": true, "synonyms": ["money back share"]}]}}, "columns": {"customer_id": {}}}'), (2, "m.bad", None, "{")]
+    facts = payload_facts(spark.createDataFrame(blocks, "block_id long, unique_id string, captured_at timestamp_ntz, payload_json string"))
+    rows = [("m.orders", "model", "mart_orders", "All orders"), ("m.stock", "model", "stg_stock", "Stock levels"), ("s.stock", "source", "raw_stock", None), ("m.bad", "model", None, None)]
+    e = spark.createDataFrame(rows, "unique_id string, resource_type string, entity_name string, description string")
+    q = spark.createDataFrame([(1, "refund rate"), (2, "stokc"), (3, None), (4, " "), (5, "Refund Rate"), (6, "customer id"), (7, "money back share")], "qid int, query string")
+    v = (spark.createDataFrame([("s.stock", [1.0, 0.0]), ("m.orders", [0.0, 1.0])], "id string, v array<double>"), spark.createDataFrame([(6, [1.0, 0.1])], "qid int, v array<double>"))
+    for persona in ("default", "analyst", "engineer", "governance"):
+        got = {}
+        for r in search.hybrid(e, facts, q, v, persona).orderBy("qid", "rank").collect():
+            got.setdefault(r.qid, []).append((r.id, r.score))
+        assert set(got) == {1, 2, 5, 6, 7} and got[1] == got[5] and got[1][0][0] == "m.orders" and got[1][0][1] > 2.5 and got[7][0][0] == "m.orders"
+        assert {i for i, _ in got[2]} == {"m.stock", "s.stock"} and {i for i, _ in got[6]} >= {"m.orders", "s.stock"}
+    assert {r.id for r in search.hybrid(e, facts, q, None, "analyst", ["SOURCE"]).collect()} == {"s.stock"}
+    assert search.hybrid(e.limit(0), facts, q).count() == 0 and search.hybrid(e, facts.limit(0), q.limit(0)).count() == 0
