@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -160,6 +161,7 @@ class Matcher:
         plain = {w for n in self.exact if n not in self.acronyms for w in n.split()}
         self.vocabulary = plain | self.acronyms
         self.plain = plain - CONNECTORS
+        self.patterns = {w[:i] + "*" + w[i + 1 :] for w in self.plain for i in range(len(w))}
         self.by_deletion: dict[str, list[str]] = {}
         self.by_letter: dict[str, list[str]] = {}
         for w in sorted(self.plain):
@@ -180,7 +182,7 @@ class Matcher:
 
     def swapped_letter(self, t: str) -> list[str]:
         """Canonical words that one other letter makes the word, if no other slip explains it."""
-        if t in self.vocabulary or t in self.fillers or len(t) < 3 or self.joined(t):
+        if len(t) < 3 or t in self.vocabulary or t in self.fillers or not any(t[:i] + "*" + t[i + 1 :] in self.patterns for i in range(len(t))) or self.joined(t):
             return []
         near = self.readings(t, trust=False)
         ok = all(cost == SLIP and len(w) == len(t) and sum(a != b for a, b in zip(w, t, strict=True)) == 1 for w, cost in near)
@@ -397,6 +399,17 @@ class Matcher:
         return best
 
 
+_matchers: dict[str, Matcher] = {}
+
+
+def matcher_of(key: str, *parts) -> Matcher:
+    """The matcher of a list, made once in each worker process; only the last one used is kept."""
+    if key not in _matchers:
+        _matchers.clear()
+        _matchers[key] = Matcher(*parts)
+    return _matchers[key]
+
+
 def canonical_names(inventory: DataFrame) -> DataFrame:
     """(indicator_id, name): every name and synonym that is neither null nor blank."""
     both = F.array_append(F.coalesce("synonyms", F.array().cast("array<string>")), F.col("indicator_name"))
@@ -446,8 +459,8 @@ def map_to_canonical(entries: dict[str, tuple[DataFrame, str, bool]], inventory:
     for shared in lists:
         known = spark.sparkContext.broadcast((frequent, decorations, own_words(values, shared, decorations)))
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared, known=known) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(shared.value, *known.value)
+        def run(batches: Iterator[pd.DataFrame], shared=shared, known=known, key=uuid.uuid4().hex) -> Iterator[pd.DataFrame]:
+            matcher = matcher_of(key, shared.value, *known.value)
             for batch in batches:
                 hits = [matcher.resolve(v, a) for v, a in zip(batch["typed"], batch["around"], strict=True)]
                 yield pd.DataFrame({
