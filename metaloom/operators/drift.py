@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterator
 
@@ -115,17 +116,19 @@ class Follower:
 def in_order(pdf: pd.DataFrame) -> Iterator[tuple[int, dict]]:
     """(file_seq, schema) in order; equal schemas in a row are one object. Files of equal number count as one, with the fields of all."""
     last_text, last = None, None
-    for seq, texts in pdf.groupby("file_seq", sort=True)["schema"]:
-        found = sorted(set(texts))
+    order = pdf["file_seq"].to_numpy().argsort(kind="stable")
+    rows = zip(pdf["file_seq"].to_numpy()[order].tolist(), pdf["schema"].to_numpy(object)[order].tolist(), strict=True)
+    for seq, same in itertools.groupby(rows, key=lambda r: r[0]):
+        found = sorted({text for _, text in same})
         if len(found) == 1 and found[0] == last_text:
-            yield int(seq), last
+            yield seq, last
             continue
         whole: dict = {}
         for t in found:
             for path, what in json.loads(t).items():
                 whole[path] = promote(whole.get(path), what)
         last_text, last = found[0] if len(found) == 1 else None, whole
-        yield int(seq), whole
+        yield seq, whole
 
 
 def differences(schemas: DataFrame, block: int = BLOCK_FILES) -> tuple[DataFrame, DataFrame]:

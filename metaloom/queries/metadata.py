@@ -251,6 +251,10 @@ SQL = {
       SELECT root, id, CAST(min(depth) AS INTEGER) AS depth FROM up WHERE depth > 0 GROUP BY root, id""",
     "impact_by_type": DOWN + " SELECT resource_type, count(*) AS entities, round(sum(CASE resource_type WHEN 'exposure' THEN 8 WHEN 'metric' THEN 5 WHEN 'model' THEN 3 WHEN 'snapshot' THEN 2 ELSE 1 END::DOUBLE / depth), 6) AS score FROM d JOIN e ON e.unique_id = d.id GROUP BY 1",
     "lineage_subgraph": DOWN + f", nd AS (SELECT id FROM d UNION SELECT '{HUB}') SELECT parent, child FROM edge WHERE parent IN (SELECT id FROM nd) AND child IN (SELECT id FROM nd)",
+    "text_flags": r"SELECT doc_id, regexp_matches(text, '\{\{|\{%|\{#') AS templated, len(regexp_extract_all(text, 'ref\(')) > len(regexp_extract_all(text, 'ref\([^()\n]*\)')) AS malformed_ref FROM documents WHERE text IS NOT NULL",
+    "dag_residual_edges": G + r""", up AS (SELECT child AS root, parent AS id FROM edge UNION SELECT root, edge.parent FROM up JOIN edge ON edge.child = up.id), cyc AS (SELECT root AS id FROM up WHERE root = id),
+      above AS (SELECT id FROM cyc UNION SELECT root FROM up WHERE id IN (SELECT id FROM cyc)), below AS (SELECT id FROM cyc UNION SELECT id FROM up WHERE root IN (SELECT id FROM cyc))
+      SELECT child, parent FROM edge WHERE parent IN (SELECT id FROM above) AND child IN (SELECT id FROM below)""",
     "dag_orphans": G + "SELECT unique_id, resource_type FROM e WHERE unique_id NOT IN (SELECT child FROM edge) AND unique_id NOT IN (SELECT parent FROM edge)",
     "column_matches": _MATCHES + " SELECT child, parent, source_column, source_type, target_column, target_type, match_type, confidence, score FROM mm",
     "column_lineage": _MATCHES + _CHAIN.format(at="parent", atc="source_column", to="child", toc="target_column", least=0),

@@ -374,6 +374,10 @@ SQL = {
       SELECT e.unique_id, resource_type, entity_name, package_name, coalesce(nc.n, 0) AS n_columns, coalesce(measures, 0) AS measures, coalesce(metrics, 0) AS metrics, coalesce(owner, FALSE) AS owner, coalesce(up.n, 0) AS n_upstream, coalesce(up.l, '') AS upstream, coalesce(dn.n, 0) AS n_downstream, coalesce(dn.l, '') AS downstream,
         coalesce(ts.n, 0) AS n_tests, coalesce(ts.l, '') AS tests, coalesce(ds.n, 0) AS n_documents, coalesce(ds.l, '') AS documents
       FROM e LEFT JOIN f ON f.id = e.unique_id LEFT JOIN nc ON nc.id = e.unique_id LEFT JOIN up ON up.u = e.unique_id LEFT JOIN dn ON dn.u = e.unique_id LEFT JOIN ts ON ts.u = e.unique_id LEFT JOIN ds ON ds.u = e.unique_id""",
+    "multi_grain": problems._BLOCKS + f""", kk AS (SELECT block_id, a, list(DISTINCT item->>'$' ORDER BY item->>'$') AS l FROM {problems._items("g", "e->'$.grain.primary_key'")} GROUP BY 1, 2), kd AS (SELECT block_id, a, list(DISTINCT item->>'$' ORDER BY item->>'$') AS l FROM {problems._items("g", "e->'$.grain.dimensions'")} GROUP BY 1, 2),
+      un AS (SELECT block_id, min(unique_id) AS unique_id FROM nova_blocks GROUP BY 1),
+      sg AS (SELECT unique_id, 'pk=' || coalesce(array_to_string(kk.l, ','), '') || ';time=' || coalesce(CASE WHEN json_type(e, '$.grain') = 'OBJECT' THEN e->>'$.grain.time_field' END, '') || ';dims=' || coalesce(array_to_string(kd.l, ','), '') AS s FROM t JOIN un USING (block_id) LEFT JOIN kk USING (block_id, a) LEFT JOIN kd USING (block_id, a))
+      SELECT unique_id, count(DISTINCT s) AS grains FROM sg GROUP BY 1 HAVING count(DISTINCT s) > 1""",
     "eval_history": _RES + " SELECT run_id, cases, pass_rate FROM g",
     "eval_gate": _RES + ", h AS (SELECT run_id, pass_rate, lag(pass_rate) OVER (ORDER BY happened, run_id) AS previous_rate, row_number() OVER (ORDER BY happened DESC, run_id DESC) AS r FROM g) SELECT run_id, pass_rate, previous_rate, CASE WHEN pass_rate < 0.7 OR previous_rate - pass_rate > 0.02 THEN 'fail' ELSE 'pass' END AS status FROM h WHERE r = 1",
     "eval_compare": _RES + """, o AS (SELECT run_id, row_number() OVER (ORDER BY run_id) AS n FROM g), a AS (SELECT case_id, min(status) AS s FROM r JOIN o USING (run_id) WHERE n = 1 GROUP BY 1), b AS (SELECT case_id, min(status) AS s FROM r JOIN o USING (run_id) WHERE n = 2 GROUP BY 1)

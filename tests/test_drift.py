@@ -8,8 +8,6 @@ import random
 import pytest
 
 from metaloom.operators.drift import file_schemas, promote, schema_changes, united_fields, united_table, united_values
-from metaloom.plans.ordered import carry_forward
-from pyspark.sql import functions as F
 
 SCHEMA = "file_id long, project_name string, file_seq int, content string, section string"
 
@@ -105,12 +103,3 @@ def test_no_files(spark):
 
 def test_lattice():
     assert promote(None, "number") == "number" and promote("number", None) == "number" and promote("number", "list") == "text" and promote("text", "text") == "text"
-
-
-def test_carry_forward_over_blocks(spark):
-    rnd = random.Random(2)
-    rows = [(k, s, rnd.choice([None, rnd.randrange(9)])) for k in "ab" for s in rnd.sample(range(300), 60)]
-    df = carry_forward(spark.createDataFrame(rows, "k string, s int, v int"), ["k"], "s", F.col("v"), "last", block=7)
-    for r in df.collect():
-        before = [v for k, s, v in sorted(rows, key=lambda x: x[1]) if k == r.k and s < r.s and v is not None]
-        assert r["last"] == (before[-1] if before else None)
