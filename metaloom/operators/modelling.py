@@ -240,36 +240,3 @@ def findings(entities: DataFrame, facts: DataFrame, edges: DataFrame, semantic_m
     category = F.element_at(F.create_map(*[F.lit(x) for kv in FINDINGS.items() for x in kv]), F.col("code"))
     pkg = entities.select(F.col("unique_id").alias("entity"), "package_name")
     return every.distinct().withColumn("category", category).join(pkg, "entity", "left").select("code", "severity", "category", "entity", "package_name", "indicator", "evidence")
-
-
-#: How many values each filter operator takes, from and to.
-ARITY = {"in": (1, 1 << 30), "not_in": (1, 1 << 30), "between": (2, 2), "is_null": (0, 0), "is_not_null": (0, 0), "=": (1, 1), "!=": (1, 1), ">": (1, 1), ">=": (1, 1), "<": (1, 1), "<=": (1, 1)}
-
-
-def validate_blocks(records: DataFrame) -> DataFrame:
-    """(block_id, code, severity, evidence): rules on the records of semantic blocks."""
-    def rule(df, code, severity, evidence):
-        return df.select("block_id", F.lit(code).alias("code"), F.lit(severity).alias("severity"), evidence.cast("string").alias("evidence"))
-
-    def named_twice(kind):
-        return records.where(F.col("child_kind") == kind).groupBy("block_id", normal("value").alias("v")).agg(F.count("*").alias("n")).where("n > 1")
-
-    values = records.where("child_kind = 'filter_value'").groupBy("block_id", "pos_a", "pos_b").agg(F.count("*").alias("n"))
-    filters = records.where("child_kind = 'filter'").join(values, ["block_id", "pos_a", "pos_b"], "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("op", normal("operator"))
-    low, high = F.lit(None).cast("int"), F.lit(None).cast("int")
-    for op, (a, b) in ARITY.items():
-        low, high = F.when(F.col("op") == op, a).otherwise(low), F.when(F.col("op") == op, b).otherwise(high)
-    rules = [
-        rule(named_twice("measure"), "duplicate_measure_name", "error", F.col("v")),
-        rule(named_twice("metric"), "duplicate_metric_name", "error", F.col("v")),
-        rule(records.where("child_kind = 'measure' and expression is null and field is not null"), "measure_missing_expression", "warning", F.col("value")),
-        rule(records.where("child_kind = 'measure' and description is null"), "measure_missing_description", "warning", F.col("value")),
-        rule(records.where("child_kind = 'metric' and expression is null"), "metric_missing_expression", "warning", F.col("value")),
-        rule(records.where("trim(value) = ''"), "blank_string", "error", F.col("child_kind")),
-        rule(filters.where("op is null or op = ''"), "blank_operator", "error", F.col("value")),
-        rule(filters.where("op <> ''").where(low.isNull()), "unsupported_filter_operator", "error", F.col("op")),
-        rule(filters.where(low.isNotNull() & ~F.col("n").between(low, high)), "invalid_filter_values", "error", F.col("op")),
-        rule(records.where("child_kind = 'grain_key'").groupBy("block_id", "pos_a", normal("value").alias("v")).agg(F.count("*").alias("n")).where("n > 1"), "duplicate_primary_key", "warning", F.col("v")),
-        rule(records.where("child_kind = 'grain_dimension'").groupBy("block_id", "pos_a", normal("value").alias("v")).agg(F.count("*").alias("n")).where("n > 1"), "duplicate_dimension", "warning", F.col("v")),
-    ]
-    return reduce(lambda a, b: a.unionByName(b), rules)

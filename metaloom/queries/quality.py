@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metaloom.operators import context, evals, inventory, modelling, nested, payloads, scoring, search
+from metaloom.operators import context, evals, inventory, modelling, nested, payloads, scoring, search, validation
 from metaloom.queries import metadata, problems, retrieval
 from metaloom.session import cut_lineage, table
 from metaloom.sources import manifest
@@ -99,7 +99,7 @@ def readiness(spark, sf_dir):
 
 
 def validate_blocks(spark, sf_dir):
-    return modelling.validate_blocks(_records(spark, sf_dir))
+    return validation.validate_blocks(table(spark, sf_dir, "nova_blocks"))
 
 
 def multi_grain(spark, sf_dir):
