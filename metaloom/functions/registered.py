@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 #: Written in SQL, so that they become part of the plan: name, parameters, result, body.
 SQL_FUNCTIONS = {
@@ -17,13 +18,13 @@ SQL_FUNCTIONS = {
 }
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def initials(names: pd.Series) -> pd.Series:
     """First letters of a name's words, in lower case; null for null."""
     return names.map(lambda n: None if n is None else "".join(w[0] for w in n.lower().replace("_", " ").replace("#", " ").split()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def geometric_mean(values: pd.Series) -> float:
     """exp of the mean logarithm of positive values; an aggregate over one group's values."""
     import numpy as np
@@ -32,7 +33,7 @@ def geometric_mean(values: pd.Series) -> float:
     return float(np.exp(np.log(good.to_numpy(dtype=float)).mean())) if len(good) else None
 
 
-@F.udtf(returnType="place int, word string", useArrow=True)
+@F.udtf(returnType=StructType([StructField("place", IntegerType()), StructField("word", StringType())]), useArrow=True)
 class SplitWords:
     """A row for each word of a text, with its place from 0."""
 

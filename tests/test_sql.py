@@ -73,3 +73,14 @@ def test_structure():
     assert d["tables"] == {"only_first": ["u"], "only_second": ["v"], "both": ["t"]} and d["filters"]["both"] == ["x > 1"]
     assert alias_pairs("select t.a as b, c as D, f(e) as g from t as z") == [("a", "b"), ("c", "d")]
     assert mask_literals("select 'a''b', 12 -- c\n from t") == "select ? , ? from t" and statements("a;;'b;c';") == ["a", "'b;c'"]
+
+
+def test_queries_are_listed_without_a_session():
+    """The entry point must be readable before any session exists."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert len(q) > 150 and not set(s) - set(q)"
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
