@@ -137,6 +137,11 @@ def docs_for_entity(spark, sf_dir):
     return context.documents_of(table(spark, sf_dir, "documents"), metadata._entities(spark, sf_dir))
 
 
+def get_columns(spark, sf_dir):
+    """Declared columns of each entity's latest payload, keys marked."""
+    return payloads.columns_of(_facts(spark, sf_dir)).select("unique_id", "column_name", "data_type", "primary_key")
+
+
 def entity_detail(spark, sf_dir):
     return context.detail(metadata._entities(spark, sf_dir), "standard", context.LEVELS).drop("tags")
 
@@ -213,7 +218,7 @@ def asof_join(spark, sf_dir):
 QUERIES = {
     **{f.__name__: f for f in (
         score_entities, score_governance, score_packages, score_project, score_worst, recommendations, provenance, engineer_summary, analyst_summary, governance_gate, score_columns, column_tests, coverage_gaps, audit_changed, findings, readiness, validate_blocks, multi_grain, compare_grains,
-        entity_overlap, diff_entities, entity_context, docs_for_entity, entity_detail, role_conflicts, catalog_drift, ir_metrics, eval_history, eval_gate, eval_compare, eval_retained, asof_join,
+        entity_overlap, diff_entities, entity_context, docs_for_entity, entity_detail, get_columns, role_conflicts, catalog_drift, ir_metrics, eval_history, eval_gate, eval_compare, eval_retained, asof_join,
     )},
     "duplicate_indicators": _inventory(modelling.duplicate_indicators), "near_duplicate_indicators": _inventory(modelling.near_duplicate_indicators), "label_collisions": _inventory(modelling.label_collisions),
     "trace_summary": _of_traces(evals.trace_summary), "trace_semantic_first": _of_traces(evals.semantic_first), "latency": _of_traces(lambda t: evals.latency(t, "duration")),
@@ -312,6 +317,11 @@ _DUP = "WITH d AS (SELECT indicator_type, regexp_replace(lower(trim(indicator_na
 _RES = "WITH r AS (SELECT strftime(ts, '%Y-%m-%d') AS run_id, ts AS happened, user_id AS case_id, CASE WHEN event_type = 'error' THEN 'fail' ELSE 'pass' END AS status FROM events), g AS (SELECT run_id, max(happened) AS happened, count(*) AS cases, round(avg(CASE WHEN status = 'pass' THEN 1.0 ELSE 0 END), 6) AS pass_rate FROM r GROUP BY 1)"
 _TR = "WITH t AS (SELECT ts AS happened, CASE event_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in TOOLS.items()) + " END AS tool, CAST(user_id AS VARCHAR) AS session, event_id AS call_index, value AS duration, event_type <> 'error' AS success, length(props) AS bytes, value > 90 AS truncated FROM events)"
 
+_GRAINS = problems._BLOCKS + f""", kk AS (SELECT block_id, a, list(DISTINCT item->>'$' ORDER BY item->>'$') AS l FROM {problems._items("g", "e->'$.grain.primary_key'")} GROUP BY 1, 2), kd AS (SELECT block_id, a, list(DISTINCT item->>'$' ORDER BY item->>'$') AS l FROM {problems._items("g", "e->'$.grain.dimensions'")} GROUP BY 1, 2),
+      un AS (SELECT block_id, min(unique_id) AS unique_id FROM nova_blocks GROUP BY 1),
+      sg AS (SELECT block_id, unique_id, 'pk=' || coalesce(array_to_string(kk.l, ','), '') || ';time=' || coalesce(CASE WHEN json_type(e, '$.grain') = 'OBJECT' THEN e->>'$.grain.time_field' END, '') || ';dims=' || coalesce(array_to_string(kd.l, ','), '') AS s FROM t JOIN un USING (block_id) LEFT JOIN kk USING (block_id, a) LEFT JOIN kd USING (block_id, a))
+"""
+
 SQL = {
     "score_entities": _score_sql("default") + "SELECT unique_id, documentation, semantic, governance, quality, overall, grade FROM sc",
     "score_governance": _score_sql("governance") + "SELECT unique_id, overall, grade FROM sc",
@@ -374,10 +384,9 @@ SQL = {
       SELECT e.unique_id, resource_type, entity_name, package_name, coalesce(nc.n, 0) AS n_columns, coalesce(measures, 0) AS measures, coalesce(metrics, 0) AS metrics, coalesce(owner, FALSE) AS owner, coalesce(up.n, 0) AS n_upstream, coalesce(up.l, '') AS upstream, coalesce(dn.n, 0) AS n_downstream, coalesce(dn.l, '') AS downstream,
         coalesce(ts.n, 0) AS n_tests, coalesce(ts.l, '') AS tests, coalesce(ds.n, 0) AS n_documents, coalesce(ds.l, '') AS documents
       FROM e LEFT JOIN f ON f.id = e.unique_id LEFT JOIN nc ON nc.id = e.unique_id LEFT JOIN up ON up.u = e.unique_id LEFT JOIN dn ON dn.u = e.unique_id LEFT JOIN ts ON ts.u = e.unique_id LEFT JOIN ds ON ds.u = e.unique_id""",
-    "multi_grain": problems._BLOCKS + f""", kk AS (SELECT block_id, a, list(DISTINCT item->>'$' ORDER BY item->>'$') AS l FROM {problems._items("g", "e->'$.grain.primary_key'")} GROUP BY 1, 2), kd AS (SELECT block_id, a, list(DISTINCT item->>'$' ORDER BY item->>'$') AS l FROM {problems._items("g", "e->'$.grain.dimensions'")} GROUP BY 1, 2),
-      un AS (SELECT block_id, min(unique_id) AS unique_id FROM nova_blocks GROUP BY 1),
-      sg AS (SELECT unique_id, 'pk=' || coalesce(array_to_string(kk.l, ','), '') || ';time=' || coalesce(CASE WHEN json_type(e, '$.grain') = 'OBJECT' THEN e->>'$.grain.time_field' END, '') || ';dims=' || coalesce(array_to_string(kd.l, ','), '') AS s FROM t JOIN un USING (block_id) LEFT JOIN kk USING (block_id, a) LEFT JOIN kd USING (block_id, a))
-      SELECT unique_id, count(DISTINCT s) AS grains FROM sg GROUP BY 1 HAVING count(DISTINCT s) > 1""",
+    "get_columns": _FACTS + "SELECT id AS unique_id, name AS column_name, c->>'$.data_type' AS data_type, pk AS primary_key FROM c1",
+    "multi_grain": _GRAINS + "SELECT unique_id, count(DISTINCT s) AS grains FROM sg GROUP BY 1 HAVING count(DISTINCT s) > 1",
+    "compare_grains": _GRAINS + "SELECT s AS grain, CASE WHEN bool_and(block_id % 2 = 0) THEN 'first' WHEN bool_and(block_id % 2 <> 0) THEN 'second' ELSE 'both' END AS side FROM sg GROUP BY 1",
     "eval_history": _RES + " SELECT run_id, cases, pass_rate FROM g",
     "eval_gate": _RES + ", h AS (SELECT run_id, pass_rate, lag(pass_rate) OVER (ORDER BY happened, run_id) AS previous_rate, row_number() OVER (ORDER BY happened DESC, run_id DESC) AS r FROM g) SELECT run_id, pass_rate, previous_rate, CASE WHEN pass_rate < 0.7 OR previous_rate - pass_rate > 0.02 THEN 'fail' ELSE 'pass' END AS status FROM h WHERE r = 1",
     "eval_compare": _RES + """, o AS (SELECT run_id, row_number() OVER (ORDER BY run_id) AS n FROM g), a AS (SELECT case_id, min(status) AS s FROM r JOIN o USING (run_id) WHERE n = 1 GROUP BY 1), b AS (SELECT case_id, min(status) AS s FROM r JOIN o USING (run_id) WHERE n = 2 GROUP BY 1)

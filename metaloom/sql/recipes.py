@@ -9,6 +9,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from metaloom.functions.scores import tokens
+from metaloom.operators.search import FIELD_BOOSTS, bm25, top
 from metaloom.sql.guard import GuardError, execute
 
 PLACEHOLDER = re.compile(r"__([A-Za-z][A-Za-z0-9_]*?)__")
@@ -94,6 +96,20 @@ def recipes(analyses: DataFrame) -> DataFrame:
     )
 
 
+def search_recipes(found: DataFrame, query: str, k: int = 10) -> DataFrame:
+    """(recipe, queries, score, rank): the k recipes that fit a question best, by words of their name, their queries' names and their SQL.
+
+    ``found`` is what :func:`recipes` gives. A recipe's queries are put together first, in
+    their order; a question without words finds nothing.
+    """
+    listed = F.array_sort(F.collect_list(F.struct("query_number", "query_name", "sql")))
+    whole = found.groupBy("recipe").agg(listed.alias("q")).select("recipe", F.size("q").alias("queries"), F.array_join("q.query_name", " ").alias("names"), F.array_join("q.sql", " ").alias("code"))
+    fields = {"name": F.regexp_replace("recipe", "[_/]", " "), "description": F.regexp_replace("names", "_", " "), "code": F.regexp_replace("code", "_", " ")}
+    asked = found.sparkSession.range(1).select(F.lit(1).alias("qid"), F.explode(F.array_distinct(tokens(F.regexp_replace(F.lit(query), "_", " ")))).alias("term"))
+    hits = top(bm25(whole, "recipe", fields, asked, FIELD_BOOSTS), k)
+    return hits.join(whole.select(F.col("recipe").alias("id"), "queries"), "id").select(F.col("id").alias("recipe"), "queries", "score", "rank")
+
+
 def run_recipe(spark: SparkSession, queries: list[tuple[str, str]], values: dict[str, Any], parameters: dict[str, Parameter] | None = None, stop: bool = True) -> list[tuple[str, DataFrame | None, str]]:
     """(query, result, error) of each query in order of number, then name; after an error the rest is skipped if ``stop``."""
     out: list[tuple[str, DataFrame | None, str]] = []

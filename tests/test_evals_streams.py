@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from datetime import datetime, timedelta
 
 import pytest
@@ -66,6 +67,8 @@ def test_stream_equals_batch(spark, tmp_path):
     src.mkdir()
     for k in range(4):
         (src / f"{k}.json").write_text("\n".join([json.dumps(r) for r in rows[k * 50 : (k + 1) * 50]] + ["no json"]))
+        # Files arrive in order of their times; equal ones would come in any order, and be late.
+        os.utime(src / f"{k}.json", (1_700_000_000 + 10 * k,) * 2)
     traces.append_windows(traces.tool_windows(traces.read_traces(spark, str(src), 1)), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     key = lambda df: {(r.start, r.tool): (r.calls, r.errors, r.mean_duration) for r in df.collect()}
     got, want = key(spark.read.parquet(str(tmp_path / "out"))), key(traces.tool_windows(spark.read.schema(traces.TRACE).json(str(src)).where("at is not null")))

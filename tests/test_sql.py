@@ -75,6 +75,16 @@ def test_structure():
     assert mask_literals("select 'a''b', 12 -- c\n from t") == "select ? , ? from t" and statements("a;;'b;c';") == ["a", "'b;c'"]
 
 
+def test_search_recipes(spark):
+    from metaloom.sql.recipes import recipes, search_recipes
+
+    files = [("a/recipes/refund_rate/share__1.sql", "select 1", None), ("a/recipes/refund_rate/trend__2.sql", "select stock", None), ("a/recipes/stock/level.sql", "select stock_level from t", None), ("a/other.sql", "refund", None), (None, "x", None)]
+    found = recipes(spark.createDataFrame(files, "path string, raw_sql string, compiled_sql string"))
+    assert [(r.recipe, r.queries) for r in search_recipes(found, "Refund rate by week").orderBy("rank").collect()] == [("refund_rate", 2)]
+    assert [r.recipe for r in search_recipes(found, "stock").orderBy("rank").collect()] == ["stock", "refund_rate"]
+    assert search_recipes(found, "?").count() == 0 and search_recipes(found.limit(0), "stock").count() == 0
+
+
 def test_queries_are_listed_without_a_session():
     """The entry point must be readable before any session exists."""
     import subprocess
