@@ -63,26 +63,19 @@ def lineage_edges(reached: DataFrame, links: DataFrame, roots: DataFrame) -> Dat
     return met.join(nodes.select("root", F.col("id").alias("parent")), ["root", "parent"], "left_semi").select("root", "parent", "child")
 
 
-#: What a dependent of each type weighs in an impact score; 1 for others.
-IMPACT_WEIGHTS = {"exposure": 8, "metric": 5, "model": 3, "snapshot": 2, "test": 1}
-
-
 def impact(reached: DataFrame, entities: DataFrame, columns: DataFrame | None = None) -> DataFrame:
-    """(root, resource_type, entities, score[, columns]): what is downstream of each root by type, weighed by type and nearness.
+    """(root, resource_type, entities, score): what is downstream of each root by type, and the root's impact score.
 
-    A dependent counts its type's weight divided by its depth. With ``columns`` (unique_id,
-    column_name) those of the dependents that bear a name the root declares are counted too.
+    The score is the number of all known dependents; with ``columns`` (unique_id, column_name)
+    times the number of columns that the root declares.
     """
     typed = reached.join(entities.select(F.col("unique_id").alias("id"), "resource_type"), "id")
-    weight = F.lit(1)
-    for name, value in IMPACT_WEIGHTS.items():
-        weight = F.when(F.col("resource_type") == name, value).otherwise(weight)
-    score = F.round(F.sum(weight / F.greatest("depth", F.lit(1))), 6).alias("score")
-    if columns is None:
-        return typed.groupBy("root", "resource_type").agg(F.count("*").alias("entities"), score)
-    named = columns.select("unique_id", F.lower("column_name").alias("column_name")).distinct()
-    shared = reached.join(named.withColumnRenamed("unique_id", "root"), "root").join(named.withColumnRenamed("unique_id", "id"), ["id", "column_name"]).groupBy("root", "id").agg(F.count("*").alias("c"))
-    return typed.join(shared, ["root", "id"], "left").groupBy("root", "resource_type").agg(F.count("*").alias("entities"), score, F.coalesce(F.sum("c"), F.lit(0)).alias("columns"))
+    by_type = typed.groupBy("root", "resource_type").agg(F.count("*").alias("entities"))
+    total = by_type.groupBy("root").agg(F.sum("entities").alias("score"))
+    if columns is not None:
+        own = columns.groupBy(F.col("unique_id").alias("root")).agg(F.countDistinct("column_name").alias("c"))
+        total = total.join(own, "root", "left").select("root", (F.col("score") * F.coalesce("c", F.lit(0))).alias("score"))
+    return by_type.join(total, "root")
 
 
 def orphans(entities: DataFrame, links: DataFrame) -> DataFrame:
@@ -109,7 +102,7 @@ def on_cycles(links: DataFrame) -> DataFrame:
     return left
 
 
-#: Each way in which a column continues another: the strategy's weight, its strength, its confidence.
+#: Each way in which a column continues another: the strategy's weight, its strength, its confidence.
 STRATEGIES = {
     "exact_match": (1.0, 1.0, "high"), "sql_alias": (0.9, 0.9, "medium"), "source_match": (0.8, 0.8, "medium"), "nested_match": (0.5, 0.6, "low"), "suffix_match": (0.4, 0.6, "low"), "prefix_match": (0.4, 0.6, "low"),
     "normalized_match": (0.5, 0.55, "low"), "levenshtein_match": (0.6, None, "low"), "proximity_match": (0.3, 0.5, "low"),

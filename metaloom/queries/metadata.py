@@ -249,7 +249,7 @@ SQL = {
       SELECT child AS id, CAST(min(depth + cost) AS INTEGER) AS depth FROM down JOIN step ON step.parent = down.id WHERE depth + cost <= 2 GROUP BY 1""",
     "lineage_up_all": G + r""", up AS (SELECT unique_id AS root, unique_id AS id, 0 AS depth FROM e UNION SELECT root, edge.parent, depth + 1 FROM up JOIN edge ON edge.child = up.id WHERE depth < 200)
       SELECT root, id, CAST(min(depth) AS INTEGER) AS depth FROM up WHERE depth > 0 GROUP BY root, id""",
-    "impact_by_type": DOWN + " SELECT resource_type, count(*) AS entities, round(sum(CASE resource_type WHEN 'exposure' THEN 8 WHEN 'metric' THEN 5 WHEN 'model' THEN 3 WHEN 'snapshot' THEN 2 ELSE 1 END::DOUBLE / depth), 6) AS score FROM d JOIN e ON e.unique_id = d.id GROUP BY 1",
+    "impact_by_type": DOWN + ", t AS (SELECT resource_type, count(*) AS entities FROM d JOIN e ON e.unique_id = d.id GROUP BY 1) SELECT resource_type, entities, CAST((SELECT sum(entities) FROM t) AS BIGINT) AS score FROM t",
     "lineage_subgraph": DOWN + f", nd AS (SELECT id FROM d UNION SELECT '{HUB}') SELECT parent, child FROM edge WHERE parent IN (SELECT id FROM nd) AND child IN (SELECT id FROM nd)",
     "text_flags": r"SELECT doc_id, regexp_matches(text, '\{\{|\{%|\{#') AS templated, len(regexp_extract_all(text, 'ref\(')) > len(regexp_extract_all(text, 'ref\([^()\n]*\)')) AS malformed_ref FROM documents WHERE text IS NOT NULL",
     "dag_residual_edges": G + r""", up AS (SELECT child AS root, parent AS id FROM edge UNION SELECT root, edge.parent FROM up JOIN edge ON edge.child = up.id), cyc AS (SELECT root AS id FROM up WHERE root = id),
