@@ -15,34 +15,41 @@ from metaloom.session import cut_lineage
 
 #: Length buckets of a capacity, and the least share of all tokens that each holds.
 BUCKETS, LEAST_SHARE = 4, 0.02
-#: Bounds are chosen among so many sizes; with fewer distinct sizes, among all.
-CANDIDATES = 160
-#: Sizes tried as the limit between small and large items when containers are estimated.
-LIMITS = 96
+#: Columns of the table of all pairs of bounds that are held at once: memory is so many times the number of sizes.
+COLUMNS = 256
 
 
-def least_containers(sizes: np.ndarray, counts: np.ndarray, capacity: int, ends: np.ndarray) -> np.ndarray:
-    """For each pair i < j of ``ends``: how many containers the items of sizes in (ends[i], ends[j]] need at least.
+def least_containers(sizes: np.ndarray, counts: np.ndarray, capacity: int, ends: np.ndarray, columns: slice = slice(None)) -> np.ndarray:
+    """For each pair i < j of ``ends``: how many containers the items of sizes in (ends[i], ends[j]] need at least. ``columns``: of these j only.
 
     Items above half the capacity meet no other such item, items above capacity - t none of
     size t or more, and at most k items above capacity / (k + 1) share a container. What
     a batch of the bucket leaves unused is these containers' room less the items' tokens.
+
+    All limits t are tried, at the cost of one: below i + 1 the least t is never better than i + 1 itself, up to
+    capacity - j only the items from t to half depend on t, and above it the best is a
+    running maximum from the right.
     """
     many = np.concatenate([[0], np.cumsum(np.bincount(sizes, weights=counts, minlength=capacity + 1))])
     total = np.concatenate([[0], np.cumsum(np.bincount(sizes, weights=counts * sizes, minlength=capacity + 1))])
-    low, high = ends[:, None], ends[None, :]
+    low, high = ends[:, None], ends[columns][None, :]
 
     def between(sums: np.ndarray, a: int, b: int) -> np.ndarray:
         a, b = np.clip(a, low, high), np.clip(b, low, high)
         return np.where(b > a, sums[b + 1] - sums[np.minimum(a, b) + 1], 0.0)
 
     half = capacity // 2
-    need = np.zeros((len(ends), len(ends)))
-    for t in np.unique(np.linspace(0, half, LIMITS).astype(np.int64)):
-        large = between(many, half, capacity - t)
-        room = large * capacity - between(total, half, capacity - t)
-        rest = np.maximum(0, between(total, max(t - 1, 0), half) - room) / capacity
-        need = np.maximum(need, between(many, capacity - t, capacity) + large + rest)
+    # Tokens of sizes from t to half, and the room that items above half, up to a size, leave.
+    small = total[half + 1] - total[: half + 2]
+    room = (many[1:] - many[half + 1]) * capacity - (total[1:] - total[half + 1])
+    # over[t]: the most by which, for any limit from t to half, small items exceed what the large ones of up to capacity - t leave.
+    t = np.arange(half + 1)
+    over = np.append(np.maximum.accumulate((small[: half + 1] - room[capacity - t])[::-1])[::-1], -np.inf)
+    first = np.minimum(low + 1, half + 1)
+    past = np.clip(np.maximum(first, capacity - high + 1), 0, half + 1)
+    rest = np.where(first <= np.minimum(capacity - high, half), small[first] - room[high], -np.inf)
+    rest = np.where(high > half, np.maximum(rest, over[past]), total[high + 1] - total[np.minimum(low, high) + 1])
+    need = between(many, half, capacity) + np.maximum(rest, 0) / capacity
     for k in range(2, 12):
         need = np.maximum(need, between(many, capacity // (k + 1), capacity) / k)
     return np.ceil(need - 1e-9)
@@ -53,31 +60,34 @@ def best_buckets(sizes: np.ndarray, counts: np.ndarray, capacity: int, buckets:
 
     Padding is what a bucket's batches lack to their capacity (:func:`least_containers`).
     Dynamic programming over the histogram: the best end of b buckets at a size is the best of
-    all ends of b - 1 buckets before it, and one bucket between. With fewer sizes than
+    all ends of b - 1 buckets before it, and one bucket between. Every size may be a bound, so
+    the time grows with the square of the number of sizes, of which there are at most ``capacity``. With fewer sizes than
     buckets, or too little apart, there are as many buckets as possible.
     """
     order = np.argsort(sizes)
     sizes, counts = np.asarray(sizes)[order].astype(np.int64), np.asarray(counts)[order].astype(np.int64)
     if not len(sizes):
         return sizes
-    ends, held = sizes, np.cumsum(counts * sizes)
-    if len(sizes) > CANDIDATES:
-        even = np.searchsorted(held, np.linspace(0, held[-1], CANDIDATES)[1:])
-        parts = np.searchsorted(sizes, [capacity // k for k in range(1, 12)], side="right") - 1
-        ends = np.unique(sizes[np.clip(np.concatenate([even, parts, [len(sizes) - 1]]), 0, len(sizes) - 1)])
-        held = held[np.searchsorted(sizes, ends)]
-    ends, held = np.concatenate([[0], ends]), np.concatenate([[0], held])
-    step = held[None, :] - held[:, None]
-    cost = np.where((ends[None, :] > ends[:, None]) & (step >= least_share * held[-1]), least_containers(sizes, counts, capacity, ends), np.inf)
-    best, cuts = np.full(len(ends), np.inf), []
-    best[0] = 0
-    for _ in range(min(buckets, len(sizes))):
-        whole = best[:, None] + cost
-        cut = whole.argmin(axis=0)
-        best = whole[cut, np.arange(len(ends))]
-        if not np.isfinite(best[-1]):
+    ends, held = np.concatenate([[0], sizes]), np.concatenate([[0], np.cumsum(counts * sizes)])
+    # Row b: the least cost of b buckets that end at a size, and where the last of them begins.
+    n = min(buckets, len(sizes))
+    best, cut = np.full((n + 1, len(ends)), np.inf), np.zeros((n + 1, len(ends)), np.int64)
+    best[0, 0] = 0
+    for lo in range(0, len(ends), COLUMNS):
+        own = slice(lo, lo + COLUMNS)
+        before = slice(0, min(lo + COLUMNS, len(ends)))
+        step = held[None, own] - held[before, None]
+        cost = np.where((ends[None, own] > ends[before, None]) & (step >= least_share * held[-1]), least_containers(sizes, counts, capacity, ends[before], own), np.inf)
+        for b in range(1, n + 1):
+            # Ends of b - 1 buckets in the same columns are known by now.
+            whole = best[b - 1, before, None] + cost
+            cut[b, own] = whole.argmin(axis=0)
+            best[b, own] = whole.min(axis=0)
+    cuts = []
+    for b in range(1, n + 1):
+        if not np.isfinite(best[b, -1]):
             break
-        cuts.append(cut)
+        cuts.append(cut[b])
     out, at = [], len(ends) - 1
     for cut in reversed(cuts):
         out.append(ends[at])

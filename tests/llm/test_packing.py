@@ -8,7 +8,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from metaloom.llm.packing import best_buckets, broken_rules, fill_report, least_containers, pack, place, plan
+from metaloom.llm.packing import LEAST_SHARE, best_buckets, broken_rules, fill_report, least_containers, pack, place, plan
 
 
 @settings(max_examples=40, deadline=None)
@@ -108,3 +108,26 @@ def test_broken_rules_are_counted(spark):
     bad = broken_rules(packed.where("doc_id <> 5").withColumn("container_id", packed.container_id % 3), docs, specs).first()
     assert bad.documents == 59 and bad.over_capacity == 3 and bad.mixed_buckets > 0 and bad.tokens_lost == 1
     assert broken_rules(pack(docs, specs.limit(0))[0], docs, specs.limit(0)).count() == 0
+
+
+def _needed(sizes, counts, capacity, low, high):
+    """Containers that the items of sizes in (low, high] need at least, every limit tried one by one."""
+    mine = (sizes > low) & (sizes <= high)
+    s, n, half = sizes[mine], counts[mine], capacity // 2
+    need = [n[s > capacity // (k + 1)].sum() / k for k in range(2, 12)]
+    for t in range(half + 1):
+        large, small = (s > half) & (s <= capacity - t), (s <= half) & (s >= t)
+        room = (n[large] * (capacity - s[large])).sum()
+        need.append(n[s > half].sum() + max(0, (n[small] * s[small]).sum() - room) / capacity)
+    return np.ceil(max(need) - 1e-9)
+
+
+def test_every_size_may_be_a_bound():
+    capacity = 300
+    sizes = np.arange(1, capacity + 1)
+    counts = np.maximum(1, np.random.default_rng(11).integers(1, 400, capacity) * np.exp(-sizes / 50)).astype(int)
+    held = np.concatenate([[0], np.cumsum(sizes * counts)])
+    least = LEAST_SHARE * held[-1]
+    costs = {b: _needed(sizes, counts, capacity, 0, b) + _needed(sizes, counts, capacity, b, capacity) for b in range(1, capacity) if min(held[b], held[-1] - held[b]) >= least}
+    bounds = best_buckets(sizes, counts, capacity, 2)
+    assert bounds[1] == capacity and costs[bounds[0]] == min(costs.values())
