@@ -7,9 +7,10 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window as W
 
 from metaloom.functions.scores import levenshtein_similarity, tokens
@@ -36,8 +37,8 @@ TYPE_WEIGHTS = {
     "default": {},
 }
 K1, B = 1.2, 0.75
-#: Queries that are ranked at once, and documents laid beside them (8 bytes for each pair, 80 MB).
-BULK_QUERIES, BULK_DOCS = 20_000, 512
+#: Queries that are ranked at once, documents laid beside them (8 bytes for each pair, 41 MB), and documents among which those alike are looked for.
+BULK_QUERIES, BULK_DOCS, BULK_HELD = 20_000, 256, 50_000
 RRF_K, STAGING, NO_BLOCK, CANONICAL, NGRAM_BOOST = 60.0, 0.6, 0.93, 1.08, 0.35
 
 
@@ -80,48 +81,61 @@ def bm25(docs: DataFrame, key: str, fields: dict[str, Column], queries: DataFram
 
 
 class TopK:
-    """The k best (score, id) of each of n queries so far; of equal scores the smaller id."""
+    """The k best (score, number) of each of n queries so far; of equal scores the smaller number, which -1 is for none."""
 
     def __init__(self, n: int, k: int):
-        self.k, self.score, self.id = k, np.full((n, k), -np.inf), np.full((n, k), "", dtype="U1")
+        self.k, self.score, self.at = k, np.full((n, k), -np.inf), np.full((n, k), -1, np.int64)
 
-    def add(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+    def add(self, rows: np.ndarray, at: np.ndarray, scores: np.ndarray) -> None:
         """Candidates as parallel arrays; a row may come several times."""
         if not len(rows):
             return
-        if ids.dtype.itemsize > self.id.dtype.itemsize:
-            self.id = self.id.astype(ids.dtype)
-        own, at = np.unique(rows, return_inverse=True)
-        at = np.concatenate([at, np.repeat(np.arange(len(own)), self.k)])
-        s, who = np.concatenate([scores, self.score[own].ravel()]), np.concatenate([ids, self.id[own].ravel()])
-        order = np.lexsort((who, -s, at))
-        first = np.searchsorted(at[order], np.arange(len(own)))
+        own, row = np.unique(rows, return_inverse=True)
+        row = np.concatenate([row, np.repeat(np.arange(len(own)), self.k)])
+        s, who = np.concatenate([scores, self.score[own].ravel()]), np.concatenate([at, self.at[own].ravel()])
+        order = np.lexsort((who, -s, row))
+        first = np.searchsorted(row[order], np.arange(len(own)))
         take = order[first[:, None] + np.arange(self.k)]
-        self.score[own], self.id[own] = s[take], who[take]
+        self.score[own], self.at[own] = s[take], who[take]
+
+    def rows(self, qids: pa.Array, ids: list[pa.Array], most: int = 500_000) -> Iterator[pa.RecordBatch]:
+        """What is held, as qid, id and score; ``ids`` has the ids by number, in runs."""
+        every = pa.chunked_array(ids, pa.string())
+        q, j = np.nonzero(np.isfinite(self.score))
+        for lo in range(0, len(q), most):
+            x, y = q[lo : lo + most], j[lo : lo + most]
+            yield pa.RecordBatch.from_arrays([qids.take(pa.array(x)), every.take(pa.array(self.at[x, y])).combine_chunks(), pa.array(self.score[x, y])], ["qid", "id", "score"])
 
 
 def bulk_top(docs: DataFrame, key: str, fields: dict[str, Column], queries: DataFrame, k: int, boosts: dict[str, float] | None = None, block: int = BULK_QUERIES) -> DataFrame:
-    """(qid, id, score): the k best of each query by :func:`bm25`, for many queries at once and exactly, no word left out.
+    """(qid, id, score, rank): the k best of each query by :func:`bm25`, for many queries at once and exactly, no word left out.
 
     ``queries`` has qid and words. Word counts and lengths are aggregated once; then queries
     are broadcast in blocks of at most ``block``, each against all documents. A task lays a
     batch of documents beside all queries of the block, adds each word's weights to the
     queries that have it, and keeps k of each query. So no (query, document) pair is ever
     shuffled, however common a word is: what leaves a task is k rows a query.
+
+    Words that no document has add nothing, so queries with the same other words are ranked
+    once. Documents with the same length and the same of the queries' words in each field score
+    alike, so a task scores them once, for its next ``BULK_HELD`` documents. It sees them in the order
+    of their ids: of equal scores the first seen counts.
     """
     spark = docs.sparkSession
     names = list(fields)
-    held = docs.select(F.col(key).cast("string").alias("id"), *[tokens(F.coalesce(text, F.lit(""))).alias(f"w{i}") for i, text in enumerate(fields.values())])
+    held = docs.select(F.col(key).cast("string").alias("id"), *[tokens(F.coalesce(text, F.lit(""))).alias(f"w{i}") for i, text in enumerate(fields.values())]).where("id is not null").sortWithinPartitions("id")
     asked = queries.select("qid", F.explode("words").alias("term")).distinct()
     wanted = cut_lineage(asked.select("term").distinct())
     each = held.select("id", F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(f"w{i}").alias("words")) for i, n in enumerate(names)])).alias("x")).select("id", "x.*").where(F.size("words") > 0)
     stats = {r[0]: (r[1], r[2]) for r in each.groupBy("field").agg(F.count("*"), F.avg(F.size("words"))).collect()}
     counts = cut_lineage(each.select("field", F.explode(F.array_distinct("words")).alias("term")).join(wanted, "term").groupBy("field", "term").count())
-    numbered = asked.groupBy("qid").agg(F.collect_list("term").alias("words"))
+    met = cut_lineage(asked.join(counts.select("term").distinct(), "term").groupBy("qid").agg(F.array_sort(F.collect_list("term")).alias("words")))
+    numbered = cut_lineage(met.groupBy("words").agg(F.min("qid").alias("qid")))
     blocks = max(1, -(-numbered.count() // block))
+    kind = queries.schema["qid"].dataType
     out = None
     for b in range(blocks):
-        own = numbered.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).collect()
+        own = numbered.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).select("qid", "words").collect()
         words = {w for r in own for w in r[1]}
         # As many rows as the block's queries have words, in each field.
         df = counts.join(spark.createDataFrame([(w,) for w in sorted(words)], "term string"), "term") if blocks > 1 else counts
@@ -130,39 +144,80 @@ def bulk_top(docs: DataFrame, key: str, fields: dict[str, Column], queries: Data
         for i, r in enumerate(own):
             for w in r[1]:
                 where.setdefault(w, []).append(i)
-        shared = spark.sparkContext.broadcast(({w: np.array(i) for w, i in where.items()}, idf, [r[0] for r in own]))
+        shared = spark.sparkContext.broadcast(({w: np.array(i) for w, i in where.items()}, idf, pa.array([r[0] for r in own], to_arrow_type(kind))))
 
-        def rank(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def rank(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             at, weight, qids = shared.value
-            best = TopK(len(qids), k)
+            best, ids, seen = TopK(len(qids), k), [], 0
+            # Documents' numbers by length and words in each field: the first k.
+            alike: dict[tuple, list[int]] = {}
+            since = 0
             for batch in batches:
-                for lo in range(0, len(batch), BULK_DOCS):
-                    part = batch.iloc[lo : lo + BULK_DOCS]
-                    met: dict[str, dict[int, float]] = {}
-                    for i, name in enumerate(names):
-                        mean = stats[name][1] if name in stats else 1.0
-                        for d, ws in enumerate(part[f"w{i}"]):
-                            tf: dict[str, int] = {}
-                            for w in ws:
-                                if w in at:
-                                    tf[w] = tf.get(w, 0) + 1
-                            norm = K1 * (1 - B + B * len(ws) / mean)
-                            for w, n in tf.items():
-                                row = met.setdefault(w, {})
-                                row[d] = row.get(d, 0.0) + weight[name, w] * n * (K1 + 1) / (n + norm)
-                    score = np.zeros((len(qids), len(part)))
-                    for w, row in met.items():
-                        score[np.ix_(at[w], np.fromiter(row, np.int64, len(row)))] += np.fromiter(row.values(), np.float64, len(row))
-                    score = np.round(score, 6)
-                    limit = np.maximum(best.score[:, -1], 1e-9)
-                    q, d = np.nonzero(score >= limit[:, None])
-                    best.add(q, part["id"].to_numpy(str)[d], score[q, d])
-            q, j = np.nonzero(np.isfinite(best.score))
-            yield pd.DataFrame({"qid": np.asarray(qids, object)[q], "id": best.id[q, j].astype(object), "score": best.score[q, j]})
-
-        part = held.mapInPandas(rank, f"qid {queries.schema['qid'].dataType.simpleString()}, id string, score double")
+                ids.append(batch.column(0))
+                columns = [batch.column(i + 1).to_pylist() for i in range(len(names))]
+                for d in range(batch.num_rows):
+                    own = [[w for w in c[d] if w in at] for c in columns]
+                    if any(own):
+                        same = alike.setdefault(tuple((len(c[d]), *sorted(o)) if o else () for c, o in zip(columns, own, strict=True)), [])
+                        if len(same) < k:
+                            same.append(seen + d)
+                seen, since = seen + batch.num_rows, since + batch.num_rows
+                if since >= BULK_HELD:
+                    score_alike(best, alike, at, weight)
+                    alike, since = {}, 0
+            score_alike(best, alike, at, weight)
+            if ids and len(qids):
+                yield from best.rows(qids, ids)
+
+        def score_alike(best: TopK, alike: dict[tuple, list[int]], at: dict[str, np.ndarray], weight: dict[tuple[str, str], float]) -> None:
+            found = list(alike.items())
+            for lo in range(0, len(found), BULK_DOCS):
+                part = found[lo : lo + BULK_DOCS]
+                met: dict[str, dict[int, float]] = {}
+                for d, (sides, _) in enumerate(part):
+                    for name, side in zip(names, sides, strict=True):
+                        if not side:
+                            continue
+                        tf: dict[str, int] = {}
+                        for w in side[1:]:
+                            tf[w] = tf.get(w, 0) + 1
+                        norm = K1 * (1 - B + B * side[0] / stats[name][1])
+                        for w, n in tf.items():
+                            row = met.setdefault(w, {})
+                            row[d] = row.get(d, 0.0) + weight[name, w] * n * (K1 + 1) / (n + norm)
+                score = np.zeros((len(best.score), len(part)))
+                for w, row in met.items():
+                    score[np.ix_(at[w], np.fromiter(row, np.int64, len(row)))] += np.fromiter(row.values(), np.float64, len(row))
+                keep_best(best, score, [same for _, same in part])
+
+        part = held.mapInArrow(rank, f"qid {kind.simpleString()}, id string, score double")
         out = part if out is None else out.unionByName(part)
-    return top(out, k)
+    best = top(out, k).withColumnRenamed("qid", "first")
+    return met.join(numbered.withColumnRenamed("qid", "first"), "words").select("qid", "first").join(best, "first").select("qid", "id", "score", "rank")
+
+
+def keep_best(best: TopK, score: np.ndarray, numbers: list[list[int]], least: float = 1e-9, digits: int = 6) -> None:
+    """Add to ``best`` what may be among the k best; column d of ``score`` is of the documents ``numbers[d]``, in order.
+
+    Scores count as rounded to ``digits``, and from ``least`` on. Of more columns than k, only those no lower than
+    the k-th can be among the k best.
+    """
+    k, slack = best.k, 10.0**-digits
+    last, after = np.maximum(best.score[:, -1], least), best.at[:, -1]
+    may = score >= (last - slack)[:, None]
+    full = np.flatnonzero(may.sum(axis=1) > 2 * k)
+    if len(full):
+        may[full] &= score[full] >= np.partition(score[full], -k, axis=1)[:, -k, None] - slack
+    q, d = np.nonzero(may)
+    s = np.round(score[q, d], digits)
+    first = np.fromiter((n[0] for n in numbers), np.int64, len(numbers))
+    ok = (s > last[q]) | (s == last[q]) & ((first[d] < after[q]) | (after[q] < 0))
+    q, d, s = q[ok], d[ok], s[ok]
+    many = np.fromiter(map(len, numbers), np.int64, len(numbers))
+    begin, every = np.cumsum(many) - many, np.fromiter((n for same in numbers for n in same), np.int64, int(many.sum()))
+    n = many[d]
+    inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    best.add(np.repeat(q, n), every[np.repeat(begin[d], n) + inside], np.repeat(s, n))
 
 
 def top(scored: DataFrame, k: int, by: str = "qid") -> DataFrame:
@@ -396,42 +451,45 @@ def hybrid(entities: DataFrame, facts: DataFrame, queries: DataFrame, vectors: t
 def bulk_nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = BULK_QUERIES) -> DataFrame:
     """(qid, id, score, rank): the k vectors (id, v) most similar by cosine to each query's (qid, v), exactly; queries in blocks against all vectors.
 
-    Vectors that are null, of another length than the first query's, not finite or all zero are ignored.
+    Vectors that are null, of another length than the first query's, not finite or all zero are ignored. Queries of equal vectors are ranked once.
     """
     spark = vectors.sparkSession
-    blocks = max(1, -(-queries.count() // block))
+    kind = queries.schema["qid"].dataType
+    numbered = cut_lineage(queries.where("size(v) > 0").groupBy("v").agg(F.min("qid").alias("first")))
+    blocks = max(1, -(-numbered.count() // block))
+    held = vectors.select(F.col("id").cast("string").alias("id"), "v").where("id is not null").sortWithinPartitions("id")
     out = None
     for b in range(blocks):
-        own = [r for r in queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).collect() if r["v"]]
+        own = numbered.where(F.pmod(F.xxhash64("first"), F.lit(blocks)) == b).collect()
         dim = len(own[0]["v"]) if own else 0
-        own = [r for r in own if len(r["v"]) == dim]
+        own = [r for r in own if len(r["v"]) == dim and None not in r["v"]]
         q = np.array([r["v"] for r in own], np.float64).reshape(-1, max(dim, 1))
-        length = np.linalg.norm(q, axis=1, keepdims=True) if len(q) else q
-        fine = (np.isfinite(q).all(axis=1) & (length[:, 0] > 0)) if len(q) else np.zeros(0, bool)
-        shared = spark.sparkContext.broadcast((q[fine] / length[fine] if len(q) else q, [r["qid"] for r, ok in zip(own, fine, strict=True) if ok], dim))
+        length = np.linalg.norm(q, axis=1, keepdims=True)
+        fine = np.isfinite(length[:, 0]) & (length[:, 0] > 0)
+        shared = spark.sparkContext.broadcast((q[fine] / length[fine], pa.array([r["first"] for r, ok in zip(own, fine, strict=True) if ok], to_arrow_type(kind)), dim))
 
-        def rank(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def rank(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             q, qids, dim = shared.value
-            best = TopK(len(qids), k)
+            best, ids, seen = TopK(len(qids), k), [], 0
             for batch in batches:
-                for lo in range(0, len(batch), BULK_DOCS):
-                    part = batch.iloc[lo : lo + BULK_DOCS]
-                    ok = [v is not None and len(v) == dim for v in part["v"]]
-                    x = np.array([v for v, good in zip(part["v"], ok, strict=True) if good], np.float64).reshape(-1, max(dim, 1))
-                    ids = part["id"].to_numpy(str)[ok]
+                ids.append(batch.column(0))
+                values = batch.column(1).to_pylist()
+                ok = [i for i, v in enumerate(values) if v is not None and len(v) == dim and None not in v]
+                for lo in range(0, len(ok), BULK_DOCS):
+                    part = ok[lo : lo + BULK_DOCS]
+                    x = np.array([values[i] for i in part], np.float64).reshape(-1, max(dim, 1))
                     size = np.linalg.norm(x, axis=1)
-                    good = np.isfinite(size) & (size > 0)
-                    if not len(qids) or not good.any():
-                        continue
-                    sim = np.round(q @ (x[good] / size[good][:, None]).T, 9)
-                    i, j = np.nonzero(sim >= best.score[:, -1][:, None])
-                    best.add(i, ids[good][j], sim[i, j])
-            i, j = np.nonzero(np.isfinite(best.score))
-            yield pd.DataFrame({"qid": np.asarray(qids, object)[i], "id": best.id[i, j].astype(object), "score": best.score[i, j]})
-
-        part = vectors.select(F.col("id").cast("string").alias("id"), "v").mapInPandas(rank, f"qid {queries.schema['qid'].dataType.simpleString()}, id string, score double")
+                    good = np.flatnonzero(np.isfinite(size) & (size > 0))
+                    if len(qids) and len(good):
+                        keep_best(best, q @ (x[good] / size[good][:, None]).T, [[seen + part[i]] for i in good], -np.inf, 9)
+                seen += batch.num_rows
+            if ids and len(qids):
+                yield from best.rows(qids, ids)
+
+        part = held.mapInArrow(rank, f"qid {kind.simpleString()}, id string, score double")
         out = part if out is None else out.unionByName(part)
-    return top(out, k)
+    best = top(out, k).withColumnRenamed("qid", "first")
+    return queries.join(numbered, "v").select("qid", "first").join(best, "first").select("qid", "id", "score", "rank")
 
 
 def near_ties(ranked: DataFrame, gap: float = 0.08) -> DataFrame:

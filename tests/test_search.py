@@ -135,6 +135,18 @@ def test_bulk_ranking_equals_single_ranking(spark):
     assert search.bulk_top(d.limit(0), "id2", fields, q, 7).count() == 0 and search.bulk_top(d, "id2", fields, q.limit(0), 7).count() == 0
 
 
+def test_bulk_ranking_scores_equal_queries_and_documents_once(spark):
+    docs = [(f"d{i % 400:03d}{'x' * (i % 7)}", ["order refund", "order", "the refund of", None][i // 100]) for i in range(400)]
+    d = spark.createDataFrame(docs, "id2 string, body string").repartition(3)
+    # Queries 1 to 6 are but two once words that no document has are left out.
+    asked = [(i, [["order"], ["the", "refund"]][i % 2] + [f"unknown{i}"]) for i in range(1, 7)] + [(7, ["unknown7"])]
+    q = spark.createDataFrame(asked, "qid int, words array<string>")
+    found = search.bulk_top(d, "id2", {"description": F.col("body")}, q, 5, None, 2)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapIn") == 1
+    one = search.top(search.bm25(d, "id2", {"description": F.col("body")}, q.select("qid", F.explode("words").alias("term"))), 5)
+    assert sorted(map(tuple, found.collect())) == sorted(tuple(r) for r in one.select("qid", "id", "score", "rank").collect())
+
+
 def test_bulk_nearest_against_brute_force(spark):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((200, 8))
