@@ -9,7 +9,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from metaloom.operators import evals
+from metaloom.operators import evals, search
+from metaloom.queries import quality
 from metaloom.streaming import traces
 
 
@@ -86,3 +87,15 @@ def test_rebuild_on_arrival(spark, tmp_path):
         traces.rebuild_on_arrival(spark, str(src), str(tmp_path / "cp"), lambda df: seen.append(df.count())).awaitTermination()
         (src / "b.json").write_text("[]")
     assert sum(seen) == 2
+
+
+def test_ir_metrics_ranks_questions_with_the_same_known_words_once(spark, tmp_path, monkeypatch):
+    columns = "unique_id string, resource_type string, entity_name string, package_name string, database_name string, schema_name string, materialization string, description string, tags array<string>, created_at timestamp_ntz, deleted_at timestamp_ntz"
+    spark.createDataFrame([("m.a", "model", "invoice_total", "p", None, None, None, None, None, None, None)], columns).write.parquet(str(tmp_path / "entities.parquet"))
+    asked = [(i, f"invoice unknown{i}", [{"unique_id": "m.a" if i % 2 else "m.b", "grade": 2.0}]) for i in range(40)]
+    spark.createDataFrame(asked, "entry_id long, query string, relevant array<struct<unique_id:string,grade:double>>").write.parquet(str(tmp_path / "search_eval_qrels.parquet"))
+    ranked = []
+    kept = search.bulk_top
+    monkeypatch.setattr(search, "bulk_top", lambda *a: ranked.append(kept(*a, block=4)) or ranked[-1])
+    assert quality.ir_metrics(spark, str(tmp_path)).collect()[0].asDict() == {"questions": 40, "recall": 0.5, "mrr": 0.5, "ndcg": 0.5, "hit_rate": 0.5}
+    assert ranked[0]._jdf.queryExecution().optimizedPlan().toString().count("MapIn") == 1
