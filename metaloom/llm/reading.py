@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metaloom.llm.prose import sentences
+from metaloom.session import cut_lineage
 
 LEVELS, FOLDS = 5, 5
-#: The models are trained on at most about this many labelled documents, chosen by a hash of their id.
-MAX_LABELLED = 20_000
+#: The mapping to levels is fitted on weights from other documents, in so many parts.
+PARTS = 10
 #: N-grams are counted in so many buckets (a power of 2), which bounds the models' size: at most
 #: folds x levels x 2^BITS counts of 12 bytes, 79 MB, reach the driver and are broadcast.
 BITS = 18
@@ -158,20 +159,35 @@ class Models:
             np.log(np.column_stack([spoken / per, quantiles(g.lengths, g.first, per, (0.5, 0.9)), g.letters / spoken])),
         ], axis=1)
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Weigh the features into one difficulty, and map it monotonically to the labels.
+    def fit(self, known: DataFrame) -> None:
+        """Weigh the features of ``known`` (at, level, x) into one difficulty, and map it monotonically to the labels.
 
         The mapping is fitted on what weights from other documents give, as those of the
-        fitted documents themselves would follow their labels too closely.
+        fitted documents themselves would follow their labels too closely. Documents stay on the executors: the driver gets sums
+        of products for each part, and the pools that adjacent violators form in each
+        stretch of difficulties, which is what pooling all of them at once comes to.
         """
-        unseen = np.empty(len(y))
-        part = np.arange(len(y)) % min(10, len(y))
-        for p in np.unique(part):
-            rest = part != p
-            self.weights = ridge(x[rest], y[rest]) if rest.any() else ridge(x, y)
-            unseen[~rest] = self.raw(x[~rest])
-        self.weights = ridge(x, y)
-        self.knots = isotonic(unseen, y)
+        sums = moments(known)
+        whole = sum(sums.values())
+        self.weights = ridge(whole)
+        shared = known.sparkSession.sparkContext.broadcast({p: ridge(whole - own) if len(sums) > 1 else self.weights for p, own in sums.items()})
+
+        def unseen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                x, w = np.array(batch["x"].tolist()), np.array([shared.value[p] for p in batch["at"] % PARTS])
+                yield pd.DataFrame({"raw": (x * w[:, :-1]).sum(axis=1) + w[:, -1], "at": batch["at"], "level": batch["level"]})
+
+        def pool(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            pools: list[list] = []
+            for batch in batches:
+                pooled(pools, ([level, 1, at, at] for at, level in zip(batch["raw"], batch["level"], strict=True)))
+            if pools:
+                yield pd.DataFrame(pools, columns=["value", "n", "low", "high"])
+
+        ordered = known.mapInPandas(unseen, "raw double, at long, level double").orderBy("raw", "at")
+        # Partitions are collected in their order.
+        found = ordered.mapInPandas(pool, "value double, n long, low double, high double").toPandas()
+        self.knots = knots(pooled([], found.to_numpy().tolist()))
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         return x @ self.weights[:-1] + self.weights[-1]
@@ -180,27 +196,56 @@ class Models:
         return np.interp(self.raw(x), *self.knots)
 
 
-def ridge(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights of the features, and the constant, that are nearest to y and small."""
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    z = (x - mean) / scale
-    w = np.linalg.solve(z.T @ z + RIDGE * np.eye(z.shape[1]), z.T @ (y - y.mean())) / scale
-    return np.concatenate([w, [y.mean() - mean @ w]])
+def moments(known: DataFrame) -> dict[int, np.ndarray]:
+    """For each part of ``known`` (at, level, x): sums of the products of all pairs of features, level and 1."""
 
-
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The non-decreasing function of x nearest to y, by pooling adjacent violators; as knots, one at each end of a level stretch."""
-    order = np.argsort(x, kind="stable")
-    pools: list[list] = []
-    for at, value in zip(x[order], y[order], strict=True):
-        pools.append([value, 1, at, at])
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            z = np.column_stack([np.array(batch["x"].tolist()), batch["level"], np.ones(len(batch))])
+            for p in np.unique(batch["at"] % PARTS):
+                mine = z[batch["at"] % PARTS == p]
+                sums[p] = sums.get(p, 0) + mine.T @ mine
+        if sums:
+            yield pd.DataFrame({"part": list(sums), "i": [list(range(s.size)) for s in sums.values()], "s": [s.ravel().tolist() for s in sums.values()]})
+
+    each = known.mapInPandas(add, "part int, i array<int>, s array<double>").select("part", F.explode(F.arrays_zip("i", "s")).alias("z"))
+    # As many rows as parts times pairs of features.
+    rows = each.groupBy("part", "z.i").agg(F.sum("z.s").alias("s")).orderBy("part", "i").toPandas()
+    return {int(p): (m := g["s"].to_numpy()).reshape(int(len(m) ** 0.5), -1) for p, g in rows.groupby("part")}
+
+
+def ridge(sums: np.ndarray) -> np.ndarray:
+    """Weights of the features, and the constant, that are nearest to the levels and small; from sums of products (:func:`moments`)."""
+    n = sums[-1, -1]
+    mean, level = sums[-1, :-2] / n, sums[-1, -2] / n
+    spread = sums[:-2, :-2] - n * np.outer(mean, mean)
+    scale = np.sqrt(np.maximum(np.diag(spread), 0) / n) + 1e-9
+    w = np.linalg.solve(spread / np.outer(scale, scale) + RIDGE * np.eye(len(mean)), (sums[:-2, -2] - n * mean * level) / scale) / scale
+    return np.concatenate([w, [level - mean @ w]])
+
+
+def pooled(pools: list[list], more: Iterable[list]) -> list[list]:
+    """Add (mean, number, least, largest) in order to ``pools``, joining neighbours until means increase."""
+    for own in more:
+        pools.append(own)
         while len(pools) > 1 and pools[-2][0] >= pools[-1][0]:
             v, n, _, hi = pools.pop()
             p = pools[-1]
             pools[-1] = [(p[0] * p[1] + v * n) / (p[1] + n), p[1] + n, p[2], hi]
+    return pools
+
+
+def knots(pools: list[list]) -> tuple[np.ndarray, np.ndarray]:
     return np.array([q for p in pools for q in (p[2], p[3])]), np.array([q for p in pools for q in (p[0], p[0])])
 
 
+def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The non-decreasing function of x nearest to y, by pooling adjacent violators; as knots, one at each end of a level stretch."""
+    order = np.argsort(x, kind="stable")
+    return knots(pooled([], ([value, 1, at, at] for at, value in zip(x[order], y[order], strict=True))))
+
+
 def quantiles(x: np.ndarray, starts: np.ndarray, n: np.ndarray, at: tuple[float, ...]) -> np.ndarray:
     """Quantiles of each run of x, between neighbours in proportion."""
     ordered = x[np.lexsort((x, np.repeat(np.arange(len(n)), n)))]
@@ -221,11 +266,11 @@ def clean_labels(labels: DataFrame) -> DataFrame:
     return valid.groupBy("doc_id").agg(F.avg("reading_level").alias("level"))
 
 
-def train(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, lengths: bool = True) -> Models | None:
-    """Models from the labelled documents; None if none of these has prose."""
+def train(documents: DataFrame, labels: DataFrame, max_labelled: int | None = None, lengths: bool = True) -> Models | None:
+    """Models from all labelled documents, or from about ``max_labelled``; None if none of these has prose."""
     spark = documents.sparkSession
     rated = clean_labels(labels)
-    share = max_labelled / max(1, rated.count())
+    share = max_labelled / max(1, rated.count()) if max_labelled else 1
     if share < 1:
         rated = rated.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000))
     chosen = documents.select("doc_id", "text").join(rated, "doc_id").select("doc_id", "text", "level")
@@ -254,13 +299,19 @@ def train(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
             x = shared.value.describe([p for _, _, p in found], np.array([fold_of(i) for i, _, _ in found]))
             yield pd.DataFrame({"doc_id": [i for i, _, _ in found], "level": [v for _, v, _ in found], "x": list(x)})
 
-    known = chosen.mapInPandas(describe, "doc_id long, level double, x array<double>").orderBy("doc_id").toPandas()
+    known = chosen.mapInPandas(describe, "doc_id long, level double, x array<double>").orderBy("doc_id")
+    known = cut_lineage(known.select(F.monotonically_increasing_id().alias("row"), "level", "x"))
+    # Parts take turns over the documents in order: rows of a partition are numbered on from those before it.
+    held = sorted(known.groupBy(F.shiftright("row", 33).alias("p")).count().collect())
+    begins = np.cumsum([0, *(n for _, n in held)])
+    begin = spark.createDataFrame([(int(p), int(b)) for (p, _), b in zip(held, begins, strict=False)], "p long, begin long")
+    known = known.join(F.broadcast(begin), F.shiftright("row", 33) == F.col("p")).select((F.col("begin") + F.col("row").bitwiseAND((1 << 33) - 1)).alias("at"), "level", "x")  # a row for each partition is broadcast
     models.tables = {}
-    models.fit(np.array(known["x"].tolist()), known["level"].to_numpy())
+    models.fit(known)
     return models
 
 
-def reading_levels(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, lengths: bool = True) -> DataFrame:
+def reading_levels(documents: DataFrame, labels: DataFrame, max_labelled: int | None = None, lengths: bool = True) -> DataFrame:
     """(doc_id, reading_level, difficulty, words, sentences, surprisal) of each document whose text holds prose.
 
     reading_level is 1 (simple words in short statements) to 5 (highly abstract), as raters
@@ -271,7 +322,7 @@ def reading_levels(documents: DataFrame, labels: DataFrame, max_labelled: int =
     averaged.
 
     Method: interpolated n-gram models of words, one for each level, are trained on the
-    labelled documents (at most about ``max_labelled``); a document's surprisal under each, over
+    labelled documents, all of them unless ``max_labelled`` is given; a document's surprisal under each, over
     its whole text, its distribution under all, and the lengths of its words and sentences
     are weighed into one difficulty, which isotonic regression maps to the graded levels.
     Without ``lengths`` surprisal alone makes the difficulty.

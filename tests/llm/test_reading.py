@@ -7,7 +7,7 @@ import random
 import numpy as np
 
 from metaloom.llm.prose import sentences
-from metaloom.llm.reading import BITS, Models, clean_labels, isotonic, ngrams, reading_levels
+from metaloom.llm.reading import BITS, Models, clean_labels, isotonic, ngrams, reading_levels, train
 
 EASY = ["We have the {0}.", "Look at the {0}.", "They see {0} and {1}."]
 HARD = ["Notwithstanding the {0} by which the {1} circumscribe the {2}, it remains doubtful whether the {0}, in so far as they problematise the {1}, can be said to warrant the {2}."]
@@ -80,3 +80,31 @@ def test_held_out_accuracy_and_cases(spark):
     assert len(few) == len(got)
     assert {r.reading_level for r in reading_levels(d, lab.limit(0)).collect()} == {None}
     assert reading_levels(d.limit(0), lab).count() == 0
+
+
+def test_all_labelled_documents_train_the_models(spark):
+    n = 21_000
+    d = spark.range(n).selectExpr("id as doc_id", "concat('We see ', element_at(array('cats', 'bags', 'keys'), cast(id % 3 as int) + 1), '.') as text")
+    m = train(d, spark.range(n).selectExpr("id as doc_id", "cast(id % 3 as int) + 1 as reading_level", "'a' as rater"))
+    # Three words and the end of the sentence, in five kinds of n-grams.
+    assert m.counts.sum() == n * 4 * 5
+
+
+def test_fit_over_partitions_is_that_of_all_at_once(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(5, 2, (403, 4))
+    y = np.clip(np.round(x @ [0.3, 0.2, 0, -0.1] + rng.normal(0, 0.7, 403)), 1, 5)
+
+    def weights(x, y):
+        z = (x - x.mean(axis=0)) / x.std(axis=0)
+        w = np.linalg.solve(z.T @ z + 3.0 * np.eye(4), z.T @ (y - y.mean())) / x.std(axis=0)
+        return np.append(w, y.mean() - x.mean(axis=0) @ w)
+
+    part = np.arange(403) % 10
+    unseen = np.empty(403)
+    for p in range(10):
+        w = weights(x[part != p], y[part != p])
+        unseen[part == p] = x[part == p] @ w[:-1] + w[-1]
+    m = Models(np.array([]), np.array([]))
+    m.fit(spark.createDataFrame([(i, float(v), r.tolist()) for i, (v, r) in enumerate(zip(y, x, strict=True))], "at long, level double, x array<double>").repartition(5))
+    assert np.allclose(m.weights, weights(x, y)) and all(np.allclose(a, b) for a, b in zip(m.knots, isotonic(unseen, y), strict=True))
