@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +21,66 @@ def edges(parent_map: DataFrame) -> DataFrame:
     return parent_map.select(norm_id("unique_id").alias("child"), F.explode(norm_ids("parent_ids")).alias("parent")).where("child is not null").distinct()
 
 
+#: Graphs of at most so many edges, and bytes of ids, are broadcast and walked within tasks.
+MAX_EDGES, MAX_ID_BYTES = 6_000_000, 150_000_000
+#: Roots times nodes that a task marks at once.
+MARKS = 1 << 22
+
+
+def small_graph(step: DataFrame) -> tuple[pa.Array, np.ndarray, np.ndarray] | None:
+    """The ids in order, where each one's successors begin, and the successors, of edges (at, next); None if there are too many."""
+    step = cut_lineage(step.distinct())
+    nodes = cut_lineage(step.select(F.col("at").alias("id")).union(step.select("next")).distinct().orderBy("id").select("id", F.monotonically_increasing_id().alias("n")))
+    size = nodes.agg(F.coalesce(F.sum(F.octet_length("id")), F.lit(0))).first()[0]
+    if size > MAX_ID_BYTES or step.count() > MAX_EDGES:
+        return None
+    ids = nodes.orderBy("n").toArrow().combine_chunks()
+    number = ids["n"].to_numpy()
+    numbered = step.join(nodes.select(F.col("id").alias("at"), F.col("n").alias("a")), "at").join(nodes.select(F.col("id").alias("next"), F.col("n").alias("b")), "next")
+    edges = numbered.select("a", "b").toArrow()
+    a, b = (np.searchsorted(number, edges[c].to_numpy()) for c in ("a", "b"))
+    order = np.argsort(a, kind="stable")
+    names = ids["id"].combine_chunks()
+    return names.cast(pa.string()), np.searchsorted(a[order], np.arange(len(number) + 1)), b[order].astype(np.int32)
+
+
+def walk(graph: tuple[pa.Array, np.ndarray, np.ndarray], roots: DataFrame, max_depth: int) -> DataFrame:
+    """(root, id, depth) as by :func:`reach`: each task walks the graph level by level from its own roots, and nothing is shuffled or kept but these."""
+    spark = roots.sparkSession
+    shared = spark.sparkContext.broadcast(graph)
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, start, after = shared.value
+        n = len(names)
+        own = max(1, MARKS // max(1, n))
+        met, mark = np.zeros(own * n, bool), np.zeros(own * n, np.int32)
+        for batch in batches:
+            places = pc.index_in(batch.column(0).cast(pa.string()), names).drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+            for lo in range(0, len(places), own):
+                first = places[lo : lo + own]
+                row, at, levels = np.arange(len(first)), first, []
+                while len(at) and len(levels) < max_depth:
+                    many = start[at + 1] - start[at]
+                    edge = np.arange(int(many.sum())) + np.repeat(start[at] - (np.cumsum(many) - many), many)
+                    key = np.repeat(row * n, many) + after[edge]
+                    key = key[~met[key]]
+                    # Of a place found several times the last stays.
+                    mark[key] = turn = np.arange(len(key), dtype=np.int32)
+                    key = key[mark[key] == turn]
+                    met[key] = True
+                    row, at = key // n, key % n
+                    levels.append(key)
+                found = np.concatenate(levels) if levels else np.zeros(0, np.int64)
+                met[found] = False
+                depth = np.repeat(np.arange(1, len(levels) + 1, dtype=np.int32), [len(x) for x in levels])
+                for part in range(0, len(found), 100_000):
+                    key = found[part : part + 100_000]
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(first[key // n])), names.take(pa.array(key % n)), pa.array(depth[part : part + 100_000])], ["root", "id", "depth"])
+
+    tasks = max(spark.sparkContext.defaultParallelism * 4, 12)
+    return roots.select("root").distinct().repartition(tasks, "root").mapInArrow(follow, "root string, id string, depth int")
+
+
 def reach(links: DataFrame, roots: DataFrame, downstream: bool = True, counted: DataFrame | None = None, max_depth: int = 200) -> DataFrame:
     """(root, id, depth): all that each root reaches within ``max_depth``, with the least depth.
 
@@ -24,9 +88,13 @@ def reach(links: DataFrame, roots: DataFrame, downstream: bool = True, counted:
     cost, so types left out of a lineage are transparent. Each round joins only what the
     last one improved with the edges, and keeps the least depth per (root, id), so diamonds
     and loops end; the number of rounds is that of hops, and plans are cut between them.
-    Roots come out only where they reach themselves.
+    Roots come out only where they reach themselves. Without ``counted`` a graph of bounded size is
+    walked within tasks instead (:func:`walk`), with the same result and nothing on disk; larger ones take the rounds.
     """
     frm, to = ("parent", "child") if downstream else ("child", "parent")
+    links = links.where("parent is not null and child is not null")
+    if counted is None and (graph := small_graph(links.select(F.col(frm).alias("at"), F.col(to).alias("next")))) is not None:
+        return walk(graph, roots, max_depth)
     step = links.select(F.col(frm).alias("at"), F.col(to).alias("next"))
     if counted is None:
         step = step.withColumn("cost", F.lit(1))

@@ -100,6 +100,23 @@ def test_lineage_passes_free_types_and_ends_on_loops(spark):
     assert lineage.on_cycles(links.where("child <> 'a'")).count() == 0
 
 
+def test_reach_in_tasks_equals_rounds_and_shuffles_no_pairs(spark, monkeypatch):
+    rnd = random.Random(3)
+    edges = [(f"n{rnd.randrange(60)}", f"n{rnd.randrange(60)}") for _ in range(110)] + [("n1", "n1"), (None, "n2"), ("n3", None)]
+    links = spark.createDataFrame(edges, "child string, parent string")
+    roots = spark.createDataFrame([(f"n{i}",) for i in range(40)] + [("n5",), (None,), ("unknown",)], "root string")
+    for down, depth in ((True, 200), (False, 200), (False, 2)):
+        quick = lineage.reach(links, roots, down, None, depth)
+        plan = quick._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.startswith("MapInArrow") and "Join" not in plan
+        got = sorted(map(tuple, quick.collect()))
+        with monkeypatch.context() as m:
+            m.setattr(lineage, "MAX_EDGES", 0)
+            slow = sorted(map(tuple, lineage.reach(links, roots, down, None, depth).collect()))
+        assert got == slow and got
+    assert lineage.reach(links.limit(0), roots).count() == 0
+
+
 def test_column_matches(spark):
     pairs = spark.createDataFrame([("id", "ID", "int", "bigint", False), ("id", "user_id", "int", "int", False), ("id", "text", "int", "string", False), ("a", "b", None, None, True), ("user_id", "userid", "int", "int", False), ("x", "y", "int", "int", False)], "source_column string, target_column string, source_type string, target_type string, alias boolean")
     assert {(r.source_column, r.target_column, r.match_type, r.score) for r in lineage.column_matches(pairs).collect()} == {
