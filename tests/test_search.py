@@ -202,3 +202,16 @@ def test_hybrid(spark):
         assert {i for i, _ in got[2]} == {"m.stock", "s.stock"} and {i for i, _ in got[6]} >= {"m.orders", "s.stock"}
     assert {r.id for r in search.hybrid(e, facts, q, None, "analyst", ["SOURCE"]).collect()} == {"s.stock"}
     assert search.hybrid(e.limit(0), facts, q).count() == 0 and search.hybrid(e, facts.limit(0), q.limit(0)).count() == 0
+
+
+def test_best_are_held_as_numbers_whatever_the_length_of_ids():
+    best = search.TopK(100, 50)
+    held = sum(x.nbytes for x in (best.score, best.at))
+    numbers = [[3 * i, 3 * i + 1, 3 * i + 2] for i in range(200)]
+    score = np.round(np.random.default_rng(4).random((100, 200)), 2)
+    for lo in (0, 100):
+        search.keep_best(best, score[:, lo : lo + 100], numbers[lo : lo + 100])
+    for q in range(100):
+        want = sorted((-score[q, d], n) for d in range(200) for n in numbers[d] if score[q, d] > 0)[:50]
+        assert [(-s, n) for s, n in zip(best.score[q], best.at[q], strict=True)] == want
+    assert sum(x.nbytes for x in (best.score, best.at)) == held == 100 * 50 * 16
