@@ -215,3 +215,11 @@ def test_best_are_held_as_numbers_whatever_the_length_of_ids():
         want = sorted((-score[q, d], n) for d in range(200) for n in numbers[d] if score[q, d] > 0)[:50]
         assert [(-s, n) for s, n in zip(best.score[q], best.at[q], strict=True)] == want
     assert sum(x.nbytes for x in (best.score, best.at)) == held == 100 * 50 * 16
+
+
+def test_hybrid_splits_labels_once_an_entity_and_not_with_each_hit(spark):
+    facts = payload_facts(spark.createDataFrame([(1, "m.a", None, '{"meta": {"nova": {"metrics": [{"name": "refund rate"}]}}}')], "block_id long, unique_id string, captured_at timestamp_ntz, payload_json string"))
+    e = spark.createDataFrame([("m.a", "model", "orders", "All orders")], "unique_id string, resource_type string, entity_name string, description string")
+    found = search.hybrid(e, facts, spark.createDataFrame([(1, "refund rate")], "qid int, query string"))
+    matching = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "exists(" in line]
+    assert matching and all("split" not in line for line in matching)
