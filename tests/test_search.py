@@ -223,3 +223,30 @@ def test_hybrid_splits_labels_once_an_entity_and_not_with_each_hit(spark):
     found = search.hybrid(e, facts, spark.createDataFrame([(1, "refund rate")], "qid int, query string"))
     matching = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "exists(" in line]
     assert matching and all("split" not in line for line in matching)
+
+
+def test_few_candidates_are_laid_out_at_once_however_many_documents_are_alike(monkeypatch):
+    most, add = [], search.TopK.add
+    monkeypatch.setattr(search.TopK, "add", lambda self, rows, at, scores: (most.append(len(rows)), add(self, rows, at, scores))[1])
+    monkeypatch.setattr(search, "BULK_CELLS", 40_000, raising=False)
+    numbers = [[100 * j + i for j in range(50)] for i in range(100)]
+    for score in (np.ones((40, 100)), np.tile(np.arange(1.0, 101.0), (40, 1))):
+        best = search.TopK(40, 50)
+        search.keep_best(best, score, numbers)
+        want = list(range(50)) if score[0, 1] == 1 else numbers[99]
+        assert all(row.tolist() == want for row in best.at)
+    assert max(most) <= 40_000 // 4 + 50 * 100
+
+
+def test_every_query_meets_every_document_once(spark):
+    docs, queries = spark.range(100).select(F.col("id").cast("string").alias("id")), spark.range(7).select(F.col("id").alias("qid"))
+    rows = search.laid(docs, queries, 100, 2, 7, 30).select(F.spark_partition_id().alias("task"), "id", "qid").collect()
+    met, seen = [], {}
+    for r in rows:
+        asks, ids = seen.setdefault(r.task, ([], []))
+        assert not (ids and r.id is None)
+        (asks if r.id is None else ids).append(r.qid if r.id is None else r.id)
+    for asks, ids in seen.values():
+        assert ids == sorted(ids)
+        met += [(q, d) for q in asks for d in ids]
+    assert len(seen) > 4 and len(met) == len(set(met)) == 700
