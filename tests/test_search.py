@@ -250,3 +250,13 @@ def test_every_query_meets_every_document_once(spark):
         assert ids == sorted(ids)
         met += [(q, d) for q in asks for d in ids]
     assert len(seen) > 4 and len(met) == len(set(met)) == 700
+
+
+def test_bulk_ranking_prepares_entities_once(spark, tmp_path):
+    columns = "unique_id string, entity_name string, description string, created_at timestamp_ntz"
+    spark.createDataFrame([("m.a", "invoice", "Total", None), ("m.b", "invoice_total", None, None)], columns).write.parquet(str(tmp_path / "entities.parquet"))
+    spark.createDataFrame([(1, "invoice total")], "entry_id long, query string").write.parquet(str(tmp_path / "search_eval_qrels.parquet"))
+    found = retrieval.bm25_bulk(spark, str(tmp_path))
+    # Which row of an entity counts is decided before the ranking, not again in it.
+    assert "created_at" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.unique_id for r in found.collect()} == {"m.a", "m.b"}
