@@ -260,3 +260,14 @@ def test_bulk_ranking_prepares_entities_once(spark, tmp_path):
     # Which row of an entity counts is decided before the ranking, not again in it.
     assert "created_at" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert {r.unique_id for r in found.collect()} == {"m.a", "m.b"}
+
+
+def test_batches_of_documents_without_a_word_of_the_queries(spark):
+    d = spark.createDataFrame([(f"d{i:02}", "order" if i == 17 else "stock" if i % 2 else None) for i in range(20)], "id2 string, body string")
+    q = spark.createDataFrame([(1, ["order"])], "qid int, words array<string>")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        assert [(r.qid, r.id) for r in search.bulk_top(d, "id2", {"description": F.col("body")}, q, 5).collect()] == [(1, "d17")]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
